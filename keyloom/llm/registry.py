@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyloom.llm import packing, simhash
+from keyloom.llm import packing, secrets, simhash
 from keyloom.llm.common import table
 
 
@@ -12,9 +12,13 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_simhash": op3_simhash, "op9_packing": op9_packing}
+QUERIES = {"op3_simhash": op3_simhash, "op7_secrets": op7_secrets, "op9_packing": op9_packing}
 ORACLES: dict[str, str] = {}
