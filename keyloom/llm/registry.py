@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyloom.llm import packing, secrets, simhash
+from keyloom.llm import packing, pii, secrets, simhash
 from keyloom.llm.common import table
 
 
@@ -20,5 +20,9 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_simhash": op3_simhash, "op7_secrets": op7_secrets, "op9_packing": op9_packing}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op3_simhash": op3_simhash, "op7_secrets": op7_secrets, "op9_packing": op9_packing, "op10_pii": op10_pii}
 ORACLES: dict[str, str] = {}
