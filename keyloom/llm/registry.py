@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyloom.llm import packing, pii, secrets, simhash
+from keyloom.llm import packing, pii, secrets, simhash, toxicity
 from keyloom.llm.common import table
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -24,5 +28,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_simhash": op3_simhash, "op7_secrets": op7_secrets, "op9_packing": op9_packing, "op10_pii": op10_pii}
+QUERIES = {"op2_toxicity": op2_toxicity, "op3_simhash": op3_simhash, "op7_secrets": op7_secrets, "op9_packing": op9_packing, "op10_pii": op10_pii}
 ORACLES: dict[str, str] = {}
