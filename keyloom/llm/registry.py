@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyloom.llm import packing, pii, secrets, simhash, toxicity
+from keyloom.llm import neighbours, packing, pii, secrets, simhash, toxicity
 from keyloom.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(table(spark, sf_dir, "documents"))
 
@@ -28,5 +32,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_toxicity": op2_toxicity, "op3_simhash": op3_simhash, "op7_secrets": op7_secrets, "op9_packing": op9_packing, "op10_pii": op10_pii}
+QUERIES = {"op2_toxicity": op2_toxicity, "op3_simhash": op3_simhash, "op4_neighbours": op4_neighbours, "op7_secrets": op7_secrets, "op9_packing": op9_packing, "op10_pii": op10_pii}
 ORACLES: dict[str, str] = {}
