@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyloom.llm import jpeg, neighbours, packing, pii, secrets, simhash, toxicity
+from keyloom.llm import jpeg, mixing, neighbours, packing, pii, secrets, simhash, toxicity
 from keyloom.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents"))
+
+
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.media(table(spark, sf_dir, "documents"))
 
@@ -36,5 +40,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_toxicity": op2_toxicity, "op3_simhash": op3_simhash, "op4_neighbours": op4_neighbours, "op6_media": op6_media, "op7_secrets": op7_secrets, "op9_packing": op9_packing, "op10_pii": op10_pii}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op2_toxicity": op2_toxicity, "op3_simhash": op3_simhash, "op4_neighbours": op4_neighbours, "op5_mixing": op5_mixing, "op6_media": op6_media, "op7_secrets": op7_secrets, "op9_packing": op9_packing, "op10_pii": op10_pii}
+ORACLES = {"op5_mixing": mixing.sql()}
