@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyloom.llm import jpeg, mixing, neighbours, packing, pii, secrets, simhash, toxicity
+from keyloom.llm import jpeg, licences, mixing, neighbours, packing, pii, secrets, simhash, toxicity
 from keyloom.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(table(spark, sf_dir, "documents"))
 
 
+def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licences(table(spark, sf_dir, "pages"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
@@ -40,5 +44,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_toxicity": op2_toxicity, "op3_simhash": op3_simhash, "op4_neighbours": op4_neighbours, "op5_mixing": op5_mixing, "op6_media": op6_media, "op7_secrets": op7_secrets, "op9_packing": op9_packing, "op10_pii": op10_pii}
-ORACLES = {"op5_mixing": mixing.sql()}
+QUERIES = {"op2_toxicity": op2_toxicity, "op3_simhash": op3_simhash, "op4_neighbours": op4_neighbours, "op5_mixing": op5_mixing, "op6_media": op6_media, "op7_secrets": op7_secrets, "op8_licences": op8_licences, "op9_packing": op9_packing, "op10_pii": op10_pii}
+ORACLES = {"op5_mixing": mixing.sql(), "op8_licences": licences.sql()}
