@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyloom.llm import jpeg, licences, mixing, neighbours, packing, pii, secrets, simhash, toxicity
+from keyloom.llm import jpeg, licences, mixing, neighbours, packing, pii, repeats, secrets, simhash, toxicity
 from keyloom.llm.common import table
 
 
+def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -44,5 +48,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_toxicity": op2_toxicity, "op3_simhash": op3_simhash, "op4_neighbours": op4_neighbours, "op5_mixing": op5_mixing, "op6_media": op6_media, "op7_secrets": op7_secrets, "op8_licences": op8_licences, "op9_packing": op9_packing, "op10_pii": op10_pii}
+QUERIES = {"op1_repeats": op1_repeats, "op2_toxicity": op2_toxicity, "op3_simhash": op3_simhash, "op4_neighbours": op4_neighbours, "op5_mixing": op5_mixing, "op6_media": op6_media, "op7_secrets": op7_secrets, "op8_licences": op8_licences, "op9_packing": op9_packing, "op10_pii": op10_pii}
 ORACLES = {"op5_mixing": mixing.sql(), "op8_licences": licences.sql()}
