@@ -1,8 +1,67 @@
-"""The corpus pipeline: documents to packed sequences."""
+"""The corpus pipeline: documents, less toxic ones and near copies, masked, mixed to target weights, packed into sequences.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir), works on all rows that the one before it kept, and returns a DataFrame that is written
+and read again as the next one's docs. All but the last return the columns of documents; a column that some operator adds
+inside a stage never meets one of docs by name.
+"""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from keyloom.llm import mixing, packing, pii, simhash, toxicity
+from keyloom.llm.common import shared_folder, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose worst window scores below one half. Null and empty texts are judged like an empty window."""
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    return toxicity.clean(docs, model)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The row of each near-duplicate component with the smallest doc_id, of five-word shingles; the first of equal ids.
+
+    Rows whose text has no words are left as they are: nothing in them is a copy of a text.
+    """
+    return simhash.representatives(docs, width=5)
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, their texts with personal data masked by <kind>, n_chars renewed for the texts that changed."""
+    return pii.masked(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows sampled with the probabilities that rake token weights to the targets of sources, languages and topics."""
+    return mixing.sample(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all rows and their places in sequences."""
+    return packing.packed(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("simhash_near_dedup", drop_near_copies),
+    ("pii", mask_personal_data),
+    ("mixing", mix),
+    ("packing", pack),
+]
+
+#: A trained network and byte-level tokens are not SQL; tests compare the stages with brute-force versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in turn over documents, each written as Parquet to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -8,7 +8,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import cut
+from keyloom.llm.common import cut, free_name
 from keyloom.llm.spans import digits, listed, luhn, scan
 
 # The leftmost match of a run starts where the run does, or where the last match ended (\G): without trying every later
@@ -169,3 +169,35 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
 def _count(kind: str) -> Column:
     return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
+def masked(docs: DataFrame) -> DataFrame:
+    """docs with all of its columns and rows; each personal span of its texts is replaced by its kind in angle brackets.
+
+    Spans that overlap are masked as one, under the kind of the first. Where docs has n_chars, it is renewed for changed texts.
+    Only rows with spans meet their texts again in a join; the table must keep its partitions between the two reads, as tables
+    do. Null texts stay null.
+    """
+    name = free_name(docs, "row_number_")
+    found = find(docs).where(F.size("spans") > 0).select(F.col("row").alias(name), _joined(F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))).alias(free_name(docs, "personal_")))
+    spans = F.col(free_name(docs, "personal_"))
+    text = F.col("text").cast("string")
+    parts = F.transform(spans, lambda s, i: F.concat(F.substring(text, (F.when(i == 0, F.lit(0)).otherwise(F.get(spans, i - 1)["end"]) + 1).cast("int"), (s["start"] - F.when(i == 0, F.lit(0)).otherwise(F.get(spans, i - 1)["end"])).cast("int")), F.lit("<"), s["kind"], F.lit(">")))
+    tail = F.substring(text, (F.element_at(spans, -1)["end"] + 1).cast("int"), F.char_length(text))
+    new = F.when(spans.isNull(), text).otherwise(F.concat(F.array_join(parts, ""), tail))
+    rows = docs.withColumn(name, F.monotonically_increasing_id())
+    full = rows.join(found, name, "left")
+    columns = [new.alias(c) if c == "text" else F.when(spans.isNull(), F.col(f"`{c}`")).otherwise(F.char_length(new).cast(docs.schema[c].dataType)).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
+    return full.select(*columns)
+
+
+def _joined(spans: Column) -> Column:
+    """Sorted spans, those that overlap joined."""
+    empty = F.expr("array()").cast("array<struct<start:bigint,end:bigint,kind:string>>")
+
+    def step(done: Column, s: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        wider = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind"))
+        return F.when(F.size(done) == 0, F.array(s)).when(s["start"] < last["end"], F.concat(F.slice(done, 1, F.size(done) - 1), F.array(wider))).otherwise(F.concat(done, F.array(s)))
+
+    return F.aggregate(spans, empty, step)

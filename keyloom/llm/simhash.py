@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import components, cut, text_batches
+from keyloom.llm.common import components, cut, free_name, text_batches
 
 SEED = 42
 BITS = 64
@@ -103,3 +103,33 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 3) -> DataF
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = placed.join(least, "root").select("fp", "component_id")
     return prints.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, width: int = 5, distance: int = 3) -> DataFrame:
+    """One row of each near-duplicate component of docs, with all of its columns: the first row that has the smallest doc_id.
+
+    Texts without words, null or empty, are not copies of each other here, and all stay. In a component whose rows all have a
+    null doc_id the first row stays. Fingerprints and components come from two columns; only the kept rows' numbers then meet
+    the table again, which must keep its partitions between the two reads, as tables do.
+    """
+    name = free_name(docs, "row_number_")
+    rows = docs.withColumn(name, F.monotonically_increasing_id())
+    numbered = rows.select(F.col(name).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = 0
+            for _, texts in text_batches(iter([batch]), "row"):
+                part = batch.slice(done, len(texts))
+                done += len(texts)
+                worded = pa.array([bool(t.strip()) for t in texts])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fingerprints(texts, width)), worded], names=["row", "doc_id", "fp", "worded"])
+
+    prints = cut(numbered.mapInArrow(run, "row long, doc_id long, fp long, worded boolean"))
+    worded = prints.where("worded")
+    nodes = worded.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
+    roots = components(links(nodes.select("fp"), distance))
+    placed = nodes.join(roots, nodes.fp == roots.node, "left").select("first", F.coalesce("root", "fp").alias("root"))
+    kept = placed.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
+    kept = kept.union(prints.where("NOT worded").select("row")).withColumnRenamed("row", name)
+    return rows.join(kept, name, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

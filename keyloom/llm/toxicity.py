@@ -331,5 +331,19 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def clean(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows of docs that score below `least`, with all of its columns; they don't leave their partitions."""
+    schema = docs.schema
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = pa.RecordBatch.from_arrays([pa.array(range(len(batch))), batch.column(at)], names=["row", "text"])
+            done = [model.scores(texts) for _, texts in text_batches(iter([rows]), "row")]
+            yield batch.filter(pa.array(np.concatenate(done) < least)) if done else batch
+
+    return docs.mapInArrow(run, schema)
+
+
 def fold(doc_id: int) -> int:
     return zlib.crc32(str(doc_id).encode()) % FOLDS
