@@ -1,27 +1,483 @@
-"""Queries over the supplied tables, each with the SQL that checks it."""
+"""Queries over the supplied tables, each with the SQL that checks it.
+
+Those under EXTENSIONS render relational needs that the keyed model leaves to handlers, with what Spark has for them.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from keyloom.functions.hashing import shard_of
+from keyloom.operators import fanout, keyed, lifecycle, metrics, routing, shards, shedding
+from keyloom.plans import samples
+from keyloom.plans.batch import Declarative, envelope, imperative, run, sent
+from keyloom.sources.adaptors import TableAdaptor, from_json_messages, json_messages
+from keyloom.streaming import windows
+from keyloom.topology import Node, Topology
+
+#: Java's white space.
 SPACE = "[ \\t\\n\\x0B\\f\\r]+"
+SQL_WORDS = r"(SELECT doc_id, unnest(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+')) AS word FROM documents)"
+IDLE = 6 * 3600
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def registered(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(query: Query) -> Query:
+        QUERIES[query.__name__] = query
+        if sql:
+            ORACLES[query.__name__] = sql
+        return query
+
+    return add
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    split = F.split("text", SPACE)
+    return table(spark, sf_dir, "documents").select(F.explode(split).alias("word")).where("word <> ''")
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events")
+
+
+def event_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as messages `event`, keyed by user and ordered by event_id."""
+    return TableAdaptor(f"{sf_dir}/events.parquet", "event", "user_id", "event_id", "event_id", "user_id", "event_type", "value").read(spark)
+
+
+# Sources, keys and fan-out
+
+
+@registered("SELECT 'event' AS message_type, user_id::VARCHAR AS key, event_id AS seq, event_type, value FROM events WHERE user_id IS NOT NULL")
+def adaptor_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = event_messages(spark, sf_dir)
+    own = F.from_json("payload", "event_type string, value double")
+    return read.select("message_type", "key", "seq", own["event_type"].alias("event_type"), own["value"].alias("value"))
+
+
+@registered("SELECT 'event' AS message_type, user_id::VARCHAR AS key, event_id AS seq, event_type FROM events WHERE user_id IS NOT NULL")
+def json_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = from_json_messages(json_messages(event_messages(spark, sf_dir)))
+    return back.select("message_type", "key", "seq", F.get_json_object("payload", "$.event_type").alias("event_type"))
+
+
+@registered("SELECT event_id, t AS message_type FROM events CROSS JOIN (VALUES ('event'), ('audit'), ('billing')) AS v(t)")
+def multi_type_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fanout.by_types(events(spark, sf_dir).select("event_id"), ["event", "audit", "billing"])
+
+
+@registered("""
+SELECT event_id, 'number(even)' AS message_type, CASE WHEN event_id % 2 = 0 THEN 'yes' ELSE 'no' END AS message_key FROM events
+UNION ALL SELECT event_id, 'number(odd)', CASE WHEN event_id % 2 = 1 THEN 'yes' ELSE 'no' END FROM events""")
+def multi_key_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    even = F.when(F.col("event_id") % 2 == 0, "yes").otherwise("no")
+    odd = F.when(F.col("event_id") % 2 == 1, "yes").otherwise("no")
+    return fanout.by_keys(events(spark, sf_dir).select("event_id"), "number", {"even": even, "odd": odd})
+
+
+@registered("""
+SELECT cluster, message_key, count(*) AS handled FROM (
+SELECT 'even' AS cluster, CASE WHEN event_id % 2 = 0 THEN 'yes' ELSE 'no' END AS message_key FROM events
+UNION ALL SELECT 'odd', CASE WHEN event_id % 2 = 1 THEN 'yes' ELSE 'no' END FROM events) GROUP BY ALL""")
+def even_odd_dual_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sent_ = multi_key_fanout(spark, sf_dir)
+    receivers = {"number(even)": ["even"], "number(odd)": ["odd"]}
+    given = routing.deliveries(sent_.withColumn("message_types", F.array("message_type")), receivers)
+    return given.groupBy("cluster", "message_key").agg(F.count("*").alias("handled"))
+
+
+@registered("""
+SELECT message_type, count(*) AS n, sum(value) AS total FROM (
+SELECT event_type AS message_type, value FROM events
+UNION ALL SELECT 'interaction', value FROM events WHERE event_type IN ('click', 'view')
+UNION ALL SELECT 'event', value FROM events WHERE event_type IN ('click', 'view', 'purchase')) GROUP BY ALL""")
+def subtype_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parents = {"click": ["interaction", "event"], "view": ["interaction", "event"], "purchase": ["event"]}
+    each = fanout.with_supertypes(events(spark, sf_dir).select("event_type", "value"), "event_type", parents)
+    return each.groupBy("message_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+@registered(f"SELECT word, count(*) AS n FROM (SELECT doc_id, unnest(list_transform(string_split(line, ' '), lambda w: w)) AS word FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)) WHERE word <> '' GROUP BY word")
+def unwind_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A handler that returns lines of words, a list of lists."""
+    nested = F.transform(F.split("text", "\n"), lambda line: F.split(line, " "))
+    each = fanout.unwound(table(spark, sf_dir, "documents").select(nested.alias("word")), "word", 2)
+    return each.where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
+
+
+@registered("SELECT count(*) FILTER (WHERE key IS NOT NULL) AS sent, count(*) FILTER (WHERE key IS NULL) AS dropped FROM (SELECT json_extract_string(props, '$.k') AS key FROM events)")
+def unkeyed_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = events(spark, sf_dir).select(F.get_json_object("props", "$.k").alias("key"))
+    good, bad = fanout.keyed_only(keys, "key")
+    return good.agg(F.count("*").alias("sent")).crossJoin(bad.agg(F.count("*").alias("dropped")))  # one row each
+
+
+# Routing
+
+
+@registered("SELECT event_type, count(*) AS n, event_type IN ('click', 'view', 'purchase') AS handled FROM events GROUP BY event_type")
+def type_routing_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    typed = events(spark, sf_dir).withColumnRenamed("event_type", "message_type")
+    known = ["click", "view", "purchase"]
+    good = routing.handled(typed, known).groupBy("message_type").agg(F.count("*").alias("n")).withColumn("handled", F.lit(True))
+    bad = routing.not_sent(typed, known).groupBy("message_type").agg(F.count("*").alias("n")).withColumn("handled", F.lit(False))
+    return good.union(bad).withColumnRenamed("message_type", "event_type")
+
+
+@registered("SELECT c AS cluster, count(*) AS handled FROM events JOIN (VALUES ('a','event'), ('a','audit'), ('b','audit')) AS v(c, t) ON t IN ('event', 'audit') GROUP BY c")
+def duplicate_delivery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster a handles both types of each message, and so each message twice."""
+    typed = events(spark, sf_dir).select("event_id", F.array(F.lit("event"), F.lit("audit")).alias("message_types"))
+    return routing.deliveries(typed, {"event": ["a"], "audit": ["a", "b"]}).groupBy("cluster").agg(F.count("*").alias("handled"))
+
+
+@registered("""
+WITH RECURSIVE r AS (SELECT event_id, event_id % 7 AS hops FROM events UNION ALL SELECT event_id, hops - 1 FROM r WHERE hops > 0)
+SELECT hops, count(*) AS handled FROM r GROUP BY hops""")
+def feedback_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stage that sends to itself until a message has no hops left: a recursive query, with a bound on its depth."""
+    events(spark, sf_dir).createOrReplaceTempView("keyloom_events")
+    return spark.sql("""
+        WITH RECURSIVE r(event_id, hops) AS (
+          SELECT event_id, event_id % 7 FROM keyloom_events UNION ALL SELECT event_id, hops - 1 FROM r WHERE hops > 0)
+        SELECT hops, count(*) AS handled FROM r GROUP BY hops""")
+
+
+@registered("""
+WITH o AS (SELECT l_orderkey, sum(l_quantity) AS quantity FROM lineitem GROUP BY 1),
+c AS (SELECT o_custkey, sum(quantity) AS quantity FROM o JOIN orders ON o_orderkey = l_orderkey GROUP BY 1)
+SELECT n_name, sum(quantity) AS quantity, count(*) AS customers FROM c JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY 1""")
+def three_stage_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items to orders to customers to nations: each stage keeps a sum for its key."""
+    items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("quantity"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    customers = items.join(orders, items.l_orderkey == orders.o_orderkey).groupBy("o_custkey").agg(F.sum("quantity").alias("quantity"))
+    own = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey").join(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return customers.join(own, F.col("o_custkey") == F.col("c_custkey")).groupBy("n_name").agg(F.sum("quantity").alias("quantity"), F.count("*").alias("customers"))
+
+
+@registered("SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL")
+def group_colocation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two stages of one key share the exchange of the first: a count by user and type after dealing by user."""
+    dealt = routing.grouped(events(spark, sf_dir).select("user_id", "event_type"), "user_id")
+    return dealt.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+
+
+# Keyed state
+
+
+@registered(f"SELECT word, count(*) - 1 AS rank FROM {SQL_WORDS} WHERE word <> '' GROUP BY word")
+def word_count_final(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyed.final_count(words(spark, sf_dir), "word").withColumnRenamed("last_count", "rank")
+
+
+@registered(f"SELECT word, count(*) - 1 AS rank FROM {SQL_WORDS} WHERE word <> '' GROUP BY word ORDER BY rank DESC, word LIMIT 10")
 def word_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "documents").select(F.explode(F.split("text", SPACE)).alias("word")).where("word <> ''")
-    ranked = words.groupBy("word").agg((F.count("*") - 1).alias("rank"))
-    return ranked.orderBy(F.desc("rank"), "word").limit(10)
-
-
-QUERIES = {"word_top10": word_top10}
-ORACLES = {
-    "word_top10": r"""
-SELECT word, count(*) - 1 AS rank
-FROM (SELECT unnest(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+')) AS word FROM documents)
-WHERE word <> '' GROUP BY word ORDER BY rank DESC, word LIMIT 10"""
-}
+    return keyed.sorted_pairs(keyed.top_k(word_count_final(spark, sf_dir), "word", "rank"), "word", "rank")
+
+
+@registered("SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS running_count FROM events")
+def running_count_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyed.running_count(events(spark, sf_dir).select("event_id", "user_id", "ts"), "user_id", ["ts", "event_id"]).drop("ts")
+
+
+@registered("SELECT user_id::VARCHAR AS user_id, count(*) - 1 AS last_count FROM events GROUP BY user_id")
+def running_count_imperative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same counter as a Python class, its results put by a second one: declarative and imperative forms agree."""
+    counts = imperative(event_messages(spark, sf_dir), samples.counter())
+    return sent(counts).groupBy("key").agg(F.max_by(F.get_json_object("payload", "$.count").cast("long"), "seq").alias("last_count")).withColumnRenamed("key", "user_id")
+
+
+@registered("SELECT user_id, arg_max(value, event_id) AS last_value FROM events GROUP BY user_id")
+def last_value_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyed.last_value(events(spark, sf_dir), "user_id", "value", "event_id")
+
+
+@registered("SELECT user_id, max(value) AS max_value FROM events GROUP BY user_id")
+def keep_max_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyed.keep_max(events(spark, sf_dir), "user_id", "value")
+
+
+@registered("SELECT count(*) AS messages, count(DISTINCT user_id) AS instances, max(value) AS largest FROM events")
+def shared_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyed.global_table(events(spark, sf_dir), F.count("*").alias("messages"), F.countDistinct("user_id").alias("instances"), F.max("value").alias("largest"))
+
+
+@registered("SELECT count(DISTINCT user_id) AS created FROM events")
+def instances_created(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = imperative(event_messages(spark, sf_dir), samples.counter())
+    return made.agg(F.count_if(F.col("kind") == "created").alias("created"))
+
+
+@registered("SELECT custkey, count(*) FILTER (WHERE t = 'customer') AS profiles, count(*) FILTER (WHERE t = 'order') AS orders, sum(price) AS spent FROM (SELECT c_custkey AS custkey, 'customer' AS t, NULL AS price FROM customer UNION ALL SELECT o_custkey, 'order', o_totalprice FROM orders) GROUP BY custkey")
+def two_type_cogroup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two message types with one state: a profile and its orders."""
+    profiles = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("custkey"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("custkey"), F.col("o_totalprice").alias("price"))
+    both = keyed.cogroup({"customer": profiles, "order": orders}, "custkey")
+    of = lambda t: F.count_if(F.col("message_type") == t)
+    return both.groupBy("custkey").agg(of("customer").alias("profiles"), of("order").alias("orders"), F.sum("price").alias("spent"))
+
+
+@registered("SELECT user_id::VARCHAR AS user_id, count(*) AS handled FROM events GROUP BY user_id")
+def bulk_handling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bulk handler gets what has piled up for its key, and emits once for each pile; the sum is what single calls count."""
+    got = sent(imperative(event_messages(spark, sf_dir), samples.bulk_counter(), bulk=True))
+    return got.groupBy(F.col("key").alias("user_id")).agg(F.sum(F.get_json_object("payload", "$.count").cast("long")).alias("handled"))
+
+
+@registered("SELECT kind, count(*) AS n FROM (SELECT CASE WHEN event_type = 'purchase' THEN 'exact' WHEN event_type IN ('click', 'view') THEN 'parent' ELSE 'general' END AS kind FROM events) GROUP BY kind")
+def polymorphic_handlers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The handler of a message: of its own type, else of the type above it, else of what both are."""
+    t = F.col("event_type")
+    kind = F.when(t == "purchase", "exact").when(t.isin("click", "view"), "parent").otherwise("general")
+    return events(spark, sf_dir).groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+
+
+@registered("SELECT user_id::VARCHAR AS user_id, count(*) FILTER (WHERE event_id % 10 <> 3) AS results, count(*) AS touched FROM events GROUP BY user_id")
+def handler_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A handler that fails on some messages after changing its state: no result, but the change stays."""
+    got = imperative(event_messages(spark, sf_dir), samples.failing())
+    key = F.coalesce("key", F.get_json_object("payload", "$.key"))
+    touched = F.max(F.get_json_object("payload", "$.touched").cast("long"))
+    done = got.where("kind IN ('message', 'failed')").groupBy(key.alias("user_id")).agg(F.count_if(F.col("kind") == "message").alias("results"), F.count_if(F.col("kind") == "failed").alias("failed"), touched.alias("seen"), F.max_by("kind", "seq").alias("last"))
+    # a failed last message changed the state after the last result
+    tail = got.where("kind = 'failed'").join(got.where("kind = 'message'").groupBy("key").agg(F.max("seq").alias("last_good")), "key").where("seq > last_good").groupBy(F.col("key").alias("user_id")).agg(F.count("*").alias("more"))
+    return done.join(tail, "user_id", "left").select("user_id", "results", (F.col("seen") + F.coalesce("more", F.lit(0))).alias("touched"))
+
+
+@registered("SELECT user_id, count(*) AS dispatched, count(*) FILTER (WHERE event_type = 'error') AS failed, count(*) FILTER (WHERE event_type <> 'error') AS processed, sum(value) AS total FROM events GROUP BY user_id")
+def handler_errors_declarative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyed.failing(events(spark, sf_dir), F.col("event_type") == "error", [F.sum("value").alias("total")], "user_id")
+
+
+@registered("SELECT user_id::VARCHAR AS user_id, count(*) AS calls FROM events GROUP BY user_id")
+def functional_processors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The functional form of a processor, in a topology of two stages."""
+    node = Node.builder("sample").default_routing("managed").receiver().cluster("count").mp(samples.functional_counter()).cluster("put").mp(samples.putter()).build()
+    found = run(Topology(node), event_messages(spark, sf_dir))["put"]
+    return found.where("kind = 'processed'").groupBy(F.col("key").alias("user_id")).agg(F.count("*").alias("calls"))
+
+
+# Lifecycle
+
+
+@registered("SELECT user_id, arg_min(event_id, (ts, event_id)) AS event_id, arg_min(event_type, (ts, event_id)) AS event_type FROM events GROUP BY user_id")
+def activation_first_message(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyed.first_message(events(spark, sf_dir), "user_id", F.struct("ts", "event_id"), "event_id", "event_type")
+
+
+@registered("""
+WITH c AS (SELECT user_id, date_trunc('day', ts)::TIMESTAMP AS period, count(*) AS n FROM events GROUP BY ALL),
+g AS (SELECT user_id, unnest(generate_series(min(period), (SELECT max(date_trunc('day', ts))::TIMESTAMP FROM events), INTERVAL 1 DAY)) AS period FROM c GROUP BY user_id)
+SELECT user_id, period::DATE AS period, sum(coalesce(n, 0)) OVER (PARTITION BY user_id ORDER BY period)::BIGINT AS total FROM g LEFT JOIN c USING (user_id, period)""")
+def output_pass_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lifecycle.output_pass(events(spark, sf_dir), "user_id", "ts").withColumn("period", F.to_date("period"))
+
+
+SQL_LIVES = f"""
+l AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS life FROM (
+SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) > {IDLE * 1_000_000} THEN 1 ELSE 0 END AS fresh FROM events))"""
+
+
+@registered(f"WITH {SQL_LIVES} SELECT user_id, life, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS messages, sum(value) AS total FROM l GROUP BY user_id, life")
+def evict_idle_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lifecycle.evicted(events(spark, sf_dir), "user_id", "ts", IDLE, F.sum("value").alias("total"))
+
+
+@registered(f"""WITH {SQL_LIVES}, s AS (SELECT user_id, life, max(ts) AS last_seen FROM l GROUP BY ALL)
+SELECT count(*) AS created, count(*) FILTER (WHERE gone) AS deleted, count(*) FILTER (WHERE NOT gone) AS live FROM (
+SELECT life < max(life) OVER (PARTITION BY user_id) OR epoch_us((SELECT max(ts) FROM events)) - epoch_us(last_seen) > {IDLE * 1_000_000} AS gone FROM s)""")
+def passivation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gone = lifecycle.passivations(events(spark, sf_dir), "user_id", "ts", IDLE)
+    return gone.agg(F.count("*").alias("created"), F.count_if("passivated").alias("deleted"), F.count_if(~F.col("passivated")).alias("live"))
+
+
+@registered("SELECT user_id::VARCHAR AS user_id, count(*) // 10 AS evictions FROM events GROUP BY user_id")
+def evictable_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A predicate in Python: an instance goes after ten messages, and the next message finds a fresh one."""
+    got = imperative(event_messages(spark, sf_dir), samples.evicting())
+    return got.where("kind IN ('evicted', 'processed')").groupBy(F.col("key").alias("user_id")).agg(F.count_if(F.col("kind") == "evicted").alias("evictions"))
+
+
+@registered("SELECT c_custkey, coalesce(n, 0) AS orders FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey")
+def keysource_preinstantiate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extension: customers without an order have an instance too."""
+    state = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("orders"))
+    return lifecycle.preinstantiated(table(spark, sf_dir, "customer").select("c_custkey"), state, "c_custkey", {"orders": 0})
+
+
+@registered("SELECT user_id::VARCHAR AS user_id, count(*) AS total FROM events GROUP BY user_id")
+def restored_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extension: instances passivated with their state go on from it in a second run."""
+    messages = event_messages(spark, sf_dir)
+    first = imperative(messages.where("seq % 2 = 0"), samples.counter(), keep=True)
+    second = imperative(messages.where("seq % 2 = 1"), samples.counter(), keep=True, final_output=True, state=first.where("kind = 'state'"))
+    return second.where("kind = 'message' AND message_type = 'total'").select(F.col("key").alias("user_id"), F.get_json_object("payload", "$.count").cast("long").alias("total"))
+
+
+# Shards
+
+
+@registered("SELECT DISTINCT user_id, (514229 * user_id) & 255 AS shard FROM events")
+def shard_of_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.with_shard(events(spark, sf_dir).select("user_id").distinct(), "user_id")
+
+
+@registered("""
+SELECT event_type, (514229 * list_reduce(list_prepend(0::BIGINT, list_transform(string_split(event_type, ''), lambda c: unicode(c)::BIGINT)), lambda h, x: (h * 31 + x) % 256)) & 255 AS shard
+FROM (SELECT DISTINCT event_type FROM events)""")
+def shard_of_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.with_shard(events(spark, sf_dir).select("event_type").distinct(), "event_type", text=True)
+
+
+@registered("SELECT (514229 * user_id) & 15 AS shard, count(*) AS messages, count(DISTINCT user_id) AS keys FROM events GROUP BY 1")
+def shard_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events(spark, sf_dir).groupBy(shard_of(F.col("user_id"), shards=16).alias("shard")).agg(F.count("*").alias("messages"), F.countDistinct("user_id").alias("keys"))
+
+
+@registered("SELECT nodes, rank, 256 // greatest(nodes, 3) + CASE WHEN rank < 256 % greatest(nodes, 3) THEN 1 ELSE 0 END AS shards FROM (SELECT nodes, unnest(range(nodes)) AS rank FROM range(1, 11) AS t(nodes))")
+def shard_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.quotas(spark.range(1, 11).toDF("nodes"), 256, 3)
+
+
+@registered("SELECT CASE WHEN s < 6 THEN 'n0' WHEN s < 11 THEN 'n1' ELSE 'n2' END AS node, count(*) AS messages FROM (SELECT (514229 * user_id) & 15 AS s FROM events) GROUP BY 1")
+def managed_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = shards.allocate(16, ["n0", "n1", "n2"])
+    return shards.routed(events(spark, sf_dir), given, "user_id", shards=16).groupBy("node").agg(F.count("*").alias("messages"))
+
+
+@registered("SELECT count(*) FILTER (WHERE s < 8) AS sent, count(*) FILTER (WHERE s >= 8) AS not_sent FROM (SELECT (514229 * user_id) & 15 AS s FROM events)")
+def unassigned_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages whose shard has no owner aren't sent."""
+    given = shards.routed(events(spark, sf_dir), {"n0": range(8)}, "user_id", shards=16)
+    return given.agg(F.count_if(F.col("node").isNotNull()).alias("sent"), F.count_if(F.col("node").isNull()).alias("not_sent"))
+
+
+@registered("SELECT DISTINCT user_id, (514229 * user_id) & 15 AS shard FROM events WHERE (514229 * user_id) & 15 BETWEEN 4 AND 7")
+def owned_after_shrink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.evicted_by_shrink(events(spark, sf_dir), "user_id", range(8), range(4), shards=16)
+
+
+# Shedding and counters
+
+
+@registered("""
+SELECT batch, count(*) AS received, count(*) FILTER (WHERE discarded) AS discarded FROM (
+SELECT batch, place > 80 OR place <= least(n, 80) - 40 AS discarded FROM (
+SELECT date_trunc('day', ts)::DATE AS batch, row_number() OVER (PARTITION BY date_trunc('day', ts) ORDER BY event_id) AS place, count(*) OVER (PARTITION BY date_trunc('day', ts)) AS n FROM events)) GROUP BY batch""")
+def shed_by_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = events(spark, sf_dir).select("event_id", F.to_date("ts").alias("batch"))
+    return shedding.shed(own, "batch", "event_id", 40).groupBy("batch").agg(F.count("*").alias("received"), F.count_if("discarded").alias("discarded"))
+
+
+@registered("SELECT user_id, least(count(*), 20) AS accepted FROM events GROUP BY user_id")
+def container_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = shedding.limited(events(spark, sf_dir).select("user_id", "event_id"), "user_id", "event_id", 20)
+    return kept.groupBy("user_id").agg(F.count_if(~F.col("discarded")).alias("accepted"))
+
+
+@registered("SELECT count(*) AS dispatched, count(*) FILTER (WHERE event_id % 10 <> 3) AS processed, count(*) FILTER (WHERE event_id % 10 = 3) AS failed, count(DISTINCT user_id) AS created, 0 AS deleted, 0 AS evicted, 0 AS unkeyed, count(*) FILTER (WHERE event_id % 10 <> 3) AS sent, 0 AS collisions FROM events")
+def cluster_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.cluster_counts(imperative(event_messages(spark, sf_dir), samples.failing()))
+
+
+@registered("SELECT (SELECT count(*) FROM events) AS sent, (SELECT count(*) FROM events) AS processed_and_discarded, true AS balanced")
+def metric_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = shedding.shed(events(spark, sf_dir).select("event_id", F.to_date("ts").alias("batch")), "batch", "event_id", 40)
+    counts = own.agg(F.count("*").alias("sent"), (F.count_if(~F.col("discarded")) + F.count_if("discarded")).alias("processed_and_discarded"))
+    return counts.withColumn("balanced", F.col("sent") == F.col("processed_and_discarded"))
+
+
+# EXTENSIONS: event-time windows and relational forms
+
+
+@registered("SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY ALL")
+def window_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = windows.tumbling(events(spark, sf_dir), "ts", "1 day", ["event_type"], {"n": F.count("*"), "total": F.sum("value")})
+    return got.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", "total")
+
+
+@registered("SELECT w AS window_start, count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL 6 HOUR, ts), time_bucket(INTERVAL 6 HOUR, ts) - INTERVAL 6 HOUR]) AS w FROM events) GROUP BY w")
+def window_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = windows.sliding(events(spark, sf_dir), "ts", "12 hours", "6 hours", [], {"n": F.count("*")})
+    return got.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n")
+
+
+@registered(f"WITH {SQL_LIVES.replace('> ' + str(IDLE * 1_000_000), '>= ' + str(IDLE * 1_000_000))} SELECT user_id, min(ts) AS window_start, count(*) AS n FROM l GROUP BY user_id, life")
+def window_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = windows.sessions(events(spark, sf_dir), "ts", f"{IDLE} seconds", ["user_id"], {"n": F.count("*")})
+    return got.select("user_id", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n")
+
+
+@registered("SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, sum(l_extendedprice) AS sum_base, sum(l_extendedprice * (1 - l_discount)) AS sum_disc, avg(l_quantity) AS avg_qty, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL")
+def relational_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "lineitem").where("l_shipdate <= timestamp_ntz'1998-09-02'")
+    return own.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.sum("l_extendedprice").alias("sum_base"), F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("sum_disc"), F.avg("l_quantity").alias("avg_qty"), F.count("*").alias("n"))
+
+
+@registered("SELECT n_name, sum(l_extendedprice * (1 - l_discount)) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey AND c_nationkey = s_nationkey JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name")
+def relational_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, o, l, s, n = (table(spark, sf_dir, t) for t in ("customer", "orders", "lineitem", "supplier", "nation"))
+    joined = c.join(o, c.c_custkey == o.o_custkey).join(l, o.o_orderkey == l.l_orderkey).join(s, (l.l_suppkey == s.s_suppkey) & (c.c_nationkey == s.s_nationkey)).join(n, s.s_nationkey == n.n_nationkey)
+    return joined.groupBy("n_name").agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"))
+
+
+@registered("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def relational_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    return table(spark, sf_dir, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+
+
+@registered("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 100000)")
+def relational_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").where("o_totalprice > 100000")
+    return table(spark, sf_dir, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
+
+
+@registered("SELECT e.event_id, (SELECT max(p.event_id) FROM events p WHERE p.user_id = e.user_id AND p.event_type = 'purchase' AND p.event_id < e.event_id) AS last_purchase FROM events e WHERE e.event_type = 'click'")
+def relational_asof_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last purchase before each click of a user: one ordered window over both, in place of a range join."""
+    own = events(spark, sf_dir).where("event_type IN ('click', 'purchase')").select("event_id", "user_id", "event_type")
+    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
+    bought = F.when(F.col("event_type") == "purchase", F.col("event_id"))
+    return own.withColumn("last_purchase", F.last(bought, ignorenulls=True).over(w)).where("event_type = 'click'").select("event_id", "last_purchase")
+
+
+@registered("SELECT n_regionkey, c_mktsegment, count(*) AS n, sum(c_acctbal) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY CUBE (n_regionkey, c_mktsegment)")
+def relational_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return own.cube("n_regionkey", "c_mktsegment").agg(F.count("*").alias("n"), F.sum("c_acctbal").alias("balance"))
+
+
+@registered("SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderpriority, o_orderstatus)")
+def relational_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").rollup("o_orderpriority", "o_orderstatus").agg(F.count("*").alias("n"))
+
+
+@registered("SELECT s_nationkey AS nationkey FROM supplier INTERSECT SELECT c_nationkey FROM customer WHERE c_acctbal > 9000")
+def relational_set_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rich = table(spark, sf_dir, "customer").where("c_acctbal > 9000").select("c_nationkey")
+    return table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nationkey")).intersect(rich)
+
+
+@registered("SELECT event_type, count(DISTINCT user_id) AS users, count(DISTINCT json_extract_string(props, '$.k')) AS kinds FROM events GROUP BY event_type")
+def relational_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events(spark, sf_dir).groupBy("event_type").agg(F.countDistinct("user_id").alias("users"), F.countDistinct(F.get_json_object("props", "$.k")).alias("kinds"))
+
+
+@registered("SELECT user_id, event_id, sum(value) OVER (PARTITION BY user_id ORDER BY event_id) AS running_total, max(value) OVER (PARTITION BY user_id ORDER BY event_id) AS running_max FROM events")
+def running_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A declarative processor with two state variables, emitted after each message."""
+    fold = Declarative({"running_total": F.sum("value"), "running_max": F.max("value")})
+    return fold.lower(events(spark, sf_dir), "user_id", "event_id").select("user_id", "event_id", "running_total", "running_max")
