@@ -23,11 +23,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row of each near-duplicate component with the smallest doc_id, of five-word shingles; the first of equal ids.
+    """The row with the smallest doc_id of each group of near copies: 0.8 or more of their five-word shingles in common.
 
     Rows whose text has no words are left as they are: nothing in them is a copy of a text.
     """
-    return simhash.representatives(docs, width=5)
+    return simhash.representatives(docs, width=5, similarity=0.8)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

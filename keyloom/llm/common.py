@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keyloom.storage import cut, shared_folder
+
+__all__ = ["BATCH_BYTES", "components", "cut", "forest", "free_name", "shared_folder", "squeeze", "table", "text_batches", "unpacked"]
+
 #: Bytes of text that a Python worker handles at once.
 BATCH_BYTES = 4 << 20
 
@@ -18,25 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder, from spark.checkpoint.dir; only a local master without that setting gets a temporary one."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", "")
-        if not folder:
-            if not sc.master.startswith("local[") and sc.master != "local":
-                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="keyloom-checkpoint-")
-        sc.setCheckpointDir(folder)
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from there."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def free_name(df: DataFrame, name: str) -> str:
     """name, lengthened until df has no such column, whatever its case."""
     taken = {c.lower() for c in df.columns}
@@ -62,6 +47,21 @@ def text_batches(batches: Iterator[pa.RecordBatch], key: str = "doc_id", text: s
             yield ids.slice(first), [x or b"" for x in raw.slice(first).to_pylist()]
 
 
+def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches whose last column is a text, with the text compressed for a shuffle; see unpacked()."""
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        done = 0
+        for _, texts in text_batches(iter([batch]), batch.schema.names[0]):
+            part = batch.slice(done, len(texts))
+            done += len(texts)
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([pack(t) for t in texts], pa.binary())], names=batch.schema.names)
+
+
+def unpacked(raw: bytes | None) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(raw) if raw else b""
+
+
 def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(node, smallest node of its component) of a bounded block of links, roots left out."""
     nodes, flat = np.unique(np.concatenate([u, v]), return_inverse=True)

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import components, cut, free_name, text_batches
+from keyloom.llm.common import components, cut, free_name, squeeze, text_batches, unpacked
 
 SEED = 42
 BITS = 64
@@ -105,31 +105,128 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 3) -> DataF
     return prints.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def representatives(docs: DataFrame, width: int = 5, distance: int = 3) -> DataFrame:
-    """One row of each near-duplicate component of docs, with all of its columns: the first row that has the smallest doc_id.
+#: Views of a text in the stage for near copies: each the SimHash of its SAMPLE shingles with the least hashes under one mixing.
+VIEWS = 10
+SAMPLE = 4
+SIMILAR = 0.8
+#: Members of one hub that a task compares.
+SHARE = 2000
 
-    Texts without words, null or empty, are not copies of each other here, and all stay. In a component whose rows all have a
-    null doc_id the first row stays. Fingerprints and components come from two columns; only the kept rows' numbers then meet
-    the table again, which must keep its partitions between the two reads, as tables do.
+_MIX = np.array([(0x9E3779B97F4A7C15 * (2 * v + 1)) & (1 << 64) - 1 for v in range(VIEWS)], np.uint64)[:, None]
+
+
+def views(distinct: np.ndarray) -> np.ndarray:
+    """VIEWS fingerprints: of four sampled hashes, the bits that three or more have. Texts that share a sample share its view.
+
+    Of two texts with a share J of their shingles in common, a sample is the same with a chance of about J ** SAMPLE.
     """
-    name = free_name(docs, "row_number_")
-    rows = docs.withColumn(name, F.monotonically_increasing_id())
-    numbered = rows.select(F.col(name).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    mixed = (distinct ^ (distinct >> np.uint64(31))) * _MIX
+    mixed ^= mixed >> np.uint64(29)
+    if mixed.shape[1] > SAMPLE:
+        mixed = np.partition(mixed, SAMPLE - 1, axis=1)[:, :SAMPLE]
+    a, b, c, d = (mixed[:, k % mixed.shape[1]] for k in range(SAMPLE)) if mixed.shape[1] >= SAMPLE else (np.bitwise_xor.reduce(mixed, axis=1),) * SAMPLE
+    pair, both = a & b, c & d
+    return (pair & (c | d) | both & (a | b)).view(np.int64)
+
 
+def shingle_set(text: bytes, width: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, width))
+
+
+PRINTS = "row long, doc_id long, size int, set_a long, set_b long, fp long, views array<long>"
+
+
+def _prints(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done = 0
             for _, texts in text_batches(iter([batch]), "row"):
                 part = batch.slice(done, len(texts))
                 done += len(texts)
-                worded = pa.array([bool(t.strip()) for t in texts])
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fingerprints(texts, width)), worded], names=["row", "doc_id", "fp", "worded"])
+                sets = [shingle_set(t, width) for t in texts]
+                names = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
+                halves = np.frombuffer(b"".join(names), np.int64).reshape(-1, 2)
+                own = [views(x).tolist() if len(x) else None for x in sets]
+                columns = [part.column(0), part.column(1), pa.array([len(x) for x in sets], pa.int32()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(fingerprints(texts, width)), pa.array(own, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in PRINTS.split(", ")])
 
-    prints = cut(numbered.mapInArrow(run, "row long, doc_id long, fp long, worded boolean"))
-    worded = prints.where("worded")
-    nodes = worded.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
-    roots = components(links(nodes.select("fp"), distance))
-    placed = nodes.join(roots, nodes.fp == roots.node, "left").select("first", F.coalesce("root", "fp").alias("root"))
+    return run
+
+
+def _sets(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = pa.array([(shingle_set(unpacked(t.as_py()), width) >> np.uint64(32)).astype("<u4").tobytes() for t in batch.column(1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), own, batch.column(2)], names=["node", "shingles", "hubs"])
+
+    return run
+
+
+def _verified(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, hub = None, None
+        for batch in batches:
+            a, b = [], []
+            for h, part, leads, node, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                own = np.frombuffer(raw, "<u4")
+                if (h, part) != at:
+                    at, hub = (h, part), own if leads else None
+                    if leads:
+                        continue
+                if hub is not None:
+                    shared = len(np.intersect1d(hub, own))
+                    if shared >= least * (len(np.unique(hub)) + len(np.unique(own)) - shared):
+                        a.append(h), b.append(node)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def representatives(docs: DataFrame, width: int = 5, similarity: float = SIMILAR, distance: int = 3) -> DataFrame:
+    """One row of each group of near copies in docs, with all of its columns: the first row that has the smallest doc_id.
+
+    Near copies share `similarity` or more of their distinct shingles of `width` words (intersection over union); links are
+    transitive. Candidates are texts whose fingerprints differ in at most `distance` bits, by multi-index hashing, and texts that
+    share a view, a SimHash of a small min-wise sample of their shingles: at a similarity of 0.8, fingerprints of whole texts
+    differ in some ten bits of 64, for which no segments are both few and selective, while one of ten samples is the same with a
+    chance above 0.99. Texts of equal shingles are one node. In each bucket all nodes are compared with its least and its last node,
+    so a bucket of any size costs two comparisons a member; SHARE members of a hub at most meet in one task. Every link is verified on
+    the sets of shingles themselves, by 32 bits of each hash.
+
+    Texts without words, null or empty, are not copies of each other, and all stay. In a group whose rows all have a null doc_id
+    the first row stays. docs must keep its partitions between reads, as tables do.
+    """
+    name = free_name(docs, "row_number_")
+    rows = docs.withColumn(name, F.monotonically_increasing_id())
+    numbered = rows.select(F.col(name).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    prints = cut(numbered.mapInArrow(_prints(width), PRINTS))
+    worded = prints.where("size > 0")
+    nodes = worded.groupBy("set_a", "set_b", "size").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"), F.first("fp").alias("fp"), F.first("views").alias("views"))
+    nodes = cut(nodes.select(F.col("first.row").alias("node"), "first", "fp", "views"))
+
+    # the fingerprint is one more view; fingerprints near each other join the buckets of both
+    owns = nodes.select("node", F.posexplode(F.concat("views", F.array("fp"))).alias("view", "value"))
+    least = owns.groupBy("view", "value").agg(F.min("node").alias("hub"), F.max("node").alias("other"), F.count("*").alias("held"))
+    inside = owns.join(least.where("held > 1"), ["view", "value"]).select(F.explode(F.array("hub", "other")).alias("hub"), "node")
+    heads = least.where(F.col("view") == VIEWS).select(F.col("value").alias("fp"), "hub")
+    near = links(heads.select("fp"), distance)
+    across = near.join(heads.select(F.col("fp").alias("a"), F.col("hub").alias("p")), "a").join(heads.select(F.col("fp").alias("b"), F.col("hub").alias("q")), "b")
+    across = across.select(F.least("p", "q").alias("hub"), F.greatest("p", "q").alias("node"))
+    pairs = cut(inside.union(across).where("hub <> node").distinct())
+
+    # each node's text once, with the hubs it is compared with; a hub leads each share of its members
+    shares = pairs.groupBy("hub").agg(F.count("*").alias("members")).select("hub", F.ceil(F.col("members") / SHARE).cast("int").alias("shares"))
+    asked = pairs.join(shares, "hub").select("node", F.struct("hub", F.pmod(F.xxhash64("node"), F.col("shares")).cast("int").alias("part"), F.lit(False).alias("leads")).alias("h"))
+    leads = shares.select(F.col("hub").alias("node"), F.explode(F.transform(F.sequence(F.lit(0), F.col("shares") - 1), lambda k: F.struct(F.col("hub"), k.alias("part"), F.lit(True).alias("leads")))).alias("h"))
+    wanted = asked.union(leads).groupBy("node").agg(F.collect_list("h").alias("hubs"))
+    squeezed = numbered.select("row", "text").mapInArrow(squeeze, "row long, text binary")
+    texts = squeezed.join(wanted, squeezed.row == wanted.node).select("node", "text", "hubs")
+    sets = texts.mapInArrow(_sets(width), "node long, shingles binary, hubs array<struct<hub:long,part:int,leads:boolean>>")
+    each = sets.select("node", "shingles", F.explode("hubs").alias("h")).select("h.hub", "h.part", "h.leads", "node", "shingles")
+    found = each.repartition("hub", "part").sortWithinPartitions("hub", "part", F.desc("leads")).mapInArrow(_verified(similarity), "a long, b long")
+
+    roots = components(found)
+    placed = nodes.select("node", "first").join(roots.withColumnRenamed("node", "own"), F.col("node") == F.col("own"), "left").select("first", F.coalesce("root", "node").alias("root"))
     kept = placed.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
-    kept = kept.union(prints.where("NOT worded").select("row")).withColumnRenamed("row", name)
+    kept = kept.union(prints.where("size = 0").select("row")).withColumnRenamed("row", name)
     return rows.join(kept, name, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
