@@ -24,7 +24,7 @@ NEAR = 140
 #: Starts that one piece of a long text covers.
 SEGMENT = 1 << 20
 #: Distinct phrases of one core that a task compares; larger groups are compared string by string.
-GROUP = 256
+GROUP = 8192
 
 
 def triggers(data: np.ndarray) -> np.ndarray:
