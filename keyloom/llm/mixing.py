@@ -153,4 +153,4 @@ def sql(seed: int = 1, rounds: int = ROUNDS) -> str:
             last = f"x{i}_{k}"
     parts.append(f"p AS MATERIALIZED (SELECT source, lang, topic, x / mass / max(x / mass) OVER () AS p FROM {last})")
     u = f"('0x' || substr(md5('{seed}:' || doc_id::VARCHAR), 1, 12))::BIGINT / {float(1 << 48)}"
-    return f"WITH {', '.join(parts)} SELECT doc_id, topic, n AS n_tokens, round(coalesce(p, 0), 6) AS probability, {u} < coalesce(p, 0) AS kept FROM d LEFT JOIN p USING (source, lang, topic)"
+    return f"WITH {', '.join(parts)} SELECT doc_id, topic, n AS n_tokens, round(q, 6) AS probability, {u} < q AS kept FROM (SELECT d.*, CASE WHEN n > 0 THEN coalesce(p, 0) ELSE 0 END AS q FROM d LEFT JOIN p USING (source, lang, topic))"
