@@ -5,6 +5,7 @@ Those under EXTENSIONS render relational needs that the keyed model leaves to ha
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,8 +15,9 @@ from keyloom.functions.hashing import shard_of
 from keyloom.operators import fanout, keyed, lifecycle, metrics, routing, shards, shedding
 from keyloom.plans import samples
 from keyloom.plans.batch import Declarative, envelope, imperative, run, sent
-from keyloom.sources.adaptors import TableAdaptor, from_json_messages, json_messages
-from keyloom.streaming import windows
+from keyloom.sources.adaptors import TableAdaptor, from_json_messages, json_messages, stream_sink
+from keyloom.storage import shared_folder
+from keyloom.streaming import stateful, windows
 from keyloom.topology import Node, Topology
 
 #: Java's white space.
@@ -326,6 +328,39 @@ def restored_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return second.where("kind = 'message' AND message_type = 'total'").select(F.col("key").alias("user_id"), F.get_json_object("payload", "$.count").cast("long").alias("total"))
 
 
+# Streams
+
+
+def streamed(results: DataFrame) -> DataFrame:
+    """A stream over what is available now, through a durable sink in the shared folder, read back as a table."""
+    spark = results.sparkSession
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    stream_sink(results, f"{at}/out", f"{at}/checkpoint").awaitTermination()
+    return spark.read.schema(results.schema).parquet(f"{at}/out")
+
+
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as a stream of messages."""
+    stateful.use_rocksdb(spark)
+    schema = table(spark, sf_dir, "events").schema
+    rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")  # a glob, as a file by itself is no base path
+    return envelope(rows, "event", "user_id", "event_id", "event_id", "user_id", "event_type", "value")
+
+
+@registered("SELECT user_id::VARCHAR AS user_id, count(*) - 1 AS last_count FROM events GROUP BY user_id")
+def stream_running_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counter over a stream, its state in the state store."""
+    got = streamed(stateful.keyed(event_stream(spark, sf_dir), samples.counter()).where("kind = 'message'"))
+    return got.groupBy(F.col("key").alias("user_id")).agg(F.max(F.get_json_object("payload", "$.count").cast("long")).alias("last_count"))
+
+
+@registered("SELECT user_id::VARCHAR AS user_id, count(*) AS handled, count(*) // 10 AS evictions FROM events GROUP BY user_id")
+def stream_eviction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = streamed(stateful.keyed(event_stream(spark, sf_dir), samples.evicting()).where("kind IN ('processed', 'evicted')"))
+    of = lambda k: F.count_if(F.col("kind") == k)
+    return got.groupBy(F.col("key").alias("user_id")).agg(of("processed").alias("handled"), of("evicted").alias("evictions"))
+
+
 # Shards
 
 
