@@ -261,24 +261,32 @@ def lean(model: Model, distinct: list[bytes], codes: np.ndarray, text: np.ndarra
     """Start the first input of words and trigrams at the log odds of toxic texts that hold them, drawn to 0 by rareness."""
     ratio = (label[fits] == 0).sum() / (label[fits] == 1).sum()
 
-    def odds(row: np.ndarray, where: np.ndarray, n: int) -> np.ndarray:
-        pairs = np.unique(row * len(label) + where)
-        row, where = pairs // len(label), pairs % len(label)
-        row, where = row[fits[where]], where[fits[where]]
-        bad, good = (np.bincount(row[label[where] == k], minlength=n) for k in (1, 0))
-        return (np.log((bad + 2) / (good / ratio + 2))).astype(np.float32)
+    at = np.flatnonzero(fits)
+    place = np.full(len(label), -1)
+    place[at] = np.arange(len(at))
+    own = label[at] == 1
+
+    def odds(row: np.ndarray, where: np.ndarray, n: int, each: np.ndarray | None = None, flat: np.ndarray | None = None, firsts: np.ndarray | None = None) -> np.ndarray:
+        """Log odds of n features: each row is a feature in a text, or the start of a list of them in flat."""
+        held = np.zeros((n, len(at)), bool)
+        for k in range(0, len(row), 100_000):
+            r, w = row[k : k + 100_000], place[where[k : k + 100_000]]
+            r, w = r[w >= 0], w[w >= 0]
+            if each is None:
+                held[r, w] = True
+            else:
+                many = each[r]
+                step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                held[flat[np.repeat(firsts[r], many) + step], np.repeat(w, many)] = True
+        bad, good = held[:, own].sum(1), held[:, ~own].sum(1)
+        return np.log((bad + 2) / (good / ratio + 2)).astype(np.float32)
 
     if not len(distinct):
         return
     _, rows, grams, firsts = model.inputs(distinct)
     model.p["word"][:, 0] = odds(rows[codes], text, len(model.vocabulary) + 1)
     model.p["word"][0, 0] = 0
-    each = np.diff(np.append(firsts, len(grams)))
-    pairs = np.unique(codes * len(label) + text)
-    code, where = pairs // len(label), pairs % len(label)
-    spread = np.repeat(np.arange(len(pairs)), each[code])
-    at = firsts[code[spread]] + np.arange(len(spread)) - np.repeat(np.cumsum(each[code]) - each[code], each[code])
-    model.p["gram"][:, 0] = odds(grams[at], where[spread], GRAMS)
+    model.p["gram"][:, 0] = odds(codes, text, GRAMS, np.diff(np.append(firsts, len(grams))), grams, firsts)
 
 
 def calibrate(worst: np.ndarray, label: np.ndarray) -> tuple[float, float]:
