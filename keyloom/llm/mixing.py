@@ -121,8 +121,9 @@ def sample(docs: DataFrame, given: Mapping[str, Mapping[str, float]] | None = No
 
     A row stays if the number that its doc_id fixes is below its probability, so equal ids share one draw.
     """
-    kept = weighted(docs, given).where(uniform(F.col("doc_id"), seed) < F.col("mix_probability"))
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")  # so no column of docs meets one of ours
+    kept = weighted(docs.select(whole, "doc_id", "text", "lang", "source"), given).where(uniform(F.col("doc_id"), seed) < F.col("mix_probability"))
+    return kept.select("whole.*")
 
 
 def mixture(docs: DataFrame, given: Mapping[str, Mapping[str, float]] | None = None, seed: int = 1) -> DataFrame:

@@ -20,13 +20,13 @@ def texts():
     return rows
 
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row long, fp long, kind string, spans string, core string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row long, fp long, kind string, spans string, core string, mix_source string, pipeline_row long"
 
 
 @pytest.fixture(scope="session")
 def documents(spark, texts, tmp_path_factory):
     """The texts as documents, with columns of names that operators use inside."""
-    rows = [(i, t, ["en", "de", None][k % 3], f"src{k % 4}" if k % 7 else None, len(t or ""), k, -k, "kind", None, "") for k, (i, t) in enumerate(texts)]
+    rows = [(i, t, ["en", "de", None][k % 3], f"src{k % 4}" if k % 7 else None, len(t or ""), k, -k, "kind", None, "", "m", k) for k, (i, t) in enumerate(texts)]
     path = str(tmp_path_factory.mktemp("documents"))
     spark.createDataFrame(rows, SCHEMA).repartition(3).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
