@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from keyloom.model import KeyedMessage, TypedMessage
+from keyloom.model import TypedMessage
 from keyloom.operators import fanout, lifecycle, metrics, routing, shedding
 from keyloom.plans import samples
 from keyloom.plans.batch import ENVELOPE, Declarative, imperative, run
