@@ -144,7 +144,14 @@ class Graph:
         return np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
 
     def within(self, q: np.ndarray, least: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, node) pairs with similarity of `least` or more: the beam's, and what links reach from those."""
+        """(query, node) pairs with similarity of `least` or more: the beam's, and what links reach from those.
+
+        Beam 0 stands for a graph that no beam was wide enough for: all nodes are compared.
+        """
+        if not beam:
+            step = max(1, (1 << 24) // len(self.x))
+            found = [np.nonzero(q[k : k + step] @ self.x.T >= least) for k in range(0, len(q), step)]
+            return np.concatenate([np.zeros(0, np.int64), *[a + k * step for k, (a, _) in enumerate(found)]]), np.concatenate([np.zeros(0, np.int64), *[b for _, b in found]])
         at = np.full((len(q), 1), self.entry, np.int32)
         for layer in range(len(self.links) - 1, 0, -1):
             at = self._walk(q, at, layer, 4)[0]
@@ -168,22 +175,25 @@ class Graph:
 def widened(graph: Graph, least: float, audited: int = AUDITED, recall: float = RECALL, widest: int = WIDEST) -> int:
     """The first beam, doubling from BEAM, that finds the wanted share of the links of a sample of the graph's own vectors.
 
-    A vector's link with itself does not count, so vectors without neighbours make the audit no easier.
+    A vector's link with itself does not count, so vectors without neighbours make the audit no easier. 0, which compares all, if
+    the widest beam does not pass either.
     """
     n = len(graph.x)
     sample = np.random.default_rng(5).choice(n, min(audited, n), replace=False)
     truth = int(sum((graph.x[sample] @ graph.x[k : k + 8192].T >= least).sum() for k in range(0, n, 8192))) - len(sample)
     beam = BEAM
-    while beam < min(widest, n):
-        row, node = graph.within(graph.x[sample], least, beam)
+    while beam <= widest:
+        row, node = graph.within(graph.x[sample], least, min(beam, n))
         if (sample[row] != node).sum() >= recall * truth:
-            break
+            return min(beam, n)
         beam *= 2
-    return beam
+    return 0
 
 
 def matrix(column: pd.Series) -> np.ndarray:
-    return np.stack(column.to_list()).astype(np.float64)
+    """Vectors as rows, each scaled by a power of two, which leaves cosines as they are and keeps squares in range."""
+    raw = np.stack(column.to_list()).astype(np.float64)
+    return np.ldexp(raw, -np.frexp(np.abs(raw).max(axis=1))[1][:, None])
 
 
 def build(shard: pd.DataFrame) -> pd.DataFrame:

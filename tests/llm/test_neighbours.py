@@ -61,4 +61,13 @@ def test_audit_widens_the_beam(monkeypatch):
     x = N.unit(np.repeat(draw.normal(size=(40, 8)), 30, axis=0) + draw.normal(size=(1200, 8)) * 0.05)
     graph = N.Graph(x, degree=2, beam=4)
     monkeypatch.setattr(N, "BEAM", 1)
-    assert N.widened(graph, 0.95) > 1
+    assert N.widened(graph, 0.95) != 1
+    assert N.widened(graph, 0.95, recall=1.01, widest=4) == 0
+    row, node = graph.within(x[:50], 0.95, 0)
+    assert len(row) == (x[:50] @ x.T >= 0.95).sum() and ((x[row] * x[node]).sum(1) >= 0.95 - 1e-6).all()
+
+
+def test_huge_and_tiny_components(spark):
+    rows = [(1, [1e300, 1e300]), (2, [1.0, 1.0]), (3, [1e-300, 1e-300]), (4, [1.0, -1.0])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in N.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4)}
