@@ -422,7 +422,7 @@ def container_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.groupBy("user_id").agg(F.count_if(~F.col("discarded")).alias("accepted"))
 
 
-@registered("SELECT count(*) AS dispatched, count(*) FILTER (WHERE event_id % 10 <> 3) AS processed, count(*) FILTER (WHERE event_id % 10 = 3) AS failed, count(DISTINCT user_id) AS created, 0 AS deleted, 0 AS evicted, 0 AS unkeyed, count(*) FILTER (WHERE event_id % 10 <> 3) AS sent, 0 AS collisions FROM events")
+@registered("SELECT count(*) AS dispatched, count(*) FILTER (WHERE event_id % 10 <> 3) AS processed, count(*) FILTER (WHERE event_id % 10 = 3) AS failed, count(DISTINCT user_id) AS created, 0::BIGINT AS deleted, 0::BIGINT AS evicted, 0::BIGINT AS unkeyed, count(*) FILTER (WHERE event_id % 10 <> 3) AS sent, 0::BIGINT AS collisions FROM events")
 def cluster_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.cluster_counts(imperative(event_messages(spark, sf_dir), samples.failing()))
 
