@@ -227,7 +227,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parsed = rows.select("row", "text").mapInArrow(_parsed, "row long, low long, n int, core long, phrase long")
-    shared = parsed.groupBy("core").agg(F.count("*").alias("uses")).where("uses > 1").select("core")
+    # written, so that both sides of the join are dealt for it alone and a core of many phrases can be split
+    shared = cut(parsed.groupBy("core").agg(F.count("*").alias("uses")).where("uses > 1").select("core"))
     found = cut(parsed.join(shared, "core"))
 
     dictionary = found.groupBy("core", "phrase").agg(F.count("*").alias("uses"), F.min(F.struct("row", "low", "n")).alias("at"))
