@@ -15,7 +15,7 @@ from keyloom.storage import cut, shared_folder
 __all__ = ["BATCH_BYTES", "components", "cut", "forest", "free_name", "shared_folder", "squeeze", "table", "text_batches", "unpacked"]
 
 #: Bytes of text that a Python worker handles at once.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
