@@ -23,6 +23,8 @@ REACH = SPAN - GRAM + 1
 NEAR = 140
 #: Starts that one piece of a long text covers.
 SEGMENT = 1 << 20
+#: A phrase's place is its first start and, in the low bits, its starts, REACH at most.
+PLACE = 8
 #: Distinct phrases of one core that a task compares; larger groups are compared string by string.
 GROUP = 8192
 
@@ -96,7 +98,7 @@ def parse(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for ids, texts in text_batches(batches, "row"):
         text, low, n, core, whole = parse(texts)
-        yield pa.RecordBatch.from_arrays([ids.take(pa.array(text)), pa.array(low, pa.int64()), pa.array(n, pa.int32()), pa.array(core), pa.array(whole)], names=["row", "low", "n", "core", "phrase"])
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(text)), pa.array(low << PLACE | n), pa.array(core), pa.array(whole)], names=["row", "place", "core", "phrase"])
 
 
 def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,8 +124,9 @@ def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for raw, wanted in zip(batch.column(0), batch.column(1)):
             text = unpacked(raw.as_py())
             for w in wanted.as_py():
-                rows.append((w["core"], w["phrase"], w["many"], text[w["low"] : w["low"] + w["n"] + SPAN - 1]))
-                held += w["n"] + SPAN
+                low, n = divmod(w["place"], 1 << PLACE)
+                rows.append((w["core"], w["phrase"], w["many"], text[low : low + n + SPAN - 1]))
+                held += n + SPAN
             if held > 1 << 22:
                 yield _content_batch(rows)
                 rows, held = [], 0
@@ -182,10 +185,10 @@ def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def covered(size: int, runs: list[dict]) -> np.ndarray:
-    """Which bytes of a text the repeated strings cover. A run: its first start, its starts, and bits, or null if all repeat."""
+    """Which bytes of a text the repeated strings cover. A run: its place, and bits, or null if all repeat."""
     starts = np.zeros(size + 1, np.int32)
     for r in runs:
-        low, n = r["low"], r["n"]
+        low, n = divmod(r["place"], 1 << PLACE)
         starts[low : low + n] |= 1 if r["bits"] is None else np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=n)
     upto = np.cumsum(starts)
     return (upto[:size] - np.concatenate([np.zeros(min(SPAN, size), np.int32), upto[: max(0, size - SPAN)]])) > 0
@@ -226,17 +229,17 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     null, come back like any other. Other columns are left out; an empty table gives no rows.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parsed = rows.select("row", "text").mapInArrow(_parsed, "row long, low long, n int, core long, phrase long")
+    parsed = rows.select("row", "text").mapInArrow(_parsed, "row long, place long, core long, phrase long")
     # written, so that both sides of the join are dealt for it alone and a core of many phrases can be split
     shared = cut(parsed.groupBy("core").agg(F.count("*").alias("uses")).where("uses > 1").select("core"))
     found = cut(parsed.join(shared, "core"))
 
-    dictionary = found.groupBy("core", "phrase").agg(F.count("*").alias("uses"), F.min(F.struct("row", "low", "n")).alias("at"))
+    dictionary = found.groupBy("core", "phrase").agg(F.count("*").alias("uses"), F.min(F.struct("row", "place")).alias("at"))
     dictionary = cut(dictionary.select("core", "phrase", (F.col("uses") > 1).alias("many"), "at"))
     sizes = dictionary.groupBy("core").agg(F.count("*").alias("size"), F.min("many").alias("settled")).where("size > 1 AND NOT settled")
     wanted = dictionary.join(sizes, "core")
     # a row's list is bounded by its own text
-    asked = wanted.groupBy("at.row").agg(F.collect_list(F.struct("core", "phrase", "many", F.col("at.low").alias("low"), F.col("at.n").alias("n"))).alias("wanted"))
+    asked = wanted.groupBy("at.row").agg(F.collect_list(F.struct("core", "phrase", "many", F.col("at.place").alias("place"))).alias("wanted"))
     squeezed = rows.mapInArrow(_squeezed, "row long, doc_id long, text binary")
     contents = cut(squeezed.join(asked, "row").select("text", "wanted").mapInArrow(_contents, "core long, phrase long, many boolean, content binary"))
 
@@ -253,5 +256,5 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     whole = dictionary.where("many").select("core", "phrase", F.lit(None).cast("binary").alias("bits"))
     classes = whole.union(compared).union(named)
-    runs = found.join(classes, ["core", "phrase"]).groupBy("row").agg(F.collect_list(F.struct("low", "n", "bits")).alias("runs"))
+    runs = found.join(classes, ["core", "phrase"]).groupBy("row").agg(F.collect_list(F.struct("place", "bits")).alias("runs"))
     return squeezed.join(runs, "row", "left").select("doc_id", "text", "runs").mapInArrow(_removed, RESULT)
