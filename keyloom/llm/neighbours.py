@@ -14,7 +14,7 @@ from keyloom.llm.common import components, cut, forest
 THRESHOLD = 0.95
 #: Vectors that a shard's graph holds about, and the fewest shards.
 SHARD = 65_536
-SHARDS = 6
+SHARDS = 2
 #: Links of a node in a layer, and twice as many at the ground; beam while the graph is built; first beam of queries.
 DEGREE = 12
 BUILD_BEAM = 48
@@ -190,17 +190,17 @@ def widened(graph: Graph, least: float, audited: int = AUDITED, recall: float =
     return 0
 
 
-def matrix(column: pd.Series) -> np.ndarray:
-    """Vectors as rows, each scaled by a power of two, which leaves cosines as they are and keeps squares in range."""
-    raw = np.stack(column.to_list()).astype(np.float64)
+def scaled(raw: np.ndarray) -> np.ndarray:
+    """Vectors in double precision, each scaled by a power of two, which leaves cosines as they are and keeps squares in range."""
+    raw = raw.astype(np.float64)
     return np.ldexp(raw, -np.frexp(np.abs(raw).max(axis=1))[1][:, None])
 
 
 def build(shard: pd.DataFrame) -> pd.DataFrame:
     """One row: the shard's vectors, ids and copies, its graph, and the beam that its audit asks for."""
     shard = shard.sort_values("node")
-    raw = matrix(shard["embedding"])
-    graph = Graph(unit(raw))
+    raw = np.stack(shard["embedding"].to_list())
+    graph = Graph(unit(scaled(raw)))
     least = THRESHOLD - SLACK
     held = {"raw": raw, "links": graph.links, "entry": graph.entry, "level": graph.level, "node": shard["node"].to_numpy(), "copies": shard["copies"].to_numpy(), "beam": widened(graph, least)}
     return pd.DataFrame({"shard": shard["shard"].iloc[:1].to_numpy(), "graph": [pickle.dumps(held, protocol=5)]})
@@ -212,12 +212,13 @@ def search(graphs: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
     if len(graphs) and len(queries):
         held = pickle.loads(graphs["graph"].iloc[0])
         graph = Graph.__new__(Graph)
-        exact = held["raw"] / np.linalg.norm(held["raw"], axis=1, keepdims=True)
-        graph.x, graph.links, graph.entry, graph.level = unit(held["raw"]), held["links"], held["entry"], held["level"]
+        exact = scaled(held["raw"])
+        graph.x, graph.links, graph.entry, graph.level = unit(exact), held["links"], held["entry"], held["level"]
+        exact /= np.linalg.norm(exact, axis=1, keepdims=True)
         ids, copies = held["node"], held["copies"]
         own = queries["node"].to_numpy()
-        raw = matrix(queries["embedding"])
-        q = raw / np.linalg.norm(raw, axis=1, keepdims=True)
+        q = scaled(np.stack(queries["embedding"].to_list()))
+        q /= np.linalg.norm(q, axis=1, keepdims=True)
         for i in range(0, len(own), BLOCK):
             row, node = graph.within(q[i : i + BLOCK].astype(np.float32), THRESHOLD - SLACK, held["beam"])
             true = np.concatenate([np.einsum("kd,kd->k", q[i + row[k : k + 65536]], exact[node[k : k + 65536]]) >= THRESHOLD for k in range(0, len(row), 65536)] or [np.zeros(0, bool)])
@@ -244,10 +245,11 @@ def near_duplicates(vectors: DataFrame, shards: int = SHARDS, shard: int = SHARD
     with a null vec_id count as links and get the component_id of their group. Other columns are left out; an empty table gives
     no rows.
     """
-    plain = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    kind = "float" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "double"  # floats move as they are
+    plain = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("embedding"))
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     good = F.col("embedding").isNotNull() & F.forall("embedding", finite) & F.exists("embedding", lambda x: x != 0)
-    marked = plain.withColumn("good", F.coalesce(good, F.lit(False))).withColumn("key", F.when(F.col("good"), F.transform("embedding", lambda x: x + 0.0)))
+    marked = plain.withColumn("good", F.coalesce(good, F.lit(False))).withColumn("key", F.when(F.col("good"), F.transform("embedding", lambda x: (x + F.lit(0.0)).cast(kind))))
     distinct = marked.where("good").groupBy("key").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
     nodes = cut(distinct.select(F.monotonically_increasing_id().alias("row"), F.col("key").alias("embedding"), "first", "copies").withColumn("node", F.coalesce("first", -F.col("row") - 1)))
     n = nodes.count()
