@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -109,8 +110,14 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 3) -> DataF
 VIEWS = 10
 SAMPLE = 4
 SIMILAR = 0.8
-#: Members of one hub that a task compares.
+#: Members of one hub, or of one shingle of many texts, that a task compares.
 SHARE = 2000
+#: One text in SAMPLED tells which shingles are common. Their order only sets the work: any order finds all pairs.
+SAMPLED = 16
+#: Common shingles that are told apart; the rest count as rare.
+COMMON = 200_000
+#: Texts whose ids are broadcast for the last comparison; beyond, the texts are shuffled.
+FEW = 200_000
 
 _MIX = np.array([(0x9E3779B97F4A7C15 * (2 * v + 1)) & (1 << 64) - 1 for v in range(VIEWS)], np.uint64)[:, None]
 
@@ -133,10 +140,46 @@ def shingle_set(text: bytes, width: int) -> np.ndarray:
     return np.unique(shingle_hashes(text, width))
 
 
-PRINTS = "row long, doc_id long, size int, set_a long, set_b long, fp long, views array<long>"
+def tokens(distinct: np.ndarray) -> np.ndarray:
+    """The distinct shingles by the upper 32 bits of their hashes, ascending; all similarities are of these sets."""
+    return np.unique(distinct >> np.uint64(32)).astype("<u4")
 
 
-def _prints(width: int):
+def prefix(own: np.ndarray, common: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
+    """The first n - ceil(least n) + 1 of n tokens in the order of (count, token), rare ones first.
+
+    Two sets that share `least` of their union have a token of both prefixes in common, whatever the order. common is ascending.
+    """
+    keys = own.astype(np.uint64)
+    if len(common) and len(own):
+        at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+        keys |= np.where(common[at] == own, counts[at], 0).astype(np.uint64) << np.uint64(32)
+    size = len(own) - math.ceil(least * len(own) - 1e-9) + 1
+    return np.sort(keys)[:size].astype("<u4") if len(own) else own
+
+
+def _sampled(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in text_batches(batches, "row"):
+            own = np.concatenate([tokens(shingle_set(t, width)) for t in texts])
+            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int32))], names=["token"])
+
+    return run
+
+
+def common_tokens(numbered: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, ascending, their counts) of at most COMMON tokens that three or more of the sampled texts hold."""
+    some = numbered.where(F.pmod(F.xxhash64("row"), F.lit(SAMPLED)) == 0).mapInArrow(_sampled(width), "token int")
+    held = some.groupBy("token").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "token").limit(COMMON).toArrow()
+    found = held.column(0).to_numpy().view(np.uint32)
+    order = np.argsort(found)
+    return found[order], held.column(1).to_numpy()[order]
+
+
+PRINTS = "row long, doc_id long, size int, set_a long, set_b long, fp long, views array<long>, prefix binary, held int"
+
+
+def _prints(width: int, common: np.ndarray, counts: np.ndarray, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done = 0
@@ -147,7 +190,9 @@ def _prints(width: int):
                 names = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
                 halves = np.frombuffer(b"".join(names), np.int64).reshape(-1, 2)
                 own = [views(x).tolist() if len(x) else None for x in sets]
-                columns = [part.column(0), part.column(1), pa.array([len(x) for x in sets], pa.int32()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(fingerprints(texts, width)), pa.array(own, pa.list_(pa.int64()))]
+                held = [tokens(x) for x in sets]
+                firsts = [prefix(x, common, counts, least).tobytes() for x in held]
+                columns = [part.column(0), part.column(1), pa.array([len(x) for x in sets], pa.int32()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(fingerprints(texts, width)), pa.array(own, pa.list_(pa.int64())), pa.array(firsts, pa.binary()), pa.array([len(x) for x in held], pa.int32())]
                 yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in PRINTS.split(", ")])
 
     return run
@@ -156,7 +201,7 @@ def _prints(width: int):
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = pa.array([(shingle_set(unpacked(t.as_py()), width) >> np.uint64(32)).astype("<u4").tobytes() for t in batch.column(1)], pa.binary())
+            own = pa.array([tokens(shingle_set(unpacked(t.as_py()), width)).tobytes() for t in batch.column(1)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), own, batch.column(2)], names=["node", "shingles", "hubs"])
 
     return run
@@ -167,31 +212,129 @@ def _verified(least: float):
         at, hub = None, None
         for batch in batches:
             a, b = [], []
-            for h, part, leads, node, raw in zip(*(c.to_pylist() for c in batch.columns)):
+            rows = (row for k in range(0, len(batch), 500) for row in zip(*(c.to_pylist() for c in batch.slice(k, 500).columns)))
+            for h, part, leads, node, raw in rows:
                 own = np.frombuffer(raw, "<u4")
                 if (h, part) != at:
                     at, hub = (h, part), own if leads else None
                     if leads:
                         continue
                 if hub is not None:
-                    shared = len(np.intersect1d(hub, own))
-                    if shared >= least * (len(np.unique(hub)) + len(np.unique(own)) - shared):
+                    shared = len(np.intersect1d(hub, own, assume_unique=True))
+                    if shared >= least * (len(hub) + len(own) - shared):
                         a.append(h), b.append(node)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
 
+#: key: token and cell; size: tokens held, place in the prefix and side in the cell, from the top.
+PLACES = "key long, size long, node long, root long"
+
+
+def _places(common: np.ndarray, counts: np.ndarray):
+    """A row for each token of each prefix. A common token's nodes fall into parts, each pair of which meets in a cell of its own."""
+    parts = np.maximum(-(-counts * SAMPLED // SHARE), 1)
+    split, parts = common[parts > 1], parts[parts > 1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, len(whole), 1000):
+                batch = whole.slice(first, 1000)
+                raw = batch.column(2).to_pylist()
+                sizes = np.array([len(x) // 4 for x in raw], np.int64)
+                token = np.frombuffer(b"".join(raw), "<u4")
+                row = np.repeat(np.arange(len(raw)), sizes)
+                place = np.arange(len(token)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                node, root, held = (batch.column(k).to_numpy() for k in (0, 1, 3))
+                side, cell = np.zeros(len(token), np.int64), np.zeros(len(token), np.int64)
+                if len(split):
+                    at = np.minimum(np.searchsorted(split, token), len(split) - 1)
+                    number = np.where(split[at] == token, parts[at], 1)
+                    salt = (node.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
+                    part = salt[row] % number
+                    again = np.repeat(np.arange(len(token)), number)
+                    other = np.arange(len(again)) - np.repeat(np.cumsum(number) - number, number)
+                    token, row, place, part, number = token[again], row[again], place[again], part[again], number[again]
+                    cell, side = np.minimum(part, other) * number + np.maximum(part, other), (part > other).astype(np.int64)
+                own = token.astype(np.int64) << 31 | cell, held[row].astype(np.int64) << 32 | place << 1 | side, node[row], root[row]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in own], names=[x.split()[0] for x in PLACES.split(", ")])
+
+    return run
+
+
+def _meetings(least: float):
+    """Pairs of different roots from rows sorted by key and size; those whose sizes or places rule out `least` are left out."""
+
+    def pairs(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        key, size, node, root = columns
+        held, place, side = size >> 32, (size & 0xFFFFFFFF) >> 1, size & 1
+        ends = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key))
+        starts = np.append(0, ends[:-1])
+        mixed = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
+        end = np.repeat(ends, ends - starts)
+        live = np.flatnonzero(np.repeat(mixed, ends - starts))
+        parted = (np.minimum.reduceat(side, starts) != np.maximum.reduceat(side, starts)).repeat(ends - starts)
+        a, b, waiting, step = [], [], 0, 1
+        while len(live):
+            live = live[live + step < end[live]]
+            live = live[held[live] >= least * held[live + step] - 1e-9]
+            i, j = live, live + step
+            good = (root[i] != root[j]) & (~parted[i] | (side[i] != side[j]))
+            good &= np.minimum(held[i] - place[i], held[j] - place[j]) >= least / (1 + least) * (held[i] + held[j]) - 1e-9
+            a.append(np.minimum(node[i[good]], node[j[good]])), b.append(np.maximum(node[i[good]], node[j[good]]))
+            waiting, step = waiting + len(a[-1]), step + 1
+            if waiting > 1 << 20 or not len(live):
+                met = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(met[0]), pa.array(met[1])], names=["hub", "node"])
+                a, b, waiting = [], [], 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[list[np.ndarray]] = []
+        for batch in batches:
+            own = [c.to_numpy() for c in batch.columns]
+            if not len(batch):
+                continue
+            # the last group may go on in the next batch
+            first = int(np.searchsorted(own[0], own[0][-1]))
+            if first or (kept and kept[-1][0][-1] != own[0][0]):
+                yield from pairs([np.concatenate(x) for x in zip(*kept, [c[:first] for c in own])])
+                kept = []
+            kept.append([c[first:] for c in own])
+        if kept:
+            yield from pairs([np.concatenate(x) for x in zip(*kept)])
+
+    return run
+
+
+def _linked(numbered: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(a, b) of the pairs (hub, node) of rows whose sets reach the similarity."""
+    # each node's text once, with the hubs it is compared with; a hub leads each share of its members
+    shares = pairs.groupBy("hub").agg(F.count("*").alias("members")).select("hub", F.ceil(F.col("members") / SHARE).cast("int").alias("shares"))
+    asked = pairs.join(shares, "hub").select("node", F.struct("hub", F.pmod(F.xxhash64("node"), F.col("shares")).cast("int").alias("part"), F.lit(False).alias("leads")).alias("h"))
+    leads = shares.select(F.col("hub").alias("node"), F.explode(F.transform(F.sequence(F.lit(0), F.col("shares") - 1), lambda k: F.struct(F.col("hub"), k.alias("part"), F.lit(True).alias("leads")))).alias("h"))
+    wanted = asked.union(leads).groupBy("node").agg(F.collect_list("h").alias("hubs"))
+    squeezed = numbered.select("row", "text").mapInArrow(squeeze, "row long, text binary")
+    texts = squeezed.join(wanted, squeezed.row == wanted.node).select("node", "text", "hubs")
+    sets = texts.mapInArrow(_sets(width), "node long, shingles binary, hubs array<struct<hub:long,part:int,leads:boolean>>")
+    each = sets.select("node", "shingles", F.explode("hubs").alias("h")).select("h.hub", "h.part", "h.leads", "node", "shingles")
+    # written before the links are joined, so that a task has one Python worker at a time
+    return cut(each.repartition("hub", "part").sortWithinPartitions("hub", "part", F.desc("leads")).mapInArrow(_verified(similarity), "a long, b long"))
+
+
 def representatives(docs: DataFrame, width: int = 5, similarity: float = SIMILAR, distance: int = 3) -> DataFrame:
     """One row of each group of near copies in docs, with all of its columns: the first row that has the smallest doc_id.
 
     Near copies share `similarity` or more of their distinct shingles of `width` words (intersection over union); links are
-    transitive. Candidates are texts whose fingerprints differ in at most `distance` bits, by multi-index hashing, and texts that
+    transitive. First candidates are texts whose fingerprints differ in at most `distance` bits, by multi-index hashing, and texts that
     share a view, a SimHash of a small min-wise sample of their shingles: at a similarity of 0.8, fingerprints of whole texts
     differ in some ten bits of 64, for which no segments are both few and selective, while one of ten samples is the same with a
     chance above 0.99. Texts of equal shingles are one node. In each bucket all nodes are compared with its least and its last node,
-    so a bucket of any size costs two comparisons a member; SHARE members of a hub at most meet in one task. Every link is verified on
-    the sets of shingles themselves, by 32 bits of each hash.
+    so a bucket of any size costs two comparisons a member; SHARE members of a hub at most meet in one task. What that leaves apart
+    is then found without chance: any two texts that reach the similarity share a token of their prefixes (see prefix()), and all
+    pairs of different components that do, and whose sizes and places allow it, are compared. Tokens that are common in a sample come
+    last in the order, so passages of many texts are in few prefixes; where they are, their texts are split over tasks, not cut.
+    Every link is verified on the sets of shingles themselves, by 32 bits of each hash.
 
     Texts without words, null or empty, are not copies of each other, and all stay. In a group whose rows all have a null doc_id
     the first row stays. docs must keep its partitions between reads, as tables do.
@@ -199,10 +342,11 @@ def representatives(docs: DataFrame, width: int = 5, similarity: float = SIMILAR
     name = free_name(docs, "row_number_")
     rows = docs.withColumn(name, F.monotonically_increasing_id())
     numbered = rows.select(F.col(name).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    prints = cut(numbered.mapInArrow(_prints(width), PRINTS))
+    common, counts = common_tokens(numbered, width)
+    prints = cut(numbered.mapInArrow(_prints(width, common, counts, similarity), PRINTS))
     worded = prints.where("size > 0")
-    nodes = worded.groupBy("set_a", "set_b", "size").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"), F.first("fp").alias("fp"), F.first("views").alias("views"))
-    nodes = cut(nodes.select(F.col("first.row").alias("node"), "first", "fp", "views"))
+    nodes = worded.groupBy("set_a", "set_b", "size").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"), F.first("fp").alias("fp"), F.first("views").alias("views"), F.first("prefix").alias("prefix"), F.first("held").alias("held"))
+    nodes = cut(nodes.select(F.col("first.row").alias("node"), "first", "fp", "views", "prefix", "held"))
 
     # the fingerprint is one more view; fingerprints near each other join the buckets of both
     owns = nodes.select("node", F.posexplode(F.concat("views", F.array("fp"))).alias("view", "value"))
@@ -214,18 +358,18 @@ def representatives(docs: DataFrame, width: int = 5, similarity: float = SIMILAR
     across = across.select(F.least("p", "q").alias("hub"), F.greatest("p", "q").alias("node"))
     pairs = cut(inside.union(across).where("hub <> node").distinct())
 
-    # each node's text once, with the hubs it is compared with; a hub leads each share of its members
-    shares = pairs.groupBy("hub").agg(F.count("*").alias("members")).select("hub", F.ceil(F.col("members") / SHARE).cast("int").alias("shares"))
-    asked = pairs.join(shares, "hub").select("node", F.struct("hub", F.pmod(F.xxhash64("node"), F.col("shares")).cast("int").alias("part"), F.lit(False).alias("leads")).alias("h"))
-    leads = shares.select(F.col("hub").alias("node"), F.explode(F.transform(F.sequence(F.lit(0), F.col("shares") - 1), lambda k: F.struct(F.col("hub"), k.alias("part"), F.lit(True).alias("leads")))).alias("h"))
-    wanted = asked.union(leads).groupBy("node").agg(F.collect_list("h").alias("hubs"))
-    squeezed = numbered.select("row", "text").mapInArrow(squeeze, "row long, text binary")
-    texts = squeezed.join(wanted, squeezed.row == wanted.node).select("node", "text", "hubs")
-    sets = texts.mapInArrow(_sets(width), "node long, shingles binary, hubs array<struct<hub:long,part:int,leads:boolean>>")
-    each = sets.select("node", "shingles", F.explode("hubs").alias("h")).select("h.hub", "h.part", "h.leads", "node", "shingles")
-    found = each.repartition("hub", "part").sortWithinPartitions("hub", "part", F.desc("leads")).mapInArrow(_verified(similarity), "a long, b long")
-
-    roots = components(found)
+    roots = components(_linked(numbered, pairs, width, similarity))
+
+    # pairs that no bucket linked: all that share a token of their prefixes and are not in one component yet
+    stars = roots.select("node", "root")
+    rooted = nodes.join(stars.withColumnRenamed("node", "own"), F.col("node") == F.col("own"), "left").select("node", F.coalesce("root", "node").alias("root"), "prefix", "held")
+    places = rooted.mapInArrow(_places(common, counts), PLACES)
+    met = places.repartition("key").sortWithinPartitions("key", "size").mapInArrow(_meetings(similarity), "hub long, node long")
+    rest = cut(met.distinct())
+    ends = rest.select(F.explode(F.array("hub", "node")).alias("end")).distinct()
+    few = ends.limit(FEW + 1).count() <= FEW
+    asked = numbered.join(F.broadcast(ends), F.col("row") == F.col("end"), "left_semi") if few else numbered
+    roots = components(stars.toDF("a", "b").union(_linked(asked, rest, width, similarity)))
     placed = nodes.select("node", "first").join(roots.withColumnRenamed("node", "own"), F.col("node") == F.col("own"), "left").select("first", F.coalesce("root", "node").alias("root"))
     kept = placed.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
     kept = kept.union(prints.where("size = 0").select("row")).withColumnRenamed("row", name)

@@ -73,6 +73,22 @@ def test_pipeline_stage_keeps_one_of_each_group(documents, texts):
     assert sorted(str((r["doc_id"], r["text"])) for r in got.collect()) == want
 
 
+def kept(spark, tmp_path, rows):
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "docs"))
+    return {r["doc_id"] for r in simhash.representatives(spark.read.parquet(str(tmp_path / "docs"))).collect()}
+
+
+def test_pairs_beside_a_shared_passage(spark, tmp_path, monkeypatch):
+    """All texts share 280 words; two of each pair share 80 more and differ in 40: a pair's similarity is 0.81, others' 0.5."""
+    monkeypatch.setattr(simhash, "SAMPLED", 4)
+    monkeypatch.setattr(simhash, "SHARE", 20)
+    block = [f"b{k}" for k in range(280)]
+    texts = [" ".join([*block, *[f"p{k}x{j}" for j in range(80)], *[f"o{k}x{side}x{j}" for j in range(40)]]) for k in range(100) for side in (0, 1)]
+    a, b = (set(shingles(t, 5)) for t in texts[:2])
+    assert 0.8 <= len(a & b) / len(a | b) < 0.83
+    assert kept(spark, tmp_path, list(enumerate(texts))) == set(range(0, 200, 2))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 15), st.integers(0, 15)), max_size=25))
 def test_forests_keep_components(pairs):
