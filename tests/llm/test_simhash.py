@@ -78,6 +78,22 @@ def kept(spark, tmp_path, rows):
     return {r["doc_id"] for r in simhash.representatives(spark.read.parquet(str(tmp_path / "docs"))).collect()}
 
 
+def test_views_are_independent():
+    """Ten independent samples miss (1 - 0.8 ** 4) ** 10 = 0.5 % of the pairs at 0.8."""
+    draw = np.random.default_rng(3)
+    missed = 0
+    for _ in range(4000):
+        both, a, b = (draw.integers(0, 1 << 64, n, dtype=np.uint64) for n in (400, 50, 50))
+        missed += not (simhash.views(np.append(both, a)) == simhash.views(np.append(both, b))).any()
+    assert missed < 0.012 * 4000
+
+
+def test_pairs_of_short_texts(spark, tmp_path):
+    """Four shingles against five: 0.8, at which a tenth of the pairs share no view."""
+    texts = [" ".join(f"s{k}w{j}" for j in range(8 + more)) for k in range(150) for more in (0, 1)]
+    assert kept(spark, tmp_path, list(enumerate(texts))) == set(range(0, 300, 2))
+
+
 def test_pairs_beside_a_shared_passage(spark, tmp_path, monkeypatch):
     """All texts share 280 words; two of each pair share 80 more and differ in 40: a pair's similarity is 0.81, others' 0.5."""
     monkeypatch.setattr(simhash, "SAMPLED", 4)
