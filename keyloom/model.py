@@ -167,15 +167,30 @@ class KeyExtractor:
 
 # The JSON envelope: how a message travels in a row.
 
+#: Names the class of a message that goes by the type of a class above its own.
+CLASS = "__class__"
+
 
 def to_json(message: Any) -> str:
     body = asdict(message) if is_dataclass(message) else message if isinstance(message, dict) else {"value": message}
+    if is_dataclass(message) and any(own_types(level) for level in type(message).__mro__[1:]):
+        body = body | {CLASS: type_id(type(message))}
     return json.dumps(body, default=str, sort_keys=True)
 
 
+def _below(cls: type) -> Iterator[type]:
+    yield cls
+    for child in cls.__subclasses__():
+        yield from _below(child)
+
+
 def from_json(cls: type | None, body: str) -> Any:
+    """The message of a body: of cls, or of the class below it that the body names, where that is known here."""
     found = json.loads(body)
     if cls is None:
-        return found.get("value", found)
+        return found.get("value", found) if isinstance(found, dict) else found
+    named = found.pop(CLASS, None)
+    if named is not None:
+        cls = next((c for c in _below(cls) if type_id(c) == named), cls)
     names = {f.name for f in fields(cls)} if is_dataclass(cls) else set(found)
     return cls(**{k: v for k, v in found.items() if k in names})

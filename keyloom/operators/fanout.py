@@ -36,6 +36,11 @@ def unwound(df: DataFrame, column: str, depth: int = 1) -> DataFrame:
     return df.select(*[c for c in df.columns if c != column], F.explode(nested).alias(column)).where(F.col(column).isNotNull())
 
 
+def has_key(key: str) -> Column:
+    """Whether a row has a key and so can be sent."""
+    return F.col(key).isNotNull()
+
+
 def keyed_only(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """(messages, rows without a key, which are counted and dropped)."""
-    return df.where(F.col(key).isNotNull()), df.where(F.col(key).isNull())
+    return df.where(has_key(key)), df.where(~has_key(key))

@@ -1,12 +1,14 @@
 """Bounded input: processors over tables.
 
 A declarative processor becomes aggregates or window functions, which Catalyst plans. Any other runs as its Python class: rows
-are dealt by key, sorted by (key, seq) within their partition and streamed through, so a task holds one instance at a time and
-no group is ever collected. The same class runs over streams in keyloom.streaming.
+are dealt by key, sorted by (key, seq, place) within their partition and streamed through, so a task holds one instance at a time
+and no group is ever collected. The same class runs over streams in keyloom.streaming.
 """
 
 from __future__ import annotations
 
+import json
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Any
@@ -16,18 +18,22 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyloom.model import KeyedMessage, KeyExtractor, from_json, to_json
+from keyloom.model import KeyedMessage, KeyExtractor, ModelError, from_json, to_json
 from keyloom.processor import Processor
 from keyloom.storage import cut
-from keyloom.topology import Topology
+from keyloom.topology import Topology, TopologyError
 
-#: Messages travel so: a type id, the key as text, the body as JSON, and their place in the order of arrival.
+#: Messages travel so: a type id, the key as text, the body as JSON, and their place in the order of arrival. A column `place`
+#: may follow, which orders the messages that one message caused; see place().
 ENVELOPE = "message_type string, key string, payload string, seq long"
 #: What a stage returns: messages it sent, and one row for each event that the counters count.
-RESULT = "kind string, message_type string, key string, payload string, seq long, sub int, state binary"
-KINDS = ("message", "created", "dispatched", "processed", "failed", "unkeyed", "evicted", "deleted", "state")
-#: Most messages that a bulk handler gets at once.
+RESULT = "kind string, message_type string, key string, payload string, seq long, place binary, state binary"
+NAMES = [c.split()[0] for c in RESULT.split(", ")]
+KINDS = ("message", "created", "dispatched", "processed", "failed", "unkeyed", "unsent", "output_failed", "evicted", "deleted", "timing", "state")
+#: Most messages that a bulk handler gets at once, over tables and over streams.
 PILE = 1000
+#: Deltas of state that a cluster keeps before they become one table.
+DELTAS = 8
 
 
 def envelope(df: DataFrame, message_type: str | Column, key: str | Column, seq: str | Column, *payload: str) -> DataFrame:
@@ -43,123 +49,246 @@ def read_payload(df: DataFrame, schema: str) -> DataFrame:
     return df.withColumn("m", F.from_json("payload", schema)).select("message_type", "key", "seq", "m.*")
 
 
+def placed(df: DataFrame) -> DataFrame:
+    """Envelope rows with a column `place`, empty where they have none."""
+    return df if "place" in df.columns else df.withColumn("place", F.lit(b""))
+
+
+def place(parent: bytes, nth: int) -> bytes:
+    """The place of the nth message that the one at `parent` caused: places sort as bytes, by parent first, then by n."""
+    if nth < 240:
+        return parent + bytes((nth,))
+    raw = nth.to_bytes((nth.bit_length() + 7) // 8, "big")
+    return parent + bytes((239 + len(raw),)) + raw
+
+
+@dataclass
+class Message:
+    """A message as a runner gets it; body is what JSON says, or the error of reading it."""
+
+    kind: str
+    body: Any
+    seq: int
+    place: bytes
+    wrong: str | None = None
+
+
+@dataclass(frozen=True)
+class Options:
+    """How a cluster's instances live.
+
+    output_span, evict_span: output passes and eviction checks fall due whenever seq passes a multiple of them; null is never.
+    end: where the input ends, for the output passes after an instance's last message. final_output: one more pass at the end.
+    stop: passivate what is left. keep: return instances as `state` rows, null ones for those that are gone.
+    """
+
+    cluster: str = ""
+    bulk: bool = False
+    final_output: bool = False
+    stop: bool = False
+    keep: bool = False
+    output_span: int | None = None
+    evict_span: int | None = None
+    end: int | None = None
+
+
 class Runner:
-    """A processor's instances over rows that come sorted by key and seq."""
+    """A processor's instances over rows that come sorted by key, seq and place.
 
-    def __init__(self, processor: Processor, cluster: str = "", bulk: bool = False, final_output: bool = False, stop: bool = False, keep: bool = False):
-        self.processor, self.bulk, self.final_output, self.stop, self.keep = processor, bulk, final_output, stop, keep
+    What goes wrong in a handler, an activation, an output pass, a payload or a key is counted as a row, and the rest goes on.
+    """
+
+    def __init__(self, processor: Processor, options: Options = Options()):
+        self.processor, self.o = processor, options
         self.keys = KeyExtractor()
-        processor.begin(cluster)
+        self.spent = {"output": [0, 0.0], "evict": [0, 0.0]}
+        processor.begin(options.cluster)
+
+    def read(self, kind: str, body: str, seq: int, at: bytes) -> Message:
+        try:
+            return Message(kind, from_json(self.processor.types.get(kind), body), seq, at)
+        except Exception as wrong:
+            return Message(kind, None, seq, at, repr(wrong))
 
-    def send(self, results: list[Any], seq: int, sub: int, out: list[tuple]) -> int:
+    def send(self, results: list[Any], seq: int, parent: bytes, out: list[tuple], nth: int = 0) -> int:
+        """Results as messages, from the nth of their cause on; unkeyed: of a class without a key; unsent: its key failed."""
         for r in results:
             try:
-                sent = self.keys.extract(r)
-            except ValueError:
-                out.append(("unkeyed", type(r).__name__, None, None, seq, sub, None))
+                sent = [(t, str(m.key), to_json(m.message)) for m in self.keys.extract(r) for t in m.types]
+            except ModelError:
+                out.append(("unkeyed", type(r).__name__, None, None, seq, parent, None))
                 continue
-            for m in sent:
-                for t in m.types:
-                    out.append(("message", t, str(m.key), to_json(m.message), seq, sub, None))
-                    sub += 1
-        return sub
-
-    def get(self, own: Any, key: str, message: Any, seq: int, state: bytes | None, out: list[tuple]) -> Any:
-        """The instance, made and activated if there is none; null if that fails, and then the message is lost and counted."""
+            except Exception as wrong:
+                out.append(("unsent", type(r).__name__, None, repr(wrong), seq, parent, None))
+                continue
+            for t, key, body in sent:
+                out.append(("message", t, key, body, seq, place(parent, nth), None))
+                nth += 1
+        return nth
+
+    def get(self, own: Any, key: str, group: list[Message], out: list[tuple], state: bytes | None = None) -> Any:
+        """The instance, made and activated if there is none; null if that fails, and then its messages are lost and counted."""
         if own is not None:
             return own
         try:
             own = self.processor.instance()
-            self.processor.activate(own, key, message, state)
+            self.processor.activate(own, key, group[0].body if group else None, state)
         except Exception as wrong:
-            out.append(("failed", None, key, repr(wrong), seq, 0, None))
+            out += [("failed", m.kind, key, repr(wrong), m.seq, m.place, None) for m in group]
             return None
-        out.append(("created", None, key, None, seq, 0, None))
+        out.append(("created", None, key, None, group[0].seq if group else 0, b"", None))
         return own
 
-    def one(self, own: Any, key: str, pile: list[tuple[str, Any, int]], out: list[tuple]) -> Any:
-        """Handle messages that are at hand; the instance then, or null if it was evicted or never made."""
-        groups = [pile] if self.bulk else [[m] for m in pile]
-        for group in groups:
-            seq = group[0][2]
-            own = self.get(own, key, group[0][1], seq, None, out)
+    def handle(self, own: Any, key: str, pile: list[Message], out: list[tuple]) -> Any:
+        """Handle messages that are at hand, all at once if in bulk; the instance then, or null if it was never made."""
+        out += [("failed", m.kind, key, m.wrong, m.seq, m.place, None) for m in pile if m.wrong]
+        out += [("dispatched", m.kind, key, None, m.seq, m.place, None) for m in pile if m.wrong]
+        good = [m for m in pile if not m.wrong]
+        for group in ([good] if self.o.bulk else [[m] for m in good]) if good else []:
+            own = self.get(own, key, group, out)
             if own is None:
                 continue
-            for kind, _, at in group:
-                out.append(("dispatched", kind, key, None, at, 0, None))
-            messages = [KeyedMessage(key, m) for _, m, _ in group]
+            out += [("dispatched", m.kind, key, None, m.seq, m.place, None) for m in group]
+            messages = [KeyedMessage(key, m.body) for m in group]
             try:
-                results = self.processor.invoke_bulk(own, messages) if self.bulk else self.processor.invoke(own, messages[0])
+                results = self.processor.invoke_bulk(own, messages) if self.o.bulk else self.processor.invoke(own, messages[0])
             except Exception as wrong:  # what the handler changed before it failed stays
-                for kind, _, at in group:
-                    out.append(("failed", kind, key, repr(wrong), at, 0, None))
+                out += [("failed", m.kind, key, repr(wrong), m.seq, m.place, None) for m in group]
                 continue
-            for kind, _, at in group:
-                out.append(("processed", kind, key, None, at, 0, None))
-            self.send(results, group[-1][2], 0, out)
-            if self.processor.evicts(own):
-                self.processor.passivate(own)
-                out += [("evicted", None, key, None, group[-1][2], 0, None), ("deleted", None, key, None, group[-1][2], 0, None)]
-                own = None
+            out += [("processed", m.kind, key, None, m.seq, m.place, None) for m in group]
+            self.send(results, group[-1].seq, group[-1].place, out)
         return own
 
-    def close(self, own: Any, key: str, seq: int, out: list[tuple]) -> None:
-        if own is None:
+    def put_out(self, own: Any, key: str, seq: int, out: list[tuple]) -> None:
+        """One output pass over an instance; its messages come after all others of that seq."""
+        began = time.perf_counter()
+        try:
+            results = self.processor.emit(own)
+        except Exception as wrong:
+            out.append(("output_failed", None, key, repr(wrong), seq, b"\xff", None))
             return
-        if self.final_output:
-            self.send(self.processor.emit(own), seq, 1 << 20, out)
-        if self.keep:
-            out.append(("state", None, key, None, seq, 0, cloudpickle.dumps(own)))
-        if self.stop:
+        finally:
+            self._spend("output", began)
+        self.send(results, seq, b"\xff", out)
+
+    def check(self, own: Any, key: str, seq: int, out: list[tuple]) -> Any:
+        """One eviction check; null if the instance went."""
+        if own is None:
+            return own
+        began = time.perf_counter()
+        gone = self.processor.evicts(own)
+        self._spend("evict", began)
+        if not gone:
+            return own
+        self.processor.passivate(own)
+        out += [("evicted", None, key, None, seq, b"", None), ("deleted", None, key, None, seq, b"", None)]
+        return None
+
+    def _spend(self, what: str, began: float) -> None:
+        self.spent[what][0] += 1
+        self.spent[what][1] += time.perf_counter() - began
+
+    def timings(self) -> list[tuple]:
+        """A row for output passes and one for eviction checks since the last call: how many, and their milliseconds."""
+        out = [("timing", what, None, json.dumps({"passes": n, "ms": round(s * 1000, 3)}), 0, b"", None) for what, (n, s) in self.spent.items() if n]
+        self.spent = {what: [0, 0.0] for what in self.spent}
+        return out
+
+    def passed(self, own: Any, key: str, last: int | None, now: int, out: list[tuple]) -> Any:
+        """What falls due for an instance from its last seq to `now`: passes in order, the check that ends a span after its pass."""
+        o = self.o
+        if own is None or last is None or now <= last:
+            return own
+        puts = _dues(last, now, o.output_span) if self.processor.outputs else ()
+        checks = _dues(last, now, o.evict_span)
+        if not puts:
+            checks = checks[:1]  # without a message or an output an instance stays as it is, so later checks would find the same
+        dues = sorted({*puts, *checks})
+        for due in dues:
+            if own is not None and due in puts:
+                self.put_out(own, key, due, out)
+            if due in checks:
+                own = self.check(own, key, due, out)
+        return own
+
+    def close(self, own: Any, key: str, seq: int, out: list[tuple]) -> None:
+        own = self.passed(own, key, seq, self.o.end, out) if self.o.end is not None else own
+        if own is not None and self.o.final_output:
+            self.put_out(own, key, seq, out)
+        if own is not None and self.o.stop:
             self.processor.passivate(own)
-            out.append(("deleted", None, key, None, seq, 0, None))
+            out.append(("deleted", None, key, None, seq, b"", None))
+        if self.o.keep:
+            out.append(("state", None, key, None, seq, b"", cloudpickle.dumps(own) if own is not None and not self.o.stop else None))
+
+    def _due(self, last: int | None, now: int) -> bool:
+        return last is not None and any(s and now // s > last // s for s in (self.o.output_span, self.o.evict_span))
 
     def __call__(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, own, seq, pile, out = None, None, 0, [], []
-        names = [c.split()[0] for c in RESULT.split(", ")]
+        key, own, last, pile, out = None, None, None, [], []
         for batch in batches:
-            for kind, k, body, at, state in zip(batch["message_type"], batch["key"], batch["payload"], batch["seq"], batch["state"]):
+            for kind, k, body, at, where, state in zip(batch["message_type"], batch["key"], batch["payload"], batch["seq"], batch["place"], batch["state"]):
                 if k != key:
                     if key is not None:
-                        own = self.one(own, key, pile, out)
-                        self.close(own, key, seq, out)
-                    key, own, pile = k, None, []
+                        self.close(self.handle(own, key, pile, out), key, last or 0, out)
+                    key, own, last, pile = k, None, None, []
                 if state is not None:
-                    own = cloudpickle.loads(state)
+                    own, last = cloudpickle.loads(state), (int(body) if body else None)
+                    continue
+                if kind == "":  # a key that is to have an instance before its first message
+                    own = self.get(own, key, [], out)
                     continue
-                pile.append((kind, from_json(self.processor.types.get(kind), body), int(at)))
-                seq = int(at)
-                if len(pile) >= (PILE if self.bulk else 1):
-                    own, pile = self.one(own, key, pile, out), []
-            if len(out) > 20_000:
-                yield pd.DataFrame(out, columns=names)
-                out = []
+                m = self.read(kind, body, int(at), bytes(where or b""))
+                own, pile, last = self.next(own, key, pile, last, m, out)
+                if len(out) > 20_000:
+                    yield pd.DataFrame(out, columns=NAMES)
+                    out = []
         if key is not None:
-            own = self.one(own, key, pile, out)
-            self.close(own, key, seq, out)
-        yield pd.DataFrame(out, columns=names)
+            self.close(self.handle(own, key, pile, out), key, last or 0, out)
+        yield pd.DataFrame(out + self.timings(), columns=NAMES)
 
+    def next(self, own: Any, key: str, pile: list[Message], last: int | None, m: Message, out: list[tuple]) -> tuple[Any, list[Message], int]:
+        """One more message: due passes come first, and full piles are handled."""
+        if self._due(last, m.seq):
+            own, pile = self.handle(own, key, pile, out), []
+            own = self.passed(own, key, last, m.seq, out)
+        pile.append(m)
+        if len(pile) >= (PILE if self.o.bulk else 1):
+            own, pile = self.handle(own, key, pile, out), []
+        return own, pile, m.seq
 
-def imperative(messages: DataFrame, processor: Processor, cluster: str = "", bulk: bool = False, final_output: bool = False, stop: bool = False, keep: bool = False, state: DataFrame | None = None) -> DataFrame:
-    """Results of a processor over envelope rows; see RESULT.
 
-    final_output: one output pass at the end of the input. stop: passivate what is left. keep: return each instance as a `state`
-    row; state takes such rows (key, state), so a later run goes on from them.
+def _dues(last: int, now: int, span: int | None) -> range:
+    return range((last // span + 1) * span, now + 1, span) if span else range(0)
+
+
+def imperative(
+    messages: DataFrame, processor: Processor, cluster: str = "", bulk: bool = False, final_output: bool = False, stop: bool = False, keep: bool = False,
+    state: DataFrame | None = None, keys: DataFrame | None = None, output_span: int | None = None, evict_span: int | None = None, end: int | None = None,
+) -> DataFrame:
+    """Results of a processor over envelope rows; see RESULT and Options.
+
+    keep returns each instance as a `state` row; state takes such rows (key, seq, state), so a later run goes on from them. keys:
+    a table with a column `key`, each of which gets an instance before its first message. Messages with null keys are left out.
     """
-    rows = messages.where(F.col("message_type").isin(*sorted(processor.types)) & F.col("key").isNotNull()).select("message_type", "key", "payload", "seq", F.lit(None).cast("binary").alias("state"))
+    rows = placed(messages).where(F.col("message_type").isin(*sorted(processor.types)) & F.col("key").isNotNull()).select("message_type", "key", "payload", "seq", "place", F.lit(None).cast("binary").alias("state"))
+    first = lambda n: F.lit(n - (1 << 62)).cast("long").alias("seq")
     if state is not None:
-        rows = rows.union(state.select(F.lit("").alias("message_type"), "key", F.lit("").alias("payload"), F.lit(-(1 << 62)).alias("seq"), "state"))
-    runner = (processor, cluster, bulk, final_output, stop, keep)
+        last = F.col("seq").cast("string") if "seq" in state.columns else F.lit("")
+        rows = rows.union(state.where("state IS NOT NULL").select(F.lit("").alias("message_type"), "key", last.alias("payload"), first(0), F.lit(b"").alias("place"), "state"))
+    if keys is not None:
+        rows = rows.union(keys.where("key IS NOT NULL").select(F.lit("").alias("message_type"), F.col("key").cast("string"), F.lit("").alias("payload"), first(1), F.lit(b"").alias("place"), F.lit(None).cast("binary").alias("state")).distinct())
+    options = Options(cluster, bulk, final_output, stop, keep, output_span, evict_span, end)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from Runner(*runner)(batches)
+        yield from Runner(processor, options)(batches)
 
-    return rows.repartition("key").sortWithinPartitions("key", "seq", "message_type", "payload").mapInPandas(run, RESULT)
+    return rows.repartition("key").sortWithinPartitions("key", "seq", "place", "message_type", "payload").mapInPandas(run, RESULT)
 
 
 def sent(results: DataFrame) -> DataFrame:
-    """The messages among results, as an envelope; those that one message caused keep their order."""
-    return results.where("kind = 'message'").select("message_type", "key", "payload", "seq")
+    """The messages among results, as an envelope with their places: those that one message caused keep their order."""
+    return results.where("kind = 'message'").select("message_type", "key", "payload", "seq", "place")
 
 
 @dataclass(frozen=True)
@@ -182,31 +311,125 @@ class Declarative:
         return df.select("*", *[c.over(w).alias(n) for n, c in self.state.items()])
 
 
-def run(topology: Topology, messages: DataFrame, rounds: int = 20, states: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+class Unfinished(RuntimeError):
+    """Rounds ended before the messages did. pending: the messages left; found: the results so far."""
+
+    def __init__(self, pending: DataFrame, found: dict[str, DataFrame]):
+        super().__init__("rounds ended with messages pending")
+        self.pending, self.found = pending, found
+
+
+class States:
+    """A cluster's instances as deltas, the youngest of a key counting; a round reads and writes those of its keys alone."""
+
+    def __init__(self, first: DataFrame | None = None):
+        self.deltas: list[DataFrame] = []
+        if first is not None:
+            self.add(first)
+
+    def add(self, kept: DataFrame) -> None:
+        seq = F.col("seq") if "seq" in kept.columns else F.lit(None).cast("long").alias("seq")
+        self.deltas.append(kept.select("key", seq, "state", F.lit(len(self.deltas)).alias("age")))
+        if len(self.deltas) > DELTAS:
+            whole = cut(self.all())
+            self.deltas = []
+            self.add(whole)
+
+    def all(self, among: DataFrame | None = None) -> DataFrame | None:
+        """(key, seq, state) of the live instances, or of those whose key is among the keys given."""
+        if not self.deltas:
+            return None
+        rows = self.deltas[0]
+        for d in self.deltas[1:]:
+            rows = rows.union(d)
+        if among is not None:
+            rows = rows.join(among, "key", "left_semi")
+        last = rows.groupBy("key").agg(F.max_by(F.struct("seq", "state"), "age").alias("s"))
+        return last.select("key", "s.seq", "s.state").where("state IS NOT NULL")
+
+
+class Results:
+    """Results by round, made one table now and then so that plans stay short."""
+
+    def __init__(self) -> None:
+        self.parts: list[DataFrame] = []
+
+    def add(self, df: DataFrame) -> None:
+        self.parts.append(df)
+        if len(self.parts) >= 32:
+            self.parts = [cut(self.all())]
+
+    def all(self) -> DataFrame:
+        out = self.parts[0]
+        for df in self.parts[1:]:
+            out = out.union(df)
+        return out
+
+
+def span(every: Any, per_second: float) -> int | None:
+    """A schedule in units of seq: seconds, or an interval that knows its seconds."""
+    seconds = getattr(every, "seconds", every)
+    if seconds is None:
+        return None
+    if not isinstance(seconds, (int, float)):
+        raise TopologyError("tables have no clock; give a schedule as a number of seconds")
+    return max(1, round(seconds * per_second))
+
+
+def run(topology: Topology, messages: DataFrame, rounds: int | None = None, states: dict[str, DataFrame] | None = None, per_second: float = 1.0) -> dict[str, DataFrame]:
     """All clusters over messages until none is left to handle: {cluster: results}.
 
     Each round gives every cluster what the last one sent to it, its instances going on from the round before; so topologies
-    may feed back, and `rounds` bounds those that would for ever. A message that a cluster handles under two of its types comes
-    twice.
+    may feed back. Without `rounds` the loop ends when no message is pending, and one that feeds back for ever never does; with it,
+    Unfinished is raised if messages are left. A message that a cluster handles under two of its types comes twice.
+
+    Over tables seq is the clock, per_second of its units a second: a cluster's output passes and eviction checks fall due
+    whenever seq passes a multiple of their interval, without one never. Passes between a key's last message and the end of the
+    input run when nothing is pending; what they send is then handled too. A key source makes its instances in the first round.
     """
-    pending = cut(messages)
-    states, found = dict(states or {}), {}
-    for _ in range(rounds):
-        results = {}
-        for c in topology.clusters:
-            if c.processor is None:
+    pending = cut(placed(messages))
+    spark = pending.sparkSession
+    live = [c for c in topology.clusters if c.processor is not None]
+    state = {c.name: States((states or {}).get(c.name)) for c in live}
+    found = {c.name: Results() for c in live}
+    spans = {c.name: (span(c.output_every, per_second), span(c.evict_every, per_second)) for c in live}
+    timed = [c for c in live if any(spans[c.name])]
+    end = pending.agg(F.max("seq")).first()[0] if timed else None
+
+    def turn(c: Any, own: DataFrame, keys: DataFrame | None = None, among: DataFrame | None = None, end: int | None = None) -> DataFrame:
+        output_span, evict_span = spans[c.name]
+        done = cut(imperative(own, c.processor, c.name, c.bulk, keep=True, state=state[c.name].all(among), keys=keys, output_span=output_span, evict_span=evict_span, end=end))
+        state[c.name].add(done.where("kind = 'state'").select("key", "seq", "state"))
+        rest = done.where("kind <> 'state'")
+        found[c.name].add(rest)
+        return rest
+
+    def all_sent(results: list[DataFrame]) -> DataFrame | None:
+        out = None
+        for own in results:
+            out = sent(own) if out is None else out.union(sent(own))
+        return cut(out) if out is not None else None
+
+    handled = frozenset().union(*(c.handled() for c in live))
+    none = placed(messages).limit(0)
+    done, closed = 0, not timed or end is None
+    while True:
+        # types of messages, which the topology bounds
+        kinds = {r[0] for r in pending.select("message_type").distinct().collect()} & handled if pending is not None else set()
+        if not kinds and done:
+            if closed:
+                break
+            closed, pending = True, all_sent([turn(c, none, end=end) for c in timed])
+            continue
+        if rounds is not None and done >= rounds:
+            raise Unfinished(pending, {n: r.all() for n, r in found.items() if r.parts})
+        results = []
+        for c in live:
+            keys = spark.createDataFrame([(str(k),) for k in c.key_source()], "key string") if c.key_source and not done else None
+            if not kinds & c.handled() and keys is None and done:
                 continue
-            results[c.name] = cut(imperative(pending, c.processor, c.name, c.bulk, keep=True, state=states.get(c.name)))
-            kept = results[c.name].where("kind = 'state'").select("key", "state")
-            states[c.name] = cut(kept if c.name not in states else kept.union(states[c.name].join(kept.select("key"), "key", "left_anti")))
-            own = results[c.name].where("kind <> 'state'")
-            found[c.name] = own if c.name not in found else found[c.name].union(own)
-        together = None
-        for own in results.values():
-            together = sent(own) if together is None else together.union(sent(own))
-        if together is None:
-            break
-        pending = cut(together)
-        if pending.isEmpty():
-            break
-    return found
+            own = pending.where(F.col("message_type").isin(*sorted(c.handled())))
+            results.append(turn(c, own, keys, own.select("key").distinct() if keys is None else None))
+        done += 1
+        pending = all_sent(results)
+    return {n: r.all() for n, r in found.items() if r.parts}

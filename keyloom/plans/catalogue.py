@@ -5,18 +5,19 @@ Those under EXTENSIONS render relational needs that the keyed model leaves to ha
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keyloom.functions.hashing import shard_of
-from keyloom.operators import fanout, keyed, lifecycle, metrics, routing, shards, shedding
-from keyloom.plans import samples
+from keyloom.functions import vectors
+from keyloom.operators import fanout, feedback, joins, keyed, lifecycle, metrics, routing, shards, shedding
+from keyloom.plans import planner, samples
 from keyloom.plans.batch import Declarative, envelope, imperative, run, sent
+from keyloom.processor import Processor
 from keyloom.sources.adaptors import TableAdaptor, from_json_messages, json_messages, stream_sink
-from keyloom.storage import shared_folder
+from keyloom.storage import scratch
 from keyloom.streaming import stateful, windows
 from keyloom.topology import Node, Topology
 
@@ -120,8 +121,7 @@ def unwind_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("SELECT count(*) FILTER (WHERE key IS NOT NULL) AS sent, count(*) FILTER (WHERE key IS NULL) AS dropped FROM (SELECT json_extract_string(props, '$.k') AS key FROM events)")
 def unkeyed_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = events(spark, sf_dir).select(F.get_json_object("props", "$.k").alias("key"))
-    good, bad = fanout.keyed_only(keys, "key")
-    return good.agg(F.count("*").alias("sent")).crossJoin(bad.agg(F.count("*").alias("dropped")))  # one row each
+    return keys.agg(F.count_if(fanout.has_key("key")).alias("sent"), F.count_if(~fanout.has_key("key")).alias("dropped"))
 
 
 # Routing
@@ -129,11 +129,15 @@ def unkeyed_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered("SELECT event_type, count(*) AS n, event_type IN ('click', 'view', 'purchase') AS handled FROM events GROUP BY event_type")
 def type_routing_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    typed = events(spark, sf_dir).withColumnRenamed("event_type", "message_type")
-    known = ["click", "view", "purchase"]
-    good = routing.handled(typed, known).groupBy("message_type").agg(F.count("*").alias("n")).withColumn("handled", F.lit(True))
-    bad = routing.not_sent(typed, known).groupBy("message_type").agg(F.count("*").alias("n")).withColumn("handled", F.lit(False))
-    return good.union(bad).withColumnRenamed("message_type", "event_type")
+    own = F.col("event_type")
+    return events(spark, sf_dir).groupBy(own).agg(F.count("*").alias("n")).withColumn("handled", routing.is_handled(["click", "view", "purchase"], "event_type"))
+
+
+@registered("SELECT count(*) AS received, 0::BIGINT AS discarded, (2 * count(*) FILTER (WHERE event_type = 'click') + count(*) FILTER (WHERE event_type IN ('view', 'purchase')))::BIGINT AS sent, count(*) FILTER (WHERE event_type NOT IN ('click', 'view', 'purchase')) AS not_sent FROM events")
+def node_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A node's counters: clicks go to two clusters, views and purchases to one, the rest to none."""
+    receivers = {"click": ["a", "b"], "view": ["a"], "purchase": ["b"]}
+    return metrics.node_counts(routing.receiving(events(spark, sf_dir), receivers, F.array("event_type")))
 
 
 @registered("SELECT c AS cluster, count(*) AS handled FROM events JOIN (VALUES ('a','event'), ('a','audit'), ('b','audit')) AS v(c, t) ON t IN ('event', 'audit') GROUP BY c")
@@ -143,16 +147,35 @@ def duplicate_delivery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.deliveries(typed, {"event": ["a"], "audit": ["a", "b"]}).groupBy("cluster").agg(F.count("*").alias("handled"))
 
 
-@registered("""
+SQL_HOPS = """
 WITH RECURSIVE r AS (SELECT event_id, event_id % 7 AS hops FROM events UNION ALL SELECT event_id, hops - 1 FROM r WHERE hops > 0)
-SELECT hops, count(*) AS handled FROM r GROUP BY hops""")
+SELECT hops, count(*) AS handled FROM r GROUP BY hops"""
+
+
+@registered(SQL_HOPS)
 def feedback_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stage that sends to itself until a message has no hops left: a recursive query, with a bound on its depth."""
-    events(spark, sf_dir).createOrReplaceTempView("keyloom_events")
-    return spark.sql("""
-        WITH RECURSIVE r(event_id, hops) AS (
-          SELECT event_id, event_id % 7 FROM keyloom_events UNION ALL SELECT event_id, hops - 1 FROM r WHERE hops > 0)
-        SELECT hops, count(*) AS handled FROM r GROUP BY hops""")
+    """A cluster that sends to itself until a message has no hops left, run by the library's loop until nothing is pending."""
+    node = Node.builder("sample").default_routing("managed").receiver().cluster("hop").mp(samples.Hopper()).build()
+    first = envelope(events(spark, sf_dir).withColumn("hops", F.col("event_id") % 7), "hop", "user_id", "event_id", "user_id", "hops")
+    seen = run(Topology(node), first)["hop"].where("kind = 'message' AND message_type = 'seen'")
+    return seen.groupBy(F.get_json_object("payload", "$.hops").cast("long").alias("hops")).agg(F.count("*").alias("handled"))
+
+
+@registered(SQL_HOPS)
+def feedback_fixpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same loop as rounds of a table."""
+    first = events(spark, sf_dir).select("event_id", (F.col("event_id") % 7).alias("hops"))
+    found = feedback.fixpoint(first, lambda df: df.where("hops > 0").select("event_id", (F.col("hops") - 1).alias("hops")))
+    return found.groupBy("hops").agg(F.count("*").alias("handled"))
+
+
+@registered("SELECT user_id::VARCHAR AS user_id, (12 * count(*))::BIGINT AS parts, md5(string_agg('0,1,2,3,4,5,6,7,8,9,10,11,', '' ORDER BY event_id)) AS md5 FROM events GROUP BY user_id")
+def ordered_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twelve results of each message come to the next cluster in their order."""
+    node = Node.builder("sample").default_routing("managed").receiver().cluster("burst").mp(samples.Burst()).cluster("in_order").mp(samples.InOrder()).build()
+    found = sent(run(Topology(node), event_messages(spark, sf_dir))["in_order"])
+    last = found.groupBy(F.col("key").alias("user_id")).agg(F.max_by("payload", F.struct("seq", "place")).alias("payload"))
+    return last.select("user_id", F.get_json_object("payload", "$.parts").cast("long").alias("parts"), F.get_json_object("payload", "$.md5").alias("md5"))
 
 
 @registered("""
@@ -231,31 +254,30 @@ def two_type_cogroup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("custkey").agg(of("customer").alias("profiles"), of("order").alias("orders"), F.sum("price").alias("spent"))
 
 
-@registered("SELECT user_id::VARCHAR AS user_id, count(*) AS handled FROM events GROUP BY user_id")
+@registered("SELECT user_id::VARCHAR AS user_id, count(*) AS handled, (count(*) + 999) // 1000 AS piles FROM events GROUP BY user_id")
 def bulk_handling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A bulk handler gets what has piled up for its key, and emits once for each pile; the sum is what single calls count."""
+    """A bulk handler gets what has piled up for its key, 1000 messages at most, and emits once for each pile."""
     got = sent(imperative(event_messages(spark, sf_dir), samples.bulk_counter(), bulk=True))
-    return got.groupBy(F.col("key").alias("user_id")).agg(F.sum(F.get_json_object("payload", "$.count").cast("long")).alias("handled"))
+    return got.groupBy(F.col("key").alias("user_id")).agg(F.sum(F.get_json_object("payload", "$.count").cast("long")).alias("handled"), F.count("*").alias("piles"))
 
 
-@registered("SELECT kind, count(*) AS n FROM (SELECT CASE WHEN event_type = 'purchase' THEN 'exact' WHEN event_type IN ('click', 'view') THEN 'parent' ELSE 'general' END AS kind FROM events) GROUP BY kind")
+@registered("SELECT user_id::VARCHAR AS user_id, CASE WHEN event_type = 'purchase' THEN 'exact' WHEN event_type IN ('click', 'view') THEN 'parent' ELSE 'general' END AS handler, count(*) AS n FROM events GROUP BY ALL")
 def polymorphic_handlers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The handler of a message: of its own type, else of the type above it, else of what both are."""
+    """All events come as one type; a message's class picks its handler: its own, else that of the nearest class above it."""
     t = F.col("event_type")
-    kind = F.when(t == "purchase", "exact").when(t.isin("click", "view"), "parent").otherwise("general")
-    return events(spark, sf_dir).groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+    cls = F.when(t == "purchase", "Purchase").when(t == "click", "Click").when(t == "view", "Interaction").otherwise("Event")
+    rows = events(spark, sf_dir).withColumn("__class__", F.concat(F.lit(f"{samples.__name__}."), cls))
+    got = sent(imperative(envelope(rows, "event", "user_id", "event_id", "event_id", "user_id", "__class__"), Processor.of(samples.ByClass())))
+    return got.groupBy(F.col("key").alias("user_id"), F.get_json_object("payload", "$.handler").alias("handler")).agg(F.count("*").alias("n"))
 
 
-@registered("SELECT user_id::VARCHAR AS user_id, count(*) FILTER (WHERE event_id % 10 <> 3) AS results, count(*) AS touched FROM events GROUP BY user_id")
+@registered("SELECT user_id::VARCHAR AS user_id, count(*) FILTER (WHERE event_id % 10 <> 3) AS results, count(*) FILTER (WHERE event_id % 10 = 3) AS failed, count(*) AS touched FROM events GROUP BY user_id")
 def handler_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A handler that fails on some messages after changing its state: no result, but the change stays."""
-    got = imperative(event_messages(spark, sf_dir), samples.failing())
-    key = F.coalesce("key", F.get_json_object("payload", "$.key"))
-    touched = F.max(F.get_json_object("payload", "$.touched").cast("long"))
-    done = got.where("kind IN ('message', 'failed')").groupBy(key.alias("user_id")).agg(F.count_if(F.col("kind") == "message").alias("results"), F.count_if(F.col("kind") == "failed").alias("failed"), touched.alias("seen"), F.max_by("kind", "seq").alias("last"))
-    # a failed last message changed the state after the last result
-    tail = got.where("kind = 'failed'").join(got.where("kind = 'message'").groupBy("key").agg(F.max("seq").alias("last_good")), "key").where("seq > last_good").groupBy(F.col("key").alias("user_id")).agg(F.count("*").alias("more"))
-    return done.join(tail, "user_id", "left").select("user_id", "results", (F.col("seen") + F.coalesce("more", F.lit(0))).alias("touched"))
+    """A handler that fails on some messages after changing its state: no result, but the change stays, as the last output says."""
+    got = imperative(event_messages(spark, sf_dir), samples.failing(), final_output=True).where("key IS NOT NULL")
+    of = lambda t: F.col("message_type").eqNullSafe(t) & (F.col("kind") == "message")
+    touched = F.max(F.when(of("total"), F.get_json_object("payload", "$.count").cast("long")))
+    return got.groupBy(F.col("key").alias("user_id")).agg(F.count_if(of("count")).alias("results"), F.count_if(F.col("kind") == "failed").alias("failed"), touched.alias("touched"))
 
 
 @registered("SELECT user_id, count(*) AS dispatched, count(*) FILTER (WHERE event_type = 'error') AS failed, count(*) FILTER (WHERE event_type <> 'error') AS processed, sum(value) AS total FROM events GROUP BY user_id")
@@ -305,11 +327,51 @@ def passivation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gone.agg(F.count("*").alias("created"), F.count_if("passivated").alias("deleted"), F.count_if(~F.col("passivated")).alias("live"))
 
 
-@registered("SELECT user_id::VARCHAR AS user_id, count(*) // 10 AS evictions FROM events GROUP BY user_id")
+SQL_EVICTIONS = """
+WITH RECURSIVE c AS (SELECT user_id, event_id // 500 AS p, count(*) AS n FROM events GROUP BY ALL),
+o AS (SELECT user_id, n, row_number() OVER w AS k, lead(p) OVER w IS NOT NULL AS more FROM c WINDOW w AS (PARTITION BY user_id ORDER BY p)),
+r AS (SELECT user_id, k, CASE WHEN n >= 5 AND more THEN 0 ELSE n END AS held, (n >= 5 AND more)::BIGINT AS gone FROM o WHERE k = 1
+UNION ALL SELECT o.user_id, o.k, CASE WHEN held + n >= 5 AND more THEN 0 ELSE held + n END, (held + n >= 5 AND more)::BIGINT FROM r JOIN o ON o.user_id = r.user_id AND o.k = r.k + 1)
+"""
+
+
+@registered(SQL_EVICTIONS + "SELECT user_id::VARCHAR AS user_id, sum(gone)::BIGINT AS evictions, sum(gone)::BIGINT + 1 AS created FROM r GROUP BY user_id")
 def evictable_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A predicate in Python: an instance goes after ten messages, and the next message finds a fresh one."""
-    got = imperative(event_messages(spark, sf_dir), samples.evicting())
-    return got.where("kind IN ('evicted', 'processed')").groupBy(F.col("key").alias("user_id")).agg(F.count_if(F.col("kind") == "evicted").alias("evictions"))
+    """A predicate in Python, checked every 500 events: an instance that has had five messages by then goes; the next message finds a fresh one."""
+    got = imperative(event_messages(spark, sf_dir), samples.evicting(5), evict_span=500).where("key IS NOT NULL")
+    of = lambda k: F.count_if(F.col("kind") == k)
+    return got.groupBy(F.col("key").alias("user_id")).agg(of("evicted").alias("evictions"), of("created").alias("created"))
+
+
+@registered("SELECT user_id::VARCHAR AS user_id, 0::BIGINT AS evictions, 1::BIGINT AS created FROM events GROUP BY user_id")
+def eviction_off(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without a frequency nothing is evicted, whatever the predicate says."""
+    got = imperative(event_messages(spark, sf_dir), samples.evicting(5))
+    of = lambda k: F.count_if(F.col("kind") == k)
+    return got.groupBy(F.col("key").alias("user_id")).agg(of("evicted").alias("evictions"), of("created").alias("created"))
+
+
+@registered("""
+WITH c AS (SELECT user_id, date_trunc('day', ts)::TIMESTAMP AS period, count(*) AS n FROM events GROUP BY ALL), e AS (SELECT date_trunc('day', max(ts))::TIMESTAMP - INTERVAL 1 DAY AS last FROM events),
+g AS (SELECT user_id, unnest(generate_series(min(period), (SELECT last FROM e), INTERVAL 1 DAY)) AS period FROM c GROUP BY user_id)
+SELECT user_id::VARCHAR AS user_id, period::DATE AS period, sum(coalesce(n, 0)) OVER (PARTITION BY user_id ORDER BY period)::BIGINT AS total FROM g LEFT JOIN c USING (user_id, period)""")
+def output_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A node with an adaptor and an output each day, as a plan over tables: every instance puts out its count at each midnight."""
+    adaptor = TableAdaptor(f"{sf_dir}/events.parquet", "event", "user_id", F.unix_micros(F.col("ts").cast("timestamp")), "event_id", "user_id")
+    node = Node.builder("sample").default_routing("managed").receiver().cluster("read").adaptor(adaptor).cluster("count").mp(samples.Counter()).output_every(86_400).build()
+    got = planner.execute(spark, node, per_second=1e6)["count"].where("kind = 'message' AND message_type = 'total'")
+    day = F.to_date(F.timestamp_micros(F.col("seq") - 86_400_000_000))
+    return got.select(F.col("key").alias("user_id"), day.alias("period"), F.get_json_object("payload", "$.count").cast("long").alias("total"))
+
+
+@registered("SELECT c_custkey::VARCHAR AS custkey, count(o_orderkey) AS handled, 1::BIGINT AS created FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
+def keysource_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instances for all keys of a table before their first message, in the engine."""
+    keys = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("key"))
+    orders = table(spark, sf_dir, "orders").withColumns({"event_id": F.col("o_orderkey"), "user_id": F.col("o_custkey")})
+    got = imperative(envelope(orders, "event", "user_id", "event_id", "event_id", "user_id"), samples.counter(), keys=keys)
+    of = lambda k: F.count_if(F.col("kind") == k)
+    return got.groupBy(F.col("key").alias("custkey")).agg(of("processed").alias("handled"), of("created").alias("created"))
 
 
 @registered("SELECT c_custkey, coalesce(n, 0) AS orders FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey")
@@ -334,11 +396,24 @@ def restored_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 def streamed(results: DataFrame) -> DataFrame:
     """A stream over what is available now, through a durable sink in the shared folder, read back as a table."""
     spark = results.sparkSession
-    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    at = scratch(spark, "stream")
     stream_sink(results, f"{at}/out", f"{at}/checkpoint").awaitTermination()
     return spark.read.schema(results.schema).parquet(f"{at}/out")
 
 
+def updated(results: DataFrame, key: str) -> DataFrame:
+    """A stream of updates over what is available now; the last one of each key."""
+    spark = results.sparkSession
+    at = scratch(spark, "stream")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{at}/out/batch={number}")
+
+    results.writeStream.foreachBatch(write).option("checkpointLocation", f"{at}/checkpoint").outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.parquet(f"{at}/out")
+    return found.groupBy(key).agg(F.max_by(F.struct(*[c for c in results.columns if c != key]), "batch").alias("last")).select(key, "last.*")
+
+
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as a stream of messages."""
     stateful.use_rocksdb(spark)
@@ -354,13 +429,77 @@ def stream_running_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.groupBy(F.col("key").alias("user_id")).agg(F.max(F.get_json_object("payload", "$.count").cast("long")).alias("last_count"))
 
 
-@registered("SELECT user_id::VARCHAR AS user_id, count(*) AS handled, count(*) // 10 AS evictions FROM events GROUP BY user_id")
+@registered(SQL_EVICTIONS + ", h AS (SELECT user_id, count(*) AS handled FROM events GROUP BY 1) SELECT user_id::VARCHAR AS user_id, any_value(handled) AS handled, sum(gone)::BIGINT AS evictions FROM r JOIN h USING (user_id) GROUP BY user_id")
 def stream_eviction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = streamed(stateful.keyed(event_stream(spark, sf_dir), samples.evicting()).where("kind IN ('processed', 'evicted')"))
+    """Eviction checks every 500 events over a stream."""
+    got = streamed(stateful.keyed(event_stream(spark, sf_dir), samples.evicting(5), evict_span=500).where("kind IN ('processed', 'evicted')"))
     of = lambda k: F.count_if(F.col("kind") == k)
     return got.groupBy(F.col("key").alias("user_id")).agg(of("processed").alias("handled"), of("evicted").alias("evictions"))
 
 
+def word_nodes(sf_dir: str, **options) -> Node:
+    """Words of the benchmark's texts, counted, the counts kept at their largest, and the ten best."""
+    adaptor = samples.WordAdaptor(f"{sf_dir}/benchmar[k].parquet", "item_id", **options)
+    return (
+        Node.builder("words").default_routing("managed").receiver().cluster("read").adaptor(adaptor)
+        .cluster("count").mp(samples.CountWords()).bulk().cluster("keep").mp(samples.KeepMax()).cluster("top").mp(samples.TopTen()).bulk().build()
+    )
+
+
+def best_words(results: DataFrame) -> DataFrame:
+    last = sent(results).agg(F.max_by("payload", F.struct("seq", "place")).alias("payload"))
+    m = F.from_json("payload", "words array<string>, ranks array<long>")
+    return last.select(F.explode(F.arrays_zip(m["words"].alias("word"), m["ranks"].alias("rank"))).alias("w")).select("w.*")
+
+
+SQL_BEST = r"SELECT word, count(*) - 1 AS rank FROM (SELECT unnest(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+')) AS word FROM benchmark) WHERE word <> '' GROUP BY word ORDER BY rank DESC, word LIMIT 10"
+
+
+@registered(SQL_BEST)
+def topology_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three clusters and an adaptor, planned over tables."""
+    return best_words(planner.execute(spark, word_nodes(sf_dir))["top"])
+
+
+@registered(SQL_BEST)
+def topology_words_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same node as one streaming query of three stages."""
+    stateful.use_rocksdb(spark)
+    node = word_nodes(sf_dir, stream=True, schema=table(spark, sf_dir, "benchmark").schema)
+    return best_words(streamed(planner.chained(spark, node, ["count", "keep", "top"])))
+
+
+SQL_LATE = """
+WITH s AS (SELECT max(ts) FILTER (WHERE event_id % 4 = 1) - INTERVAL 2 DAY AS mark FROM events)
+SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, count(*) AS n FROM events, s WHERE event_id % 2 = 1 OR date_trunc('day', ts) + INTERVAL 1 DAY > mark GROUP BY 1"""
+
+
+@registered(SQL_LATE)
+def stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Odd events come first, in two batches, and even ones after them: those of a window that closed two days before are dropped."""
+    at = scratch(spark, "late")
+    rows = events(spark, sf_dir).select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    for k, part in enumerate(("event_id % 4 = 1", "event_id % 4 = 3", "event_id % 2 = 0")):
+        rows.where(part).coalesce(1).write.parquet(f"{at}/in/{k}")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in/*")
+    got = windows.tumbling(stream, "ts", "1 day", [], {"n": F.count("*")}, late="2 days").drop("window_end")
+    return updated(got, "window_start").select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n")
+
+
+@registered("SELECT c.event_id AS click, p.event_id AS purchase FROM events c JOIN events p ON p.user_id = c.user_id AND p.ts > c.ts AND p.ts <= c.ts + INTERVAL 6 HOUR WHERE c.event_type = 'click' AND p.event_type = 'purchase'")
+def stream_stream_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks and the purchases of their user in the six hours after them: two streams with watermarks, their state bounded by them."""
+    schema = table(spark, sf_dir, "events").schema
+
+    def side(kind: str, name: str) -> DataFrame:
+        rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet").where(F.col("event_type") == kind)
+        return windows.event_time(rows, "ts").select(F.col("event_id").alias(name), F.col("user_id").alias(f"{name}_user"), F.col("ts").alias(f"{name}_ts")).withWatermark(f"{name}_ts", "40 days")
+
+    clicks, purchases = side("click", "click"), side("purchase", "purchase")
+    on = F.expr("click_user = purchase_user AND purchase_ts > click_ts AND purchase_ts <= click_ts + interval 6 hours")
+    return streamed(clicks.join(purchases, on).select("click", "purchase"))
+
+
 # Shards
 
 
@@ -422,16 +561,27 @@ def container_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.groupBy("user_id").agg(F.count_if(~F.col("discarded")).alias("accepted"))
 
 
-@registered("SELECT count(*) AS dispatched, count(*) FILTER (WHERE event_id % 10 <> 3) AS processed, count(*) FILTER (WHERE event_id % 10 = 3) AS failed, count(DISTINCT user_id) AS created, 0::BIGINT AS deleted, 0::BIGINT AS evicted, 0::BIGINT AS unkeyed, count(*) FILTER (WHERE event_id % 10 <> 3) AS sent, 0::BIGINT AS collisions FROM events")
+@registered("SELECT count(*) AS dispatched, count(*) FILTER (WHERE event_id % 10 <> 3) AS processed, count(*) FILTER (WHERE event_id % 10 = 3) AS failed, count(DISTINCT user_id) AS created, 0::BIGINT AS deleted, 0::BIGINT AS evicted, 0::BIGINT AS unkeyed, 0::BIGINT AS unsent, 0::BIGINT AS output_failed, count(*) FILTER (WHERE event_id % 10 <> 3) AS sent, 0::BIGINT AS collisions, 0::BIGINT AS discarded FROM events")
 def cluster_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.cluster_counts(imperative(event_messages(spark, sf_dir), samples.failing()))
 
 
-@registered("SELECT (SELECT count(*) FROM events) AS sent, (SELECT count(*) FROM events) AS processed_and_discarded, true AS balanced")
+@registered("""
+WITH p AS (SELECT *, place > 80 OR place <= least(n, 80) - 40 AS gone FROM (
+SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS place, count(*) OVER (PARTITION BY user_id) AS n FROM events))
+SELECT count(*) AS received, count(*) FILTER (WHERE gone) AS discarded, count(*) FILTER (WHERE NOT gone) AS dispatched, count(*) FILTER (WHERE NOT gone AND event_id % 10 <> 3) AS processed,
+count(*) FILTER (WHERE NOT gone AND event_id % 10 = 3) AS failed, count(DISTINCT user_id) FILTER (WHERE NOT gone) AS live, true AS received_balance, true AS handled_balance FROM p""")
 def metric_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = shedding.shed(events(spark, sf_dir).select("event_id", F.to_date("ts").alias("batch")), "batch", "event_id", 40)
-    counts = own.agg(F.count("*").alias("sent"), (F.count_if(~F.col("discarded")) + F.count_if("discarded")).alias("processed_and_discarded"))
-    return counts.withColumn("balanced", F.col("sent") == F.col("processed_and_discarded"))
+    """Counts of the input and of what shedding drops, against those that the cluster's own rows give."""
+    own = shedding.shed(event_messages(spark, sf_dir), "key", "seq", 40)
+    kept = own.where("NOT discarded")
+    given = own.agg(F.count("*").alias("received"), F.count_if("discarded").alias("discarded"))
+    own_counts = metrics.cluster_counts(imperative(kept, samples.failing(), final_output=True, keep=True)).drop("discarded")
+    both = given.crossJoin(own_counts)  # one row each
+    return both.select(
+        "received", "discarded", "dispatched", "processed", "failed", (F.col("created") - F.col("deleted")).alias("live"),
+        (F.col("received") == F.col("discarded") + F.col("dispatched")).alias("received_balance"), (F.col("dispatched") == F.col("processed") + F.col("failed")).alias("handled_balance"),
+    )
 
 
 # EXTENSIONS: event-time windows and relational forms
@@ -516,3 +666,71 @@ def running_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A declarative processor with two state variables, emitted after each message."""
     fold = Declarative({"running_total": F.sum("value"), "running_max": F.max("value")})
     return fold.lower(events(spark, sf_dir), "user_id", "event_id").select("user_id", "event_id", "running_total", "running_max")
+
+
+@registered("SELECT s_nationkey AS nationkey FROM supplier UNION SELECT c_nationkey FROM customer WHERE c_acctbal > 9000")
+def relational_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rich = table(spark, sf_dir, "customer").where("c_acctbal > 9000").select("c_nationkey")
+    return table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nationkey")).union(rich).distinct()
+
+
+@registered("SELECT c_custkey AS custkey, c_nationkey % 3 AS rest FROM customer EXCEPT SELECT o_custkey, 0 FROM orders")
+def relational_except(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("custkey"), (F.col("c_nationkey") % 3).alias("rest"))
+    return own.subtract(table(spark, sf_dir, "orders").select("o_custkey", F.lit(0)))
+
+
+@registered("SELECT o_orderpriority, o_orderstatus, count(*) AS n, grouping(o_orderpriority)::INT AS no_priority FROM orders GROUP BY GROUPING SETS ((o_orderpriority, o_orderstatus), (o_orderstatus), ())")
+def relational_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own, p, s = table(spark, sf_dir, "orders"), F.col("o_orderpriority"), F.col("o_orderstatus")
+    return own.groupingSets([[p, s], [s], []], p, s).agg(F.count("*").alias("n"), F.grouping(p).cast("int").alias("no_priority"))
+
+
+@registered("SELECT p_partkey, n_nationkey FROM part JOIN nation ON p_retailprice >= 900 + 40 * n_nationkey AND p_retailprice < 960 + 40 * n_nationkey")
+def relational_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts in the price bands of nations, some of which overlap."""
+    bands = table(spark, sf_dir, "nation").select("n_nationkey", (900.0 + 40 * F.col("n_nationkey")).alias("low"), (960.0 + 40 * F.col("n_nationkey")).alias("high"))
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_retailprice")
+    return joins.range_join(parts, bands, "p_retailprice", "low", "high", 60.0).select("p_partkey", "n_nationkey")
+
+
+@registered("SELECT a.event_id AS error, b.event_id AS near FROM events a JOIN events b ON a.user_id = b.user_id AND abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 3600000000 WHERE a.event_type = 'error' AND b.event_type <> 'error'")
+def relational_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What users did within an hour of an error."""
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    own = events(spark, sf_dir).select("user_id", "event_id", "event_type", at.alias("at"))
+    errors = own.where("event_type = 'error'").select("user_id", F.col("event_id").alias("error"), "at")
+    others = own.where("event_type <> 'error'").select("user_id", F.col("event_id").alias("near"), F.col("at").alias("other"))
+    return joins.interval_join(errors, others, ["user_id"], F.col("at"), F.col("other"), 3_600_000_000).select("error", "near")
+
+
+@registered("""
+SELECT o_orderkey, upper(o_orderstatus) || '-' || substr(o_orderpriority, 1, 1) AS code, length(o_orderpriority) AS size, year(o_orderdate)::INT AS year, quarter(o_orderdate)::INT AS quarter,
+date_diff('day', TIMESTAMP '1992-01-01', date_trunc('day', o_orderdate))::INT AS days, floor(o_totalprice)::BIGINT AS whole, abs(o_totalprice - 150000) > 50000 AS far, coalesce(nullif(o_orderstatus, 'O'), '?') AS status,
+regexp_replace(o_orderpriority, '[^A-Z]', '', 'g') AS letters, greatest(o_custkey, o_orderkey) AS larger, CASE WHEN o_orderkey % 3 = 0 THEN 'fizz' ELSE 'no' END AS fizz FROM orders""")
+def relational_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions on texts, times and numbers, all within generated code."""
+    p, s, d, t = (F.col(f"o_{c}") for c in ("orderpriority", "orderstatus", "orderdate", "totalprice"))
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.concat(F.upper(s), F.lit("-"), F.substring(p, 1, 1)).alias("code"), F.length(p).alias("size"), F.year(d).alias("year"), F.quarter(d).alias("quarter"),
+        F.date_diff(F.to_date(d), F.lit("1992-01-01").cast("date")).alias("days"), F.floor(t).alias("whole"), (F.abs(t - 150000) > 50000).alias("far"), F.coalesce(F.nullif(s, F.lit("O")), F.lit("?")).alias("status"),
+        F.regexp_replace(p, "[^A-Z]", "").alias("letters"), F.greatest("o_custkey", "o_orderkey").alias("larger"), F.when(F.col("o_orderkey") % 3 == 0, "fizz").otherwise("no").alias("fizz"),
+    )
+
+
+@registered("SELECT event_id, least(greatest(value, 10), 100) AS clipped FROM events")
+def function_arrow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scalar function in Python over Arrow arrays."""
+    return events(spark, sf_dir).select("event_id", vectors.clipped("value").alias("clipped"))
+
+
+@registered("SELECT user_id, max(value) - min(value) AS spread FROM events GROUP BY user_id")
+def function_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An aggregate in Python over a group's values; without partial sums, so for groups that fit a task."""
+    return events(spark, sf_dir).groupBy("user_id").agg(vectors.spread("value").alias("spread"))
+
+
+@registered("SELECT item_id, generate_subscripts(w, 1)::INT - 1 AS place, unnest(w) AS word FROM (SELECT item_id, regexp_extract_all(text, '[A-Za-z]+') AS w FROM benchmark)")
+def function_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table function in Python, joined laterally."""
+    return table(spark, sf_dir, "benchmark").lateralJoin(vectors.Words(F.col("text").outer())).select("item_id", "place", "word")

@@ -29,7 +29,12 @@ class TableAdaptor(Adaptor):
     def read(self, spark: SparkSession) -> DataFrame:
         reader = spark.readStream if self.stream else spark.read
         reader = reader.format(self.fmt).options(**self.options)
-        return envelope((reader.schema(self.schema) if self.schema else reader).load(self.path), *self.args)
+        rows = (reader.schema(self.schema) if self.schema else reader).load(self.path)
+        return envelope(self.prepared(rows), *self.args)
+
+    def prepared(self, rows: DataFrame) -> DataFrame:
+        """For adaptors that derive columns, or make several rows of one, before these become messages."""
+        return rows
 
 
 class Dispatcher:

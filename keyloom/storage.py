@@ -1,15 +1,20 @@
-"""Cutting lineage in the folder that all executors share."""
+"""Cutting lineage, and folders for what must be written, in the folder that all executors share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder, from spark.checkpoint.dir; only a local master without that setting gets a temporary one."""
+    """The session's checkpoint folder, from spark.checkpoint.dir; only a local master without that setting gets a temporary one.
+
+    What is checkpointed there is deleted once no table refers to it any more.
+    """
     sc = spark.sparkContext
+    sc._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", "")
         if not folder:
@@ -24,3 +29,22 @@ def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and go on from there."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def _on_disk(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared folder; it is deleted when the application ends, or before by remove()."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    files, at = _on_disk(spark, path)
+    files.mkdirs(at)
+    files.deleteOnExit(at)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    files, at = _on_disk(spark, path)
+    files.delete(at, True)

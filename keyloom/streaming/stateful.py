@@ -3,99 +3,135 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import datetime, timezone
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from keyloom.model import from_json
-from keyloom.plans.batch import RESULT, Runner
+from keyloom.plans.batch import NAMES, RESULT, Options, Runner, placed
 from keyloom.processor import Processor
+from keyloom.streaming.schedules import Cron, Every
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-NAMES = [c.split()[0] for c in RESULT.split(", ")]
+Schedule = float | Every | Cron
 
 
 def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
 
 
+def schedule(found: Schedule | str | None) -> Every | Cron | None:
+    """Seconds, an interval, or a cron expression; nothing and 0 are none."""
+    if not found:
+        return None
+    return Cron(found) if isinstance(found, str) else Every(found) if isinstance(found, (int, float)) else found
+
+
+def due_after(plan: Every | Cron, now: int) -> int:
+    """Milliseconds of the next moment after `now`; far off if there is none. Cron fields are in UTC."""
+    at = plan.after(datetime.fromtimestamp(now / 1000, timezone.utc).replace(tzinfo=None))
+    return int(at.replace(tzinfo=timezone.utc).timestamp() * 1000) if at else 1 << 62
+
+
 class Keyed(StatefulProcessor):
     """An instance per key, pickled in the state store; timers drive its output passes and eviction checks.
 
     State outlives restarts with the query's checkpoint, so each message changes it once. output_every and evict_every are
-    seconds of processing time; without them no timer is set.
+    schedules of processing time, each with a due time of its own; without them nothing is put out or evicted, unless options
+    name spans of seq. A key's messages of a micro-batch are held as columns, sorted, and handled one after the other.
     """
 
-    def __init__(self, processor: Processor, cluster: str = "", bulk: bool = False, output_every: float | None = None, evict_every: float | None = None):
-        self.args = (processor, cluster, bulk)
-        self.output_every, self.evict_every = output_every, evict_every
+    def __init__(self, processor: Processor, options: Options = Options(), output_every: Schedule | None = None, evict_every: Schedule | None = None):
+        self.args = (processor, options)
+        self.plans = {"output": schedule(output_every), "evict": schedule(evict_every)}
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.runner = Runner(*self.args)
-        self.held = handle.getValueState("instance", "instance binary, output_at long, evict_at long")
+        self.held = handle.getValueState("instance", "instance binary, last long, output_at long, evict_at long")
 
-    def _load(self) -> tuple[Any, int, int]:
+    def _load(self) -> tuple[Any, int | None, dict[str, int]]:
         if not self.held.exists():
-            return None, 0, 0
-        raw, output_at, evict_at = self.held.get()
-        return cloudpickle.loads(raw), output_at, evict_at
+            return None, None, {"output": 0, "evict": 0}
+        raw, last, output_at, evict_at = self.held.get()
+        return cloudpickle.loads(raw), last, {"output": output_at, "evict": evict_at}
 
-    def _keep(self, own: Any, output_at: int, evict_at: int) -> None:
+    def _keep(self, own: Any, last: int | None, due: dict[str, int]) -> None:
         if own is None:
             self.held.clear()
         else:
-            self.held.update((cloudpickle.dumps(own), output_at, evict_at))
-
-    def _arm(self, now: int, output_at: int, evict_at: int) -> tuple[int, int]:
-        for every, due in ((self.output_every, output_at), (self.evict_every, evict_at)):
-            if every and due <= now:
-                due = now + int(every * 1000)
-                self.handle.registerTimer(due)
-            if every is self.output_every:
-                output_at = due
-            if every is self.evict_every:
-                evict_at = due
-        return output_at, evict_at
+            self.held.update((cloudpickle.dumps(own), last, due["output"], due["evict"]))
+
+    def _arm(self, now: int, due: dict[str, int]) -> None:
+        for name, plan in self.plans.items():
+            if plan and due[name] <= now:
+                due[name] = due_after(plan, now)
+                self.handle.registerTimer(due[name])
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        own, output_at, evict_at = self._load()
+        own, last, due = self._load()
         out: list[tuple] = []
-        pile = sorted(((t, b, int(s)) for df in rows for t, b, s in zip(df["message_type"], df["payload"], df["seq"])), key=lambda m: m[2])
-        types = self.runner.processor.types
-        own = self.runner.one(own, key[0], [(t, from_json(types.get(t), b), s) for t, b, s in pile], out)
-        if own is not None and (self.output_every or self.evict_every):
-            output_at, evict_at = self._arm(timerValues.getCurrentProcessingTimeInMs(), output_at, evict_at)
-        self._keep(own, output_at, evict_at)
-        yield pd.DataFrame(out, columns=NAMES)
+        frames = [df[["message_type", "payload", "seq", "place"]] for df in rows]
+        found = pd.concat(frames, ignore_index=True) if len(frames) > 1 else frames[0]
+        seq, where = found["seq"].to_numpy(), found["place"].map(lambda x: bytes(x or b"")).to_numpy(object)
+        order = np.argsort(seq, kind="stable") if not any(where) else np.array(sorted(range(len(seq)), key=lambda i: (seq[i], where[i])))
+        pile: list = []
+        for i in order:
+            m = self.runner.read(found["message_type"].iat[i], found["payload"].iat[i], int(seq[i]), where[i])
+            own, pile, last = self.runner.next(own, key[0], pile, last, m, out)
+            if len(out) > 20_000:
+                yield pd.DataFrame(out, columns=NAMES)
+                out = []
+        own = self.runner.handle(own, key[0], pile, out)
+        if own is not None:
+            self._arm(timerValues.getCurrentProcessingTimeInMs(), due)
+        self._keep(own, last, due)
+        yield pd.DataFrame(out + self.runner.timings(), columns=NAMES)
+
+    def handleInitialState(self, key: Any, initialState: pd.DataFrame, timerValues: Any) -> None:
+        """An instance for a key of a key source, before its first message; one whose activation fails is made by that message."""
+        own = self.runner.get(None, key[0], [], [])
+        due = {"output": 0, "evict": 0}
+        if own is not None:
+            self._arm(timerValues.getCurrentProcessingTimeInMs(), due)
+        self._keep(own, None, due)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        own, output_at, evict_at = self._load()
+        own, last, due = self._load()
         out: list[tuple] = []
         now = expiredTimerInfo.getExpiryTimeInMs()
         if own is not None:
-            if self.output_every and output_at <= now:
-                self.runner.send(self.runner.processor.emit(own), now, 0, out)
-            if self.evict_every and evict_at <= now and self.runner.processor.evicts(own):
-                self.runner.processor.passivate(own)
-                out += [("evicted", None, key[0], None, now, 0, None), ("deleted", None, key[0], None, now, 0, None)]
-                own = None
-            else:
-                output_at, evict_at = self._arm(now, output_at, evict_at)
-            self._keep(own, output_at, evict_at)
-        yield pd.DataFrame(out, columns=NAMES)
+            if self.plans["output"] and due["output"] <= now:
+                self.runner.put_out(own, key[0], now, out)
+            if self.plans["evict"] and due["evict"] <= now:
+                own = self.runner.check(own, key[0], now, out)
+            if own is not None:
+                self._arm(now, due)
+            self._keep(own, last, due)
+        yield pd.DataFrame(out + self.runner.timings(), columns=NAMES)
 
     def close(self) -> None: ...
 
 
-def keyed(messages: DataFrame, processor: Processor, cluster: str = "", bulk: bool = False, output_every: float | None = None, evict_every: float | None = None) -> DataFrame:
-    """Results of a processor over a stream of envelope rows; stages may follow one another in a query."""
-    timed = output_every or evict_every
-    own = messages.where(messages.message_type.isin(*sorted(processor.types)) & messages.key.isNotNull())
-    return own.groupBy("key").transformWithStateInPandas(Keyed(processor, cluster, bulk, output_every, evict_every), RESULT, "Update", "ProcessingTime" if timed else "None")
+def keyed(
+    messages: DataFrame, processor: Processor, cluster: str = "", bulk: bool = False, output_every: Schedule | str | None = None, evict_every: Schedule | str | None = None,
+    output_span: int | None = None, evict_span: int | None = None, keys: DataFrame | None = None,
+) -> DataFrame:
+    """Results of a processor over a stream of envelope rows; stages may follow one another in a query.
+
+    output_every, evict_every: processing time. output_span, evict_span: units of seq, as over tables. keys: a table with a column
+    `key`, each of which has an instance from the start.
+    """
+    timed = schedule(output_every) or schedule(evict_every)
+    own = placed(messages).where(F.col("message_type").isin(*sorted(processor.types)) & F.col("key").isNotNull()).select("message_type", "key", "payload", "seq", "place")
+    stage = Keyed(processor, Options(cluster, bulk, output_span=output_span, evict_span=evict_span), schedule(output_every), schedule(evict_every))
+    first = keys.select(F.col("key").cast("string").alias("key")).where("key IS NOT NULL").distinct().groupBy("key") if keys is not None else None
+    return own.groupBy("key").transformWithStateInPandas(stage, RESULT, "Update", "ProcessingTime" if timed else "None", first)
 
 
 def collected(df: DataFrame, name: str, mode: str = "update") -> list:

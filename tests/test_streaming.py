@@ -2,10 +2,12 @@ import time
 
 from pyspark.sql import functions as F
 
-from keyloom.plans import samples
+from keyloom.plans import planner, samples
 from keyloom.plans.batch import ENVELOPE, imperative, sent
-from keyloom.sources.adaptors import stream_sink
+from keyloom.processor import Mp, MpFactory
+from keyloom.sources.adaptors import Adaptor, stream_sink
 from keyloom.streaming import stateful, windows
+from keyloom.topology import Node
 
 
 def written(spark, path, rows, files=3):
@@ -55,6 +57,57 @@ def test_timers_put_out_and_evict(spark, tmp_path):
     assert found == {"0", "1"}
 
 
+def test_each_schedule_has_its_own_time():
+    class Timers:
+        def __init__(self):
+            self.at = []
+
+        def registerTimer(self, due):
+            self.at.append(due)
+
+    stage = stateful.Keyed(samples.evicting(), output_every=5, evict_every=5.0)
+    stage.handle, due = Timers(), {"output": 0, "evict": 0}
+    stage._arm(1000, due)
+    assert due == {"output": 6000, "evict": 6000} and stage.handle.at == [6000, 6000]
+    due = {"output": 6000, "evict": 9000}
+    stage._arm(6000, due)
+    assert due == {"output": 11_000, "evict": 9000}
+    stage = stateful.Keyed(samples.evicting(), output_every="0 0 * * * ?")
+    stage.handle, due = Timers(), {"output": 0, "evict": 0}
+    stage._arm(3_600_000 * 5 + 1, due)
+    assert due == {"output": 3_600_000 * 6, "evict": 0}
+
+
+def test_instances_before_their_first_message(spark, tmp_path):
+    stream = written(spark, str(tmp_path / "in"), [(i, 1) for i in range(4)], 1)
+    got = stateful.collected(stateful.keyed(stream, samples.counter(), keys=spark.createDataFrame([("1",), ("2",), (None,)], "key string")), "preset")
+    assert [r["key"] for r in got if r["kind"] == "created"] == [] and sum(r["kind"] == "processed" for r in got) == 4
+
+
+def test_a_topology_that_feeds_back_runs_as_streams(spark, tmp_path):
+    rows = [("hop", str(k % 3), f'{{"user_id": {k % 3}, "hops": {k % 4}}}', k) for k in range(12)]
+    spark.createDataFrame(rows, ENVELOPE).coalesce(1).write.parquet(str(tmp_path / "in"))
+
+    class Ready(Adaptor):
+        def read(self, spark):
+            return spark.readStream.schema(ENVELOPE).parquet(str(tmp_path / "in"))
+
+    node = Node.builder("a").default_routing("managed").receiver().cluster("read").adaptor(Ready()).cluster("hop").mp(samples.Hopper()).cluster("see").mp(MpFactory.make(Silent, "seen")).build()
+    streams = planner.Streams(spark, str(tmp_path / "run"), node)
+    assert streams.drain() >= 4
+    assert streams.results("see").where("kind = 'processed'").count() == sum(k % 4 + 1 for k in range(12))
+    spark.createDataFrame(rows[3:4], ENVELOPE).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    planner.Streams(spark, str(tmp_path / "run"), node).drain()
+    assert streams.results("see").where("kind = 'processed'").count() == sum(k % 4 + 1 for k in range(12)) + 4
+    streams.delete()
+    assert not (tmp_path / "run").exists()
+
+
+class Silent(Mp):
+    def handle(self, message):
+        return None
+
+
 def test_windows_of_a_stream_match_those_of_a_table(spark, tmp_path):
     df = spark.range(200).select(F.timestamp_seconds(F.col("id") * 977).alias("ts"), (F.col("id") % 3).alias("k"))
     df.write.parquet(str(tmp_path / "t"))
