@@ -23,10 +23,11 @@ INPUT = 12
 #: Rows of the table of character trigrams, and words with a row of their own.
 GRAMS = 4096
 VOCABULARY = 4096
-#: Training sample: labelled rows of either class, the longest text among them in characters, and steps of optimisation.
+#: Training sample: labelled rows of either class, the most words of a text and the run in which they are taken, and steps.
 TOXIC_ROWS = 600
 CLEAN_ROWS = 2400
-LONGEST = 20_000
+MOST_WORDS = 3200
+RUN = 64
 STEPS = 260
 BATCH = 512
 RATE = 0.02
@@ -304,19 +305,38 @@ def held_out(doc_id):
     return F.crc32(doc_id.cast("string")) % FOLDS == 0
 
 
+def sampled(text: bytes, most: int = MOST_WORDS, run: int = RUN) -> bytes:
+    """The words of a text for training: all, or of a longer one runs of them, spread evenly from its start to its end."""
+    own = words(text)
+    if len(own) <= most:
+        return b" ".join(own)
+    starts = np.linspace(0, len(own) - run, most // run).astype(int)
+    return b" ".join(w for s in starts for w in own[s : s + run])
+
+
+def _taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        done = 0
+        for ids, texts in text_batches(iter([batch])):
+            labels = batch.column(2).slice(done, len(texts))
+            done += len(texts)
+            yield pa.RecordBatch.from_arrays([ids, pa.array([sampled(t) for t in texts], pa.binary()), labels], names=["doc_id", "text", "toxic"])
+
+
 def learn(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS) -> Model:
     """A model from the labelled rows that aren't held out: a sample of at most toxic_rows and clean_rows, in hash order.
 
-    Ids are sampled first, so only the sampled texts, each of at most LONGEST characters, come to the driver. Ids with both
-    labels count as toxic; null ids and labels are left out.
+    Ids are sampled first; of their texts MOST_WORDS words each come to the driver, see sampled(). Ids with both labels count as
+    toxic; null ids and labels are left out.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IS NOT NULL")
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out(F.col("doc_id")))
     taken = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in ((1, toxic_rows), (0, clean_rows))]
     ids = taken[0].union(taken[1])  # at most toxic_rows + clean_rows
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.char_length("text") <= LONGEST)
-    rows = sorted((r["doc_id"], r["text"], r["toxic"]) for r in texts.join(F.broadcast(ids), "doc_id").collect())
-    return train([t.encode() for _, t, _ in rows], [k for _, _, k in rows])
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    known = texts.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic").mapInArrow(_taken, "doc_id long, text binary, toxic int")
+    rows = sorted((r["doc_id"], bytes(r["text"]), r["toxic"]) for r in known.collect())
+    return train([t for _, t, _ in rows], [k for _, _, k in rows])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

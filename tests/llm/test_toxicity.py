@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -40,6 +41,73 @@ def test_a_late_window_counts(model):
     assert model.scores([clean])[0] < 0.5 < model.scores([clean + b" vile grolmax vile grolty"])[0]
 
 
+def scalar_score(model, text):
+    """The largest score of all windows, one number after the other."""
+    p = {k: v.astype(float).tolist() for k, v in model.p.items()}
+    plain = "".join(chr(c).lower() if chr(c).isalnum() or c >= 128 else " " for c in text).encode("latin-1")
+    tokens = plain.split()
+
+    def vector(w):
+        grams = []
+        marked = b"^" + w + b"$"
+        for a, b, c in zip(marked, marked[1:], marked[2:]):
+            h = (a * 7919 + b * 104729 + c * 1299709) & 0x7FFFFFFF
+            grams.append((h ^ (h >> 13)) % T.GRAMS)
+        own = p["word"][model.vocabulary.get(w, 0)]
+        return [own[k] + sum(p["gram"][g][k] for g in grams) / len(grams) for k in range(T.INPUT)]
+
+    def sigmoid(x):
+        return 1 / (1 + math.exp(-x))
+
+    def states(xs, d):
+        h, out = [0.0] * T.HIDDEN, []
+        for x in xs:
+            g = [sum(x[i] * p[f"w{d}"][i][j] for i in range(T.INPUT)) + p[f"c{d}"][j] for j in range(3 * T.HIDDEN)]
+            u = [sum(h[i] * p[f"u{d}"][i][j] for i in range(T.HIDDEN)) for j in range(3 * T.HIDDEN)]
+            new = []
+            for j in range(T.HIDDEN):
+                z, r = sigmoid(g[j] + u[j]), sigmoid(g[T.HIDDEN + j] + u[T.HIDDEN + j])
+                m = math.tanh(g[2 * T.HIDDEN + j] + r * u[2 * T.HIDDEN + j])
+                new.append((1 - z) * m + z * h[j])
+            h = new
+            out.append(h)
+        return out
+
+    best, start = -math.inf, 0
+    while True:
+        xs = [vector(w) for w in tokens[start : start + T.WINDOW]]
+        ahead, back = states(xs, "f"), states(xs[::-1], "b")[::-1]
+        both = [a + b for a, b in zip(ahead, back)]
+        weight = [math.exp(sum(x * y for x, y in zip(h, p["attend"]))) for h in both]
+        pooled = [sum(w * h[k] for w, h in zip(weight, both)) / sum(weight) for k in range(2 * T.HIDDEN)] if both else [0.0] * 2 * T.HIDDEN
+        best = max(best, sum(x * y for x, y in zip(pooled, p["out"])) + p["bias"][0])
+        start += T.STRIDE
+        if start + T.WINDOW - T.STRIDE >= len(tokens):
+            return sigmoid(best)
+
+
+def test_scores_match_a_scalar_forward_pass(model):
+    own = [t.encode() for _, t, _ in corpus(12, 5)] + [b"", b" \t!?", b"one", b"Vile, GROLMAX; vile-grolty", b"word " * 32, b"word " * 33, b"a b c " * 40 + b"grolun vile", "é漢字 vile".encode()]
+    assert np.allclose(model.scores(own), [scalar_score(model, t) for t in own], atol=2e-5)
+
+
+def test_long_texts_train_by_runs_of_their_words():
+    text = " ".join(f"w{k}" for k in range(50_000)).encode()
+    own = T.sampled(text).split()
+    assert len(own) == T.MOST_WORDS and own[0] == b"w0" and own[-1] == b"w49999" and len(set(own)) == len(own)
+    assert T.sampled(b"One, two!") == b"one two" and T.sampled(b"") == b""
+
+
+def test_long_labelled_texts_count(spark):
+    """All toxic rows are long ones; what marks them is all over them."""
+    draw = random.Random(8)
+    plain = ["".join(draw.choice("aeinrst") for _ in range(5)) for _ in range(200)]
+    rows = [(k, " ".join("grolmax" if k % 2 and draw.random() < 0.3 else draw.choice(plain) for _ in range(6000 if k % 2 else 60)), k % 2) for k in range(60)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    got = {r["doc_id"]: r["predicted"] for r in T.toxicity(docs, spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic int")).collect()}
+    assert sum(got[k] == y for k, _, y in rows) >= 58
+
+
 def test_windows_cover_all_words():
     sizes = np.array([0, 1, 31, 32, 33, 48, 49, 200])
     starts, own = T.windows(sizes)
