@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +21,11 @@ UNIT = 64
 CENTRE = 101
 #: Blocks from one restart marker to the next; intervals decode side by side.
 INTERVAL = 8
-#: Payload bytes that one call codes.
-BATCH = 2 << 20
+#: Payload bytes that are coded at once; a longer payload is coded and decoded in runs of whole restart intervals of that size.
+BATCH = 1 << 20
+#: Blocks of such a run: restart markers count modulo 8, so each run begins at marker 0.
+RUN = BATCH // UNIT
+assert RUN % (8 * INTERVAL) == 0
 ZRL, EOB = 0xF0, 0x00
 
 
@@ -96,11 +100,25 @@ def _magnitude(v: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def encode(payloads: list[bytes]) -> list[bytes]:
     """A JPEG file per payload, whose length is a positive multiple of 64: a block's coefficients are 64 of its bytes."""
-    used = np.array([len(p) // UNIT for p in payloads], np.int64)
-    shapes = [grid(int(n)) for n in used]
-    blocks = np.array([a * b for a, b in shapes], np.int64)
+    shapes = [grid(len(p) // UNIT) for p in payloads]
+    blocks = [a * b for a, b in shapes]
+    scans: dict[int, bytes] = {}
+    short = [i for i, n in enumerate(blocks) if n <= RUN]
+    for i, j in _chunks([blocks[i] * UNIT for i in short], BATCH):
+        scans |= zip(short[i:j], code([payloads[k] for k in short[i:j]], [blocks[k] for k in short[i:j]]))
+    for i, n in enumerate(blocks):
+        if n > RUN:
+            runs = (code([payloads[i][k * UNIT : (k + RUN) * UNIT]], [min(RUN, n - k)])[0] for k in range(0, n, RUN))
+            scans[i] = b"\xff\xd7".join(runs)
+    return [head(len(p), *shapes[i]) + scans[i] + b"\xff\xd9" for i, p in enumerate(payloads)]
+
+
+def code(parts: list[bytes], sizes: list[int]) -> list[bytes]:
+    """The scan of each part, whose blocks are padded with zeros to the size given; the first interval of each has marker 0 behind it."""
+    used = np.array([len(p) // UNIT for p in parts], np.int64)
+    blocks = np.array(sizes, np.int64)
     first = np.cumsum(blocks) - blocks
-    raw = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, UNIT)
+    raw = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, UNIT)
     values = np.zeros((int(blocks.sum()), UNIT), np.int16)
     values[np.repeat(first - (np.cumsum(used) - used), used) + np.arange(len(raw))] = ((raw.astype(np.int16) - CENTRE + 128) & 255) - 128
     n = len(values)
@@ -173,7 +191,7 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     out[after[~closing] + 1] = 0xD0 + ordinal[~closing] % 8
     stops = after[closing]
     scan = out.tobytes()
-    return [head(len(p), a, b) + scan[i:j] + b"\xff\xd9" for p, (a, b), i, j in zip(payloads, shapes, np.append(0, stops[:-1]).tolist(), stops.tolist())]
+    return [scan[i:j] for i, j in zip(np.append(0, stops[:-1]).tolist(), stops.tolist())]
 
 
 def parse(media: bytes) -> dict:
@@ -226,17 +244,43 @@ def lookup(dc: bytes, ac: bytes) -> np.ndarray:
 
 
 def decode(media: list[bytes]) -> list[tuple[dict, np.ndarray]]:
-    """(markers, coefficients (blocks, 64) in scan order) per file; files with equal tables are decoded together."""
+    """(markers, coefficients (blocks, 64) in scan order) per file; files with equal tables are decoded together, long ones in runs."""
     heads = [parse(m) for m in media]
     out: list = [None] * len(media)
     groups: dict = {}
     for i, h in enumerate(heads):
         groups.setdefault((h["tables"][0x00], h["tables"][0x10], h["interval"]), []).append(i)
     for (dc, ac, interval), own in groups.items():
-        blocks = np.array([-(-heads[i]["wide"] // 8) * -(-heads[i]["high"] // 8) for i in own], np.int64)
-        values = _scans([media[i][heads[i]["scan"] : -2] for i in own], blocks, lookup(dc, ac), interval or int(blocks.max()))
-        for i, part in zip(own, np.split(values, np.cumsum(blocks)[:-1])):
-            out[i] = (heads[i], part)
+        table = lookup(dc, ac)
+        sizes = {i: -(-heads[i]["wide"] // 8) * -(-heads[i]["high"] // 8) for i in own}
+        short = [i for i in own if not interval or sizes[i] <= RUN]
+        for a, b in _chunks([sizes[i] * UNIT for i in short], BATCH):
+            some = short[a:b]
+            blocks = np.array([sizes[i] for i in some], np.int64)
+            values = _scans([media[i][heads[i]["scan"] : -2] for i in some], blocks, table, interval or int(blocks.max()))
+            for i, part in zip(some, np.split(values, np.cumsum(blocks)[:-1])):
+                out[i] = (heads[i], part)
+        for i in own:
+            if interval and sizes[i] > RUN:
+                out[i] = (heads[i], _runs(memoryview(media[i])[heads[i]["scan"] : -2], sizes[i], table, interval))
+    return out
+
+
+def _runs(scan: memoryview, blocks: int, table: np.ndarray, interval: int) -> np.ndarray:
+    """Coefficients of one long scan, decoded in runs of whole intervals."""
+    raw = np.frombuffer(scan, np.uint8)
+    marks = np.flatnonzero((raw[:-1] == 0xFF) & (raw[1:] >= 0xD0) & (raw[1:] <= 0xD7))
+    if len(marks) != -(-blocks // interval) - 1:
+        raise ValueError("restart markers don't match the size")
+    many = max(1, RUN // interval)
+    out = np.empty((blocks, UNIT), np.int16)
+    begin = 0
+    for k in range(0, len(marks) + 1, many):
+        end = int(marks[k + many - 1]) if k + many <= len(marks) else len(raw)
+        first = k * interval
+        own = min(many * interval, blocks - first)
+        out[first : first + own] = _scans([bytes(scan[begin:end])], np.array([own], np.int64), table, interval)
+        begin = end + 2
     return out
 
 
@@ -325,10 +369,8 @@ def store(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in text_batches(batches):
-            for i, j in _chunks([len(t) for t in texts], BATCH):
-                own = texts[i:j]
-                media = encode([t + bytes(-len(t) % UNIT or (0 if t else UNIT)) for t in own])
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array([len(t) for t in own], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
+            media = encode([t + bytes(-len(t) % UNIT or (0 if t else UNIT)) for t in texts])
+            yield pa.RecordBatch.from_arrays([ids, pa.array([len(t) for t in texts], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
@@ -341,9 +383,9 @@ def features(stored: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            whole = batch.column(2).to_pylist()
-            for i, j in _chunks([len(m) for m in whole], BATCH):
-                media = whole[i:j]
+            stored_ = batch.column(2)
+            for i, j in _chunks(pa.compute.binary_length(stored_).to_pylist(), BATCH):
+                media = stored_.slice(i, j - i).to_pylist()
                 found = decode(media)
                 shapes = np.array([(h["wide"] // 8, h["high"] // 8) for h, _ in found], np.int64)
                 hashes = thumbnail_hashes(shapes, np.concatenate([v[:, 0] * np.int64(h["dc_step"]) for h, v in found]))

@@ -1,5 +1,7 @@
 import hashlib
 import random
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -92,6 +94,28 @@ def test_any_payload(own):
     assert [J.to_bytes(h, v) for h, v in J.decode(J.encode(own))] == own
 
 
+def test_long_payloads_are_coded_in_runs():
+    draw = np.random.default_rng(2)
+    sizes = [J.RUN * J.UNIT, J.RUN * J.UNIT - J.UNIT, J.RUN * J.UNIT + J.UNIT, 2 * J.BATCH + 64 * 777]
+    own = [draw.choice(np.array([32, 101, 97, 110, 0, 255], np.uint8), n, p=[0.2, 0.4, 0.2, 0.17, 0.02, 0.01]).tobytes() for n in sizes] + [b"short" * 64]
+    media = J.encode(own)
+    for p, m, (h, v) in zip(own, media, J.decode(media)):
+        assert J.to_bytes(h, v) == p
+        marks = np.frombuffer(m[h["scan"] : -2], np.uint8)
+        at = np.flatnonzero((marks[:-1] == 0xFF) & (marks[1:] >= 0xD0) & (marks[1:] <= 0xD7))
+        assert (marks[at + 1] == 0xD0 + np.arange(len(at)) % 8).all()
+    whole = J.code([own[2]], [J.grid(sizes[2] // 64)[0] * J.grid(sizes[2] // 64)[1]])[0]
+    assert media[2] == J.head(sizes[2], *J.grid(sizes[2] // 64)) + whole + b"\xff\xd9"
+    with pytest.raises(ValueError):
+        J.decode([media[3][:40_000] + media[3][60_000:]])
+
+
+def test_a_long_text_takes_little_memory():
+    code = "import resource, sys; from keyloom.llm import jpeg as J; t = (b'some words of a text ' * 1_000_000)[:20_000_000 // 64 * 64]; h, v = J.decode(J.encode([t]))[0]; assert J.to_bytes(h, v) == t; print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)"
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True)
+    assert int(out.stdout) < 900
+
+
 def test_codes_are_prefix_free_and_leave_all_ones_unused():
     for _, _, codes in (J._DC, J._AC):
         words = sorted(f"{c:0{n}b}" for c, n in codes.values())
