@@ -10,12 +10,15 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.storage import cut, shared_folder
+from keyloom.storage import cut, remove, scratch, shared_folder
 
-__all__ = ["BATCH_BYTES", "components", "cut", "forest", "free_name", "shared_folder", "squeeze", "table", "text_batches", "unpacked"]
+__all__ = ["BATCH_BYTES", "by_key", "components", "cut", "forest", "free_name", "hot_keys", "remove", "scratch", "shared_folder", "squeeze", "table", "text_batches", "unpacked"]
 
 #: Bytes of text that a Python worker handles at once.
 BATCH_BYTES = 2 << 20
+#: Most keys that are called hot, and fewest rows of one.
+HOT = 1000
+HOT_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +33,22 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def hot_keys(counts: DataFrame, key: str | list[str], n: str, whole: int) -> DataFrame:
+    """The keys of counts, a row each, that have more than a share 1 / HOT of `whole` rows, and so HOT keys at most."""
+    return counts.where(F.col(n) > max(HOT_ROWS, whole // HOT)).select(key)
+
+
+def by_key(rows: DataFrame, classes: DataFrame, key: str, hot: DataFrame, how: str = "inner") -> DataFrame:
+    """rows joined with classes, which have one row a key, so that no key's rows meet in one task.
+
+    hot: the keys of many rows, HOT at most, so their classes are broadcast and their rows stay where they are. The rest is
+    dealt by key. rows and classes are read twice; both should be cheap to read. how: inner or left.
+    """
+    many = F.broadcast(hot.select(key))  # HOT rows at most
+    here = rows.join(many, key, "left_semi").join(F.broadcast(classes.join(many, key, "left_semi")), key, how)  # HOT rows at most
+    return here.union(rows.join(many, key, "left_anti").join(classes, key, how).select(here.columns))
+
+
 def text_batches(batches: Iterator[pa.RecordBatch], key: str = "doc_id", text: str = "text") -> Iterator[tuple[pa.Array, list[bytes]]]:
     """(ids, texts as UTF-8 bytes) of at most BATCH_BYTES, or one longer text; null texts become empty ones."""
     for batch in batches:

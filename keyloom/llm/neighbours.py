@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import pickle
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import components, cut, forest
+from keyloom.llm.common import by_key, components, cut, forest, hot_keys, scratch
 
 THRESHOLD = 0.95
 #: Vectors that a shard's graph holds about, and the fewest shards.
@@ -19,11 +23,13 @@ SHARDS = 2
 DEGREE = 12
 BUILD_BEAM = 48
 BEAM = 64
-#: Audit: queries checked against brute force in each shard, the share of their links to be found, and the widest beam.
+#: Audit: queries with links that are checked against brute force in each shard, of the graph's own vectors and of ones made
+#: beside them; the most own vectors looked at for links; the mean share of a query's links to be found, and the widest beam.
 AUDITED = 512
+LOOKED_AT = 4096
 RECALL = 0.995
 WIDEST = 2048
-#: Queries that walk a graph together, and queries that one task has.
+#: Queries that walk a graph together, and queries that one task has about.
 BLOCK = 1024
 QUERIES = 16_384
 #: What single precision may miss; double precision decides.
@@ -172,19 +178,57 @@ class Graph:
         return seen // n, seen % n
 
 
+def _true(x: np.ndarray, q: np.ndarray, least: float) -> list[np.ndarray]:
+    """For each query the nodes with similarity of `least` or more, by comparing all."""
+    step = max(1, (1 << 24) // len(x))
+    out: list[np.ndarray] = []
+    for k in range(0, len(q), step):
+        row, node = np.nonzero(q[k : k + step] @ x.T >= least)
+        out += np.split(node, np.cumsum(np.bincount(row, minlength=len(q[k : k + step])))[:-1])
+    return out
+
+
+def beside(x: np.ndarray, least: float, many: int, seed: int = 5) -> np.ndarray:
+    """Unit vectors that are none of x, each with a similarity from `least` to 1 to one of them."""
+    draw = np.random.default_rng(seed)
+    base = x[draw.choice(len(x), min(many, len(x)), replace=False)].astype(np.float64)
+    turn = draw.normal(size=base.shape)
+    turn -= (turn * base).sum(1, keepdims=True) * base
+    turn /= np.linalg.norm(turn, axis=1, keepdims=True) + 1e-30
+    near = draw.uniform(min(1.0, least + 1e-4), 1.0, len(base))[:, None]
+    return unit(near * base + np.sqrt(1 - near**2) * turn)
+
+
 def widened(graph: Graph, least: float, audited: int = AUDITED, recall: float = RECALL, widest: int = WIDEST) -> int:
-    """The first beam, doubling from BEAM, that finds the wanted share of the links of a sample of the graph's own vectors.
+    """The first beam, doubling from BEAM, whose queries find the wanted share of their links, each query counting alike.
 
-    A vector's link with itself does not count, so vectors without neighbours make the audit no easier. 0, which compares all, if
-    the widest beam does not pass either.
+    Two samples must pass: up to `audited` of the graph's own vectors that have links besides themselves, sought among LOOKED_AT
+    at most, and as many vectors made beside ones of the graph, which stand for queries of other shards and have a link each, so
+    the audit is never without links. 0, which compares all, if the widest beam does not pass either.
     """
     n = len(graph.x)
-    sample = np.random.default_rng(5).choice(n, min(audited, n), replace=False)
-    truth = int(sum((graph.x[sample] @ graph.x[k : k + 8192].T >= least).sum() for k in range(0, n, 8192))) - len(sample)
+    order = np.random.default_rng(5).permutation(n)[:LOOKED_AT]
+    own: list[tuple[int, np.ndarray]] = []
+    for k in range(0, len(order), audited):
+        some = order[k : k + audited]
+        own += [(int(i), t[t != i]) for i, t in zip(some, _true(graph.x, graph.x[some], least)) if len(t) > 1]
+        if len(own) >= audited:
+            break
+    own = own[:audited]
+    made = beside(graph.x, least, audited)
+    samples = [(graph.x[[i for i, _ in own]], [t for _, t in own], np.array([i for i, _ in own])), (made, _true(graph.x, made, least), np.full(len(made), -1))]
+
+    def passes(q: np.ndarray, truth: list[np.ndarray], self_: np.ndarray, beam: int) -> bool:
+        size = np.array([len(t) for t in truth])
+        if not size.any():
+            return True
+        row, node = graph.within(q, least, beam)
+        got = np.bincount(row[node != self_[row]], minlength=len(q))
+        return float((got[size > 0] / size[size > 0]).mean()) >= recall
+
     beam = BEAM
     while beam <= widest:
-        row, node = graph.within(graph.x[sample], least, min(beam, n))
-        if (sample[row] != node).sum() >= recall * truth:
+        if all(passes(*s, min(beam, n)) for s in samples):
             return min(beam, n)
         beam *= 2
     return 0
@@ -206,19 +250,19 @@ def build(shard: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"shard": shard["shard"].iloc[:1].to_numpy(), "graph": [pickle.dumps(held, protocol=5)]})
 
 
-def search(graphs: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-    """Rows (a, b, links): a query and the vectors it links with in one shard, b null; or a link of a spanning forest of those."""
-    out = [pd.DataFrame({"a": [], "b": [], "links": []}, dtype="Int64")]
-    if len(graphs) and len(queries):
-        held = pickle.loads(graphs["graph"].iloc[0])
+def search(paths: dict[str, list[str]]):
+    """A function of batches (size, node, embedding), the queries of one task, over the graphs of each number of components.
+
+    It gives rows (a, b, links): a query and how many vectors of one shard it links with, b null; or a link of a spanning forest
+    of those. Each task holds its queries and reads one graph after the other from the shared folder.
+    """
+
+    def linked(held: dict, own: np.ndarray, q: np.ndarray) -> Iterator[pa.RecordBatch]:
         graph = Graph.__new__(Graph)
         exact = scaled(held["raw"])
         graph.x, graph.links, graph.entry, graph.level = unit(exact), held["links"], held["entry"], held["level"]
         exact /= np.linalg.norm(exact, axis=1, keepdims=True)
         ids, copies = held["node"], held["copies"]
-        own = queries["node"].to_numpy()
-        q = scaled(np.stack(queries["embedding"].to_list()))
-        q /= np.linalg.norm(q, axis=1, keepdims=True)
         for i in range(0, len(own), BLOCK):
             row, node = graph.within(q[i : i + BLOCK].astype(np.float32), THRESHOLD - SLACK, held["beam"])
             true = np.concatenate([np.einsum("kd,kd->k", q[i + row[k : k + 65536]], exact[node[k : k + 65536]]) >= THRESHOLD for k in range(0, len(row), 65536)] or [np.zeros(0, bool)])
@@ -226,45 +270,75 @@ def search(graphs: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
             other = own[i + row] != ids[node]
             row, node = row[other], node[other]
             count = np.bincount(row, weights=copies[node], minlength=len(own[i : i + BLOCK])).astype(np.int64)
-            linked = np.flatnonzero(count)
-            out.append(pd.DataFrame({"a": own[i + linked], "b": pd.array([None] * len(linked), "Int64"), "links": count[linked]}, dtype="Int64"))
+            some = np.flatnonzero(count)
             u, v = forest(own[i + row], ids[node])
-            out.append(pd.DataFrame({"a": u, "b": v, "links": pd.array([None] * len(u), "Int64")}, dtype="Int64"))
-    return pd.concat(out, ignore_index=True)
+            a, b = np.concatenate([own[i + some], u]), pa.array([None] * len(some) + v.tolist(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), b, pa.array(count[some].tolist() + [None] * len(u), pa.int64())], names=["a", "b", "links"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for batch in batches:
+            sizes, nodes, vectors = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
+            for size in np.unique(sizes):
+                at = np.flatnonzero(sizes == size)
+                raw = vectors.take(pa.array(at)).flatten().to_numpy().reshape(-1, size)
+                queries.setdefault(int(size), []).append((nodes[at], raw))
+        for size in sorted(queries):
+            parts = queries.pop(size)
+            own, q = np.concatenate([a for a, _ in parts]), scaled(np.concatenate([b for _, b in parts]))
+            q /= np.linalg.norm(q, axis=1, keepdims=True)
+            for path in paths.get(str(size), ()):
+                files, at = pa.fs.FileSystem.from_uri(path)
+                for graph in pa.parquet.read_table(at, filesystem=files, columns=["graph"], partitioning=None).column(0):
+                    yield from linked(pickle.loads(graph.as_py()), own, q)
+
+    return run
 
 
 def near_duplicates(vectors: DataFrame, shards: int = SHARDS, shard: int = SHARD, block: int = QUERIES) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of vectors (vec_id, embedding); see THRESHOLD.
 
     Equal vectors are one node of a graph, named by the smallest vec_id and weighted by their number. Nodes are dealt to shards
-    by a hash; every node queries the graph of every shard, in blocks. A graph's audit widens its beam until a sample of its
-    links against brute force is found. Links are verified in double precision.
+    by a hash, whose graphs are written to the shared folder once; every node then queries the graph of every shard: a task keeps
+    about `block` queries and reads the graphs in turn. So each vector is shuffled once for its graph and once for its block,
+    while the walks, and what tasks read, grow as nodes times shards, as querying every shard implies. A graph's audit widens its
+    beam until a sample of its links against brute force is found. Links are verified in double precision.
 
     A null vector, a zero one, and one with null or non-finite components link with nothing: n_links 0, component_id its own
     vec_id. Vectors of another number of components are compared among themselves. Rows that repeat link with each other; rows
     with a null vec_id count as links and get the component_id of their group. Other columns are left out; an empty table gives
     no rows.
     """
+    spark = vectors.sparkSession
     kind = "float" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "double"  # floats move as they are
     plain = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("embedding"))
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
-    good = F.col("embedding").isNotNull() & F.forall("embedding", finite) & F.exists("embedding", lambda x: x != 0)
-    marked = plain.withColumn("good", F.coalesce(good, F.lit(False))).withColumn("key", F.when(F.col("good"), F.transform("embedding", lambda x: (x + F.lit(0.0)).cast(kind))))
-    distinct = marked.where("good").groupBy("key").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
+    good = F.coalesce(F.col("embedding").isNotNull() & F.forall("embedding", finite) & F.exists("embedding", lambda x: x != 0), F.lit(False))
+    marked = plain.select("vec_id", F.when(good, F.transform("embedding", lambda x: (x + F.lit(0.0)).cast(kind))).alias("key"))
+    distinct = marked.where("key IS NOT NULL").groupBy("key").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
     nodes = cut(distinct.select(F.monotonically_increasing_id().alias("row"), F.col("key").alias("embedding"), "first", "copies").withColumn("node", F.coalesce("first", -F.col("row") - 1)))
-    n = nodes.count()
+    n, whole = nodes.agg(F.count("*"), F.coalesce(F.sum("copies"), F.lit(0))).first()
     many, blocks = max(shards, -(-n // shard)), max(1, -(-n // block))
-    placed = nodes.select("node", "embedding", "copies", F.size("embedding").alias("size"), F.pmod(F.xxhash64("node"), F.lit(many)).alias("part"), F.pmod(F.xxhash64("node", F.lit(1)), F.lit(blocks)).alias("block"))
-    key = F.concat_ws(".", "size", "part")
-    graphs = cut(placed.select(key.alias("shard"), "node", "embedding", "copies").groupBy("shard").applyInPandas(build, "shard string, graph binary"))
-    held = graphs.select("shard", "graph", F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")).alias("block"))
-    asked = placed.select("size", "node", "embedding", "block", F.explode(F.expr(f"sequence(0L, {many - 1}L)")).alias("part")).select(key.alias("shard"), "block", "node", "embedding")
-    found = cut(held.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInPandas(search, "a long, b long, links long"))
+    size = F.size("embedding").alias("size")
+    dealt = F.concat_ws(".", F.size("embedding"), F.pmod(F.xxhash64("node"), F.lit(many))).alias("shard")
+    graphs = nodes.select(dealt, "node", "embedding", "copies").groupBy("shard").applyInPandas(build, "shard string, graph binary")
+    folder = scratch(spark, "graphs")
+    graphs.select(F.substring_index("shard", ".", 1).alias("size"), F.col("shard").alias("of"), "graph").write.mode("overwrite").partitionBy("size", "of").parquet(folder)
+    paths: dict[str, list[str]] = {}
+    if n:
+        # one path a shard
+        for r in spark.read.parquet(folder).select(F.col("size").cast("string").alias("size"), F.col("_metadata.file_path").alias("path")).distinct().collect():
+            paths.setdefault(r["size"], []).append(r["path"])
+    asked = nodes.select(size, "node", "embedding").repartition(blocks, "node")
+    found = cut(asked.mapInArrow(search({k: sorted(v) for k, v in paths.items()}), "a long, b long, links long"))
     links = found.where("b IS NULL").groupBy("a").agg(F.sum("links").alias("links"))
     roots = components(found.where("b IS NOT NULL").select("a", "b"))
     named = nodes.join(links, nodes.node == links.a, "left").join(roots.withColumnRenamed("node", "own"), nodes.node == F.col("own"), "left")
-    named = named.select("embedding", "first", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "node").alias("root"))
+    named = cut(named.select("embedding", "first", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "node").alias("root")))
+    largest = hot_keys(named.groupBy("root").agg(F.count("*").alias("held")), "root", "held", n)
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = named.join(least, "root").select(F.col("embedding").alias("key"), "n_links", F.col("component_id").alias("of"))
-    own = F.coalesce("of", "vec_id")
-    return marked.join(classes, "key", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), (F.col("vec_id") == own).alias("kept"))
+    classes = by_key(named, least, "root", largest).select(F.col("embedding").alias("key"), "n_links", F.col("component_id").alias("of"))
+    copied = hot_keys(nodes.withColumnRenamed("embedding", "key"), "key", "copies", whole)
+    linked = by_key(marked.where("key IS NOT NULL"), classes, "key", copied).select("vec_id", F.col("n_links").cast("long").alias("n_links"), F.coalesce("of", "vec_id").alias("component_id"))
+    alone = marked.where("key IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return linked.union(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))

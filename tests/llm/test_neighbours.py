@@ -67,6 +67,23 @@ def test_audit_widens_the_beam(monkeypatch):
     assert len(row) == (x[:50] @ x.T >= 0.95).sum() and ((x[row] * x[node]).sum(1) >= 0.95 - 1e-6).all()
 
 
+def test_the_audit_sees_links_where_vectors_have_none(monkeypatch):
+    """Queries made beside the vectors have a link each, so a poor graph does not pass at its first beam."""
+    x = N.unit(np.random.default_rng(7).normal(size=(1500, 24)))
+    assert (x @ x.T >= 0.95).sum() == len(x)
+    made = N.beside(x, 0.95, 300)
+    assert ((made @ x.T).max(1) >= 0.95 - 1e-5).all() and (made @ x.T < 1 - 1e-7).all()
+    monkeypatch.setattr(N, "BEAM", 1)
+    assert N.widened(N.Graph(x, degree=2, beam=2), 0.95) != 1
+
+
+def test_copies_of_a_third_of_the_rows_stay_where_they_are(spark, monkeypatch):
+    monkeypatch.setattr("keyloom.llm.common.HOT_ROWS", 5)
+    rows = fixture()
+    df = spark.createDataFrame([(i, v) for i, v in rows], "vec_id long, embedding array<float>")
+    assert sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"])) for r in N.near_duplicates(df).collect()) == brute(rows)
+
+
 def test_huge_and_tiny_components(spark):
     rows = [(1, [1e300, 1e300]), (2, [1.0, 1.0]), (3, [1e-300, 1e-300]), (4, [1.0, -1.0])]
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in N.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
