@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import components, cut, free_name, squeeze, text_batches, unpacked
+from keyloom.llm.common import by_key, components, cut, free_name, hot_keys, squeeze, text_batches, unpacked
 
 SEED = 42
 BITS = 64
@@ -70,22 +70,34 @@ def links(distinct: DataFrame, distance: int = 3) -> DataFrame:
     Every fingerprint lies in a table under the value of each segment, and probes that table with its own segment value and
     with the values one bit above it. Of two segments that differ in one bit, one probes the other, so a pair meets in a
     segment once. The join itself verifies the whole distance.
+
+    A segment value of many fingerprints would be one task's work, of the square of their number. Within such values the other
+    segment falls into four bytes: at most three bits differ in it, so a pair agrees in one of them, and meets there, in
+    the first byte that agrees. Those values are at most HOT a segment, and so broadcast.
     """
     if not 0 <= distance <= 2 * RADIUS + 1:
         raise ValueError("two segments of radius 1 find distances up to 3")
     low = F.col("fp").bitwiseAND(F.lit((1 << SEGMENT) - 1))
     high = F.shiftrightunsigned("fp", SEGMENT)
-    segments = distinct.select("fp", F.posexplode(F.array(low, high)).alias("segment", "value"))
-    held = segments.select("segment", "value", F.col("fp").alias("b"))
+    one = lambda k, own, rest: F.struct(F.lit(k).alias("segment"), own.alias("value"), rest.alias("rest"))
+    segments = distinct.select("fp", F.explode(F.array(one(0, low, high), one(1, high, low))).alias("s")).select("fp", "s.*")
+    full = segments.groupBy("segment", "value").agg(F.count("*").alias("held"))
+    hot = F.broadcast(hot_keys(full, ["segment", "value"], "held", distinct.count()).withColumn("hot", F.lit(True)))  # 2 * HOT rows at most
+    split = lambda rest: F.when(F.col("hot"), F.transform(F.sequence(F.lit(0), F.lit(3)), lambda j: F.struct(j.alias("part"), F.call_function("shiftright", rest, (j * 8).cast("int")).bitwiseAND(F.lit(255)).alias("byte")))).otherwise(F.array(F.struct(F.lit(-1).alias("part"), F.lit(0).cast("long").alias("byte"))))
+    held = segments.join(hot, ["segment", "value"], "left").select("segment", "value", F.col("fp").alias("b"), F.col("rest").alias("other"), F.explode(split(F.col("rest"))).alias("at")).select("segment", "value", "b", "other", "at.*")
     ball = F.concat(
         F.array(F.col("value")),
         F.filter(F.transform(F.sequence(F.lit(0), F.lit(SEGMENT - 1)), lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i).bitwiseOR(F.col("value"))), lambda x: x != F.col("value")),
     )
-    probes = segments.select("segment", F.col("value").alias("own"), F.col("fp").alias("a"), F.explode(ball).alias("value"))
+    probes = segments.select("segment", F.col("value").alias("own"), F.col("fp").alias("a"), "rest", F.explode(ball).alias("value"))
+    probes = probes.join(hot, ["segment", "value"], "left").select("segment", "value", "own", "a", "rest", F.explode(split(F.col("rest"))).alias("at")).select("segment", "value", "own", "a", "rest", "at.*")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
     # Segments of equal value meet from both sides; the lower fingerprint keeps that pair.
     once = (F.col("own") != F.col("value")) | (F.col("a") < F.col("b"))
-    met = probes.join(held, ["segment", "value"]).where(near & once)
+    apart = F.col("rest").bitwiseXOR(F.col("other"))
+    for j in range(3):
+        once &= (F.col("part") <= j) | (F.shiftright(apart, 8 * j).bitwiseAND(F.lit(255)) != 0)
+    met = probes.join(held, ["segment", "value", "part", "byte"]).where(near & once)
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
@@ -98,12 +110,14 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 3) -> DataF
     component has an id. Repeated rows come back repeated; an empty table gives an empty result.
     """
     prints = cut(fingerprint(docs, width))
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")))
     roots = components(links(nodes.select("fp"), distance))
-    placed = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = placed.join(least, "root").select("fp", "component_id")
-    return prints.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    placed = cut(nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
+    least = placed.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("held"))
+    n, whole = nodes.agg(F.count("*"), F.coalesce(F.sum("copies"), F.lit(0))).first()
+    classes = by_key(placed, least.drop("held"), "root", hot_keys(least, "root", "held", n)).select("fp", "component_id")
+    found = by_key(prints, classes, "fp", hot_keys(nodes, "fp", "copies", whole))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 #: Views of a text in the stage for near copies: each the SimHash of its SAMPLE shingles with the least hashes under one mixing.

@@ -1,4 +1,5 @@
 import re
+from collections import Counter
 
 import numpy as np
 import xxhash
@@ -60,6 +61,18 @@ def test_every_distance_up_to_three_is_found(spark):
     assert got == {(min(a, b), max(a, b)) for a in values for b in values if a != b and (unsigned(a) ^ unsigned(b)).bit_count() <= 3}
 
 
+def test_values_of_many_fingerprints_are_split(spark, monkeypatch):
+    """All share the upper segment, or lie one bit from it; the pairs are those of all against all."""
+    monkeypatch.setattr(common, "HOT_ROWS", 20)
+    draw = np.random.default_rng(4)
+    base = draw.integers(0, 1 << 20, 150).astype(np.uint64)
+    values = np.unique(np.concatenate([base | np.uint64(7 << 32), base ^ np.uint64(1 << 3) | np.uint64(7 << 32), base | np.uint64(5 << 32), draw.integers(0, 1 << 63, 50).astype(np.uint64)]))
+    far = np.bitwise_count(values[:, None] ^ values[None, :])
+    want = {tuple(sorted((int(values.view(np.int64)[i]), int(values.view(np.int64)[j])))) for i, j in zip(*np.nonzero(far <= 3)) if i < j}
+    got = [(r["a"], r["b"]) for r in simhash.links(spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "fp long")).collect()]
+    assert set(got) == want and len(want) > 200 and max(Counter(got).values()) <= 2  # once a segment
+
+
 def test_pipeline_stage_keeps_one_of_each_group(documents, texts):
     sets = [set(shingles(t, 5)) for _, t in texts]
     linked = [(a, b) for a in range(len(texts)) for b in range(a) if sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
