@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyloom.llm.common import cut, free_name
@@ -82,6 +82,10 @@ def labelers() -> dict[str, Column]:
 
 NAMES = ("pattern", "gazetteer", "context", "denial", "edge")
 Pattern = tuple[int, ...]
+#: Features of a span itself, beside its kind and its votes.
+SHAPES = {"wide": lambda m: F.char_length(m) > 12, "spaced": lambda m: m.contains(" "), "marked": lambda m: m.rlike(r"[()+\[\]]")}
+#: Code points of the blocks in which texts are masked.
+BLOCK = 1024
 
 
 def estimate(counts: dict[Pattern, int], steps: int = EM_STEPS) -> tuple[float, list[tuple[dict[int, float], dict[int, float]]], dict[Pattern, float]]:
@@ -108,15 +112,15 @@ def estimate(counts: dict[Pattern, int], steps: int = EM_STEPS) -> tuple[float,
     return prior, rates, post
 
 
-def features(kind: str, votes: Pattern) -> list[float]:
-    """One-hot kind, and each labeler's votes for and against."""
-    return [float(kind == k) for k in KINDS] + [float(v > 0) for v in votes] + [float(v < 0) for v in votes]
+def features(kind: str, votes: Pattern, shape: Pattern) -> list[float]:
+    """One-hot kind, each labeler's votes for and against, and the span's own features."""
+    return [float(kind == k) for k in KINDS] + [float(v > 0) for v in votes] + [float(v < 0) for v in votes] + [float(x) for x in shape]
 
 
-def fit(rows: Iterable[tuple[str, Pattern, int, float]], steps: int = FIT_STEPS) -> list[float]:
-    """Weights of a logistic regression on soft labels: rows are (kind, votes, spans, posterior)."""
-    data = [(features(k, v), n, y) for k, v, n, y in rows]
-    weights = [0.0] * (len(KINDS) + 2 * len(NAMES))
+def fit(rows: Iterable[tuple[str, Pattern, Pattern, int, float]], steps: int = FIT_STEPS) -> list[float]:
+    """Weights of a logistic regression on soft labels: rows are (kind, votes, shape, spans, posterior)."""
+    data = [(features(k, v, x), n, y) for k, v, x, n, y in rows]
+    weights = [0.0] * (len(KINDS) + 2 * len(NAMES) + len(SHAPES))
     whole = sum(math.log1p(n) for _, n, _ in data) or 1
     for _ in range(steps):
         slope = [RIDGE * w for w in weights]
@@ -128,40 +132,57 @@ def fit(rows: Iterable[tuple[str, Pattern, int, float]], steps: int = FIT_STEPS)
     return weights
 
 
-def find(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, spans): every row of docs (doc_id, text) with its spans (order, start, end, kind), sorted so.
+def learn(counts: dict[tuple[str, Pattern, Pattern], int]) -> list[float]:
+    """The classifier's weights from the numbers of spans by kind, votes and shape: EM on the votes, then the fit to its posteriors."""
+    merged: dict[Pattern, int] = {}
+    for (_, v, _), n in counts.items():
+        merged[v] = merged.get(v, 0) + n
+    if not merged:
+        return [0.0]
+    _, _, post = estimate(merged)
+    return fit((k, v, x, n, post[v]) for (k, v, x), n in sorted(counts.items()))
+
+
+def found_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, spans): rows has (row, doc_id) of every row of docs (doc_id, text), spans a row (row, order, start, end, kind) a span.
 
     Matches of the fixed patterns that meet their conditions always stay. Other candidates stay if the classifier gives them
     one half or more and they don't overlap a fixed match. Labelers vote on every candidate and every fixed match; the votes
-    are counted over all of them by kind, and those counts, at most kinds x 3 ** labelers rows however large the input, are
-    what EM and the classifier see. Null and empty texts have no spans.
+    are counted over all of them by kind and shape, and those counts, at most kinds x 3 ** labelers x 2 ** shapes rows however
+    large the input, are what EM and the classifier see. Null and empty texts have no spans.
     """
     rows, found = scan(docs, KINDS)
-    votes = labelers()
-    judged = cut(found.where(valid(F.col("kind"), F.col("match"))).select("row", "kind", "start", "end", *[c.alias(k) for k, c in votes.items()]))
-    counts = {(r["kind"], tuple(r[k] for k in NAMES)): r["count"] for r in judged.groupBy("kind", *NAMES).count().collect()}
-    merged: dict[Pattern, int] = {}
-    for (_, p), n in counts.items():
-        merged[p] = merged.get(p, 0) + n
-    weights = [0.0]
-    if counts:
-        _, _, post = estimate(merged)
-        weights = fit((k, p, n, post[p]) for (k, p), n in sorted(counts.items()))
-    names = [F.when(F.col("kind") == k, 1.0).otherwise(0.0) for k in KINDS] + [F.when(F.col(k) > 0, 1.0).otherwise(0.0) for k in NAMES] + [F.when(F.col(k) < 0, 1.0).otherwise(0.0) for k in NAMES]
-    score = sum((F.lit(w) * x for w, x in zip(weights, names)), F.lit(0.0))
+    votes, shapes = labelers(), {k: make(F.col("match")).cast("int") for k, make in SHAPES.items()}
     order = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int")
-    own = judged.where(F.col("kind").isin(*BASE) | (score >= 0)).groupBy("row").agg(F.sort_array(F.collect_list(F.struct(order.alias("order"), "start", "end", "kind"))).alias("all"))
-    fixed = F.filter("all", lambda x: x["order"] <= len(BASE))
-    more = F.filter("all", lambda x: (x["order"] > len(BASE)) & ~F.exists(fixed, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
-    kept = own.select("row", F.concat(fixed, more).alias("spans"))
+    judged = cut(found.where(valid(F.col("kind"), F.col("match"))).select("row", "kind", order.alias("order"), "start", "end", *[c.alias(k) for k, c in (votes | shapes).items()]))
+    counts = {(r["kind"], tuple(r[k] for k in NAMES), tuple(r[k] for k in SHAPES)): r["count"] for r in judged.groupBy("kind", *NAMES, *SHAPES).count().collect()}
+    yes = lambda c: F.when(c, 1.0).otherwise(0.0)
+    names = [yes(F.col("kind") == k) for k in KINDS] + [yes(F.col(k) > 0) for k in NAMES] + [yes(F.col(k) < 0) for k in NAMES] + [yes(F.col(k) > 0) for k in SHAPES]
+    score = sum((F.lit(w) * x for w, x in zip(learn(counts), names)), F.lit(0.0))
+    fixed = F.col("order") <= len(BASE)
+    likely = judged.where(fixed | (score >= 0)).select("row", "order", "start", "end", "kind")
+    # running maxima from either side, as each span's nearest fixed matches decide; fixed ones lead at equal starts
+    before = Window.partitionBy("row").orderBy("start", "order").rowsBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy("row").orderBy(F.desc("start"), "order").rowsBetween(Window.unboundedPreceding, 0)
+    near = likely.withColumn("upto", F.max(F.when(fixed, F.col("end"))).over(before)).withColumn("next", F.min(F.when(fixed, F.col("start"))).over(after))
+    covered = F.coalesce(F.col("upto") > F.col("start"), F.lit(False)) | F.coalesce(F.col("next") < F.col("end"), F.lit(False))
+    return rows, near.where(fixed | ~covered).select("row", "order", "start", "end", "kind")
+
+
+def find(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, spans): every row of docs with its spans (order, start, end, kind), sorted so; see found_spans()."""
+    rows, spans = found_spans(docs)
+    own = spans.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("order", "start", "end", "kind"))).alias("spans"))
     empty = F.expr("array()").cast("array<struct<order:int,start:bigint,end:bigint,kind:string>>")
-    return rows.join(kept, "row", "left").select("row", "doc_id", F.coalesce("spans", empty).alias("spans"))
+    return rows.join(own, "row", "left").select("row", "doc_id", F.coalesce("spans", empty).alias("spans"))
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 and spans of every row of docs; repeated rows come back repeated.
 
-    Columns other than doc_id and text are left out. An empty table gives no rows.
+    A null text is empty: no spans, the hash of the empty string; a null doc_id stays null. Texts of any length are read whole, in
+    time that grows with their length and the number of their spans. Columns other than doc_id and text are left out. An empty
+    table gives no rows.
     """
     known = F.filter("spans", lambda x: x["order"] <= len(BASE))
     return find(docs).select("doc_id", *map(_count, BASE), F.sha2(listed(known), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
@@ -171,33 +192,56 @@ def _count(kind: str) -> Column:
     return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
 
+def joined(spans: DataFrame) -> DataFrame:
+    """(row, start, end, kind): spans that overlap made one, under the kind of the first."""
+    w = Window.partitionBy("row").orderBy("start", "end", "kind")
+    upto = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.coalesce(F.col("start") >= upto, F.lit(True)).cast("long")
+    numbered = spans.withColumn("opens", opens).withColumn("nth", F.sum("opens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy("row", "nth").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("kind", F.struct("start", "end", "kind")).alias("kind")).drop("nth")
+
+
+def cuts(spans: DataFrame) -> DataFrame:
+    """(row, cuts): for each block of a text, up to its last one with a span, the spans in it as (a, b, tag) within the block.
+
+    A span that goes on from the block before has no tag there.
+    """
+    block = lambda c: F.floor(c / BLOCK)
+    each = spans.select("row", "start", "end", "kind", F.explode(F.sequence(block(F.col("start")), block(F.col("end") - 1))).alias("block"))
+    first = F.col("block") * BLOCK
+    tag = F.when(F.col("start") >= first, F.concat(F.lit("<"), F.col("kind"), F.lit(">"))).otherwise(F.lit(""))
+    own = each.select("row", "block", F.struct(F.greatest(F.col("start") - first, F.lit(0)).cast("int").alias("a"), F.least(F.col("end") - first, F.lit(BLOCK)).cast("int").alias("b"), tag.alias("tag")).alias("cut"))
+    last = spans.groupBy("row").agg(block(F.max("end") - 1).alias("last"))
+    none = F.lit(None).cast(own.schema["cut"].dataType).alias("cut")
+    whole = own.union(last.select("row", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("block"), none))
+    within = whole.groupBy("row", "block").agg(F.sort_array(F.collect_list("cut")).alias("cuts"))
+    return within.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("block", "cuts"))).alias("c")).select("row", F.transform("c", lambda x: x["cuts"]).alias("cuts"))
+
+
+def replaced(text: Column, held: Column) -> Column:
+    """text with the spans of its blocks' cuts replaced by their tags; work within a block is bounded, so the whole is linear."""
+
+    def block(own: Column, k: Column) -> Column:
+        here = F.get(held, k)
+        upto = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(here, i - 1)["b"])
+        parts = F.transform(here, lambda c, i: F.concat(F.substring(own, upto(i) + 1, c["a"] - upto(i)), c["tag"]))
+        tail = F.substring(own, F.element_at(here, -1)["b"] + 1, F.lit(BLOCK))
+        return F.when(F.coalesce(F.size(here), F.lit(0)) <= 0, own).otherwise(F.concat(F.array_join(parts, ""), tail))
+
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)), block), "")
+
+
 def masked(docs: DataFrame) -> DataFrame:
     """docs with all of its columns and rows; each personal span of its texts is replaced by its kind in angle brackets.
 
     Spans that overlap are masked as one, under the kind of the first. Where docs has n_chars, it is renewed for changed texts.
-    Only rows with spans meet their texts again in a join; the table must keep its partitions between the two reads, as tables
-    do. Null texts stay null.
+    Rows meet their spans in a join; the table must keep its partitions between the two reads, as tables do. Null texts stay
+    null, an empty table stays empty.
     """
-    name = free_name(docs, "row_number_")
-    found = find(docs).where(F.size("spans") > 0).select(F.col("row").alias(name), _joined(F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))).alias(free_name(docs, "personal_")))
-    spans = F.col(free_name(docs, "personal_"))
+    name, held = free_name(docs, "row_number_"), free_name(docs, "personal_")
+    found = cuts(joined(found_spans(docs)[1])).select(F.col("row").alias(name), F.col("cuts").alias(held))
     text = F.col("text").cast("string")
-    parts = F.transform(spans, lambda s, i: F.concat(F.substring(text, (F.when(i == 0, F.lit(0)).otherwise(F.get(spans, i - 1)["end"]) + 1).cast("int"), (s["start"] - F.when(i == 0, F.lit(0)).otherwise(F.get(spans, i - 1)["end"])).cast("int")), F.lit("<"), s["kind"], F.lit(">")))
-    tail = F.substring(text, (F.element_at(spans, -1)["end"] + 1).cast("int"), F.char_length(text))
-    new = F.when(spans.isNull(), text).otherwise(F.concat(F.array_join(parts, ""), tail))
-    rows = docs.withColumn(name, F.monotonically_increasing_id())
-    full = rows.join(found, name, "left")
-    columns = [new.alias(c) if c == "text" else F.when(spans.isNull(), F.col(f"`{c}`")).otherwise(F.char_length(new).cast(docs.schema[c].dataType)).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
+    new = F.when(F.col(held).isNull(), text).otherwise(replaced(text, F.col(held)))
+    full = docs.withColumn(name, F.monotonically_increasing_id()).join(found, name, "left")
+    columns = [new.alias(c) if c == "text" else F.when(F.col(held).isNull(), F.col(f"`{c}`")).otherwise(F.char_length(new).cast(docs.schema[c].dataType)).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
     return full.select(*columns)
-
-
-def _joined(spans: Column) -> Column:
-    """Sorted spans, those that overlap joined."""
-    empty = F.expr("array()").cast("array<struct<start:bigint,end:bigint,kind:string>>")
-
-    def step(done: Column, s: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        wider = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind"))
-        return F.when(F.size(done) == 0, F.array(s)).when(s["start"] < last["end"], F.concat(F.slice(done, 1, F.size(done) - 1), F.array(wider))).otherwise(F.concat(done, F.array(s)))
-
-    return F.aggregate(spans, empty, step)
