@@ -38,7 +38,7 @@ def hot_keys(counts: DataFrame, key: str | list[str], n: str, whole: int) -> Dat
     return counts.where(F.col(n) > max(HOT_ROWS, whole // HOT)).select(key)
 
 
-def by_key(rows: DataFrame, classes: DataFrame, key: str, hot: DataFrame, how: str = "inner") -> DataFrame:
+def by_key(rows: DataFrame, classes: DataFrame, key: str | list[str], hot: DataFrame, how: str = "inner") -> DataFrame:
     """rows joined with classes, which have one row a key, so that no key's rows meet in one task.
 
     hot: the keys of many rows, HOT at most, so their classes are broadcast and their rows stay where they are. The rest is

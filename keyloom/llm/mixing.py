@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import cut
+from keyloom.llm.common import by_key, cut, hot_keys
 
 #: A level's target share is its share of tokens to this power, made to sum to 1, unless weights are given.
 POWERS = {"source": 0.7, "lang": 0.9, "topic": 0.9}
 ROUNDS = 12
-#: Most languages and topics; both are closed sets. Sources may be any number.
+#: Most languages and topics whose factors the driver keeps; of more, and of sources in any case, they stay in tables.
 LEVELS = 1000
+#: Largest share by which a marginal may miss its target after the last round without a warning.
+RESIDUAL = 1e-3
 #: Most sources whose factors are broadcast; more are joined by a shuffle.
 BROADCAST = 20_000
 
@@ -63,10 +66,10 @@ def rake(rows: DataFrame, given: Mapping[str, Mapping[str, float]] | None = None
 
     Each round scales sources, then languages, then topics to their target shares. A row per source holds its cells, so
     scaling sources needs no exchange, and what languages and topics need is their common table, which a round aggregates and
-    which LEVELS bounds. rate makes the largest probability of any cell 1.
+    which LEVELS bounds; raked_cells() does without that bound. rate makes the largest probability of any cell 1.
     """
     given = given or {}
-    cells = rows.groupBy("mix_source", "mix_lang", "mix_topic").agg(F.sum("mix_tokens").alias("mass")).where("mass > 0")
+    cells = masses_of(rows)
     cells = cells.groupBy("mix_source").agg(F.collect_list(F.struct("mix_lang", "mix_topic", F.col("mass").cast("double").alias("mass"))).alias("cells"), F.sum("mass").cast("double").alias("total"))
     cells = cut(cells)
     power = lambda c: F.pow(c, F.lit(POWERS["source"]))
@@ -80,7 +83,7 @@ def rake(rows: DataFrame, given: Mapping[str, Mapping[str, float]] | None = None
         for k in masses:
             masses[k][r[f"mix_{k}"]] = masses[k].get(r[f"mix_{k}"], 0.0) + r["x"]
     if max(map(len, masses.values())) > LEVELS:
-        raise ValueError(f"more than {LEVELS} languages or topics")
+        raise TooMany
     goal = {k: targets(m, POWERS[k], given.get(k)) for k, m in masses.items()}
     factor = {k: dict.fromkeys(m, 1.0) for k, m in masses.items()}
 
@@ -97,21 +100,67 @@ def rake(rows: DataFrame, given: Mapping[str, Mapping[str, float]] | None = None
             for r in table:
                 now[r[f"mix_{k}"]] = now.get(r[f"mix_{k}"], 0.0) + r["x"] * factor["lang"][r["mix_lang"]] * factor["topic"][r["mix_topic"]]
             factor[k] = {v: f * goal[k][v] / now[v] if now[v] else 0.0 for v, f in factor[k].items()}
+    # topics fit by construction; sources and languages were fitted before them
+    ends = fixed.select("mix_source", "factor", "total", want.alias("want"), F.explode("cells").alias("c")).withColumn("x", F.col("factor") * F.col("c.mass") * _looked_up(F.col("c.mix_lang"), factor["lang"]) * _looked_up(F.col("c.mix_topic"), factor["topic"]))
+    missed = ends.groupBy("mix_source").agg(F.sum("x").alias("x"), F.first("want").alias("want")).agg(F.max(F.abs(F.col("x") - F.col("want") / F.lit(sums[1] or 1.0)))).first()[0] or 0.0
+    if missed > RESIDUAL:
+        warnings.warn(f"after {rounds} rounds a source's share misses its target by {missed:.2g}: the targets may not go together", stacklevel=2)
     best = F.max(F.col("factor") * _looked_up(F.col("c.mix_lang"), factor["lang"]) * _looked_up(F.col("c.mix_topic"), factor["topic"]))
     most = fixed.select("factor", F.explode("cells").alias("c")).agg(best).first()[0]
     return fixed.select("mix_source", "factor"), factor["lang"], factor["topic"], 1.0 / most if most else 0.0
 
 
+class TooMany(ValueError):
+    """More languages or topics than the driver keeps factors of."""
+
+
+def masses_of(rows: DataFrame) -> DataFrame:
+    """(mix_source, mix_lang, mix_topic, mass) of the cells that have tokens."""
+    return rows.groupBy("mix_source", "mix_lang", "mix_topic").agg(F.sum("mix_tokens").alias("mass")).where("mass > 0")
+
+
+def raked_cells(rows: DataFrame, given: Mapping[str, Mapping[str, float]] | None = None, rounds: int = ROUNDS) -> DataFrame:
+    """(mix_source, mix_lang, mix_topic, probability) of every cell, by the same steps as rake(), all of them in tables.
+
+    For any number of levels. A step sums the cells by one column, which combines before it shuffles, and joins the sums back: of
+    at most BROADCAST levels, which are counted first, by a broadcast, of more by a shuffle of the cells.
+    """
+    given = given or {}
+    cells = cut(masses_of(rows).select("mix_source", "mix_lang", "mix_topic", F.col("mass").cast("double").alias("mass"), F.col("mass").cast("double").alias("x")))
+    columns = cells.columns
+    goals, few = {}, {}
+    for k in POWERS:
+        own = cells.groupBy(f"mix_{k}").agg(F.sum("mass").alias("total"))
+        weight = _looked_up(F.col(f"mix_{k}"), given[k]) if k in given else F.pow("total", F.lit(POWERS[k]))
+        whole, levels = own.agg(F.sum(weight), F.count("*")).first()
+        goals[k], few[k] = cut(own.select(f"mix_{k}", (weight / F.lit(whole or 1.0)).alias("goal"))), levels <= BROADCAST
+    for _ in range(rounds):
+        for k in POWERS:
+            sums = cells.groupBy(f"mix_{k}").agg(F.sum("x").alias("now")).join(F.broadcast(goals[k]) if few[k] else goals[k], f"mix_{k}")
+            scaled = cells.join(F.broadcast(sums) if few[k] else sums, f"mix_{k}")
+            cells = cut(scaled.withColumn("x", F.when(F.col("now") > 0, F.col("x") * F.col("goal") / F.col("now")).otherwise(0.0)).select(*columns))
+    most = cells.agg(F.max(F.col("x") / F.col("mass"))).first()[0]
+    return cells.select("mix_source", "mix_lang", "mix_topic", (F.col("x") / F.col("mass") / F.lit(most or 1.0)).alias("raw"))
+
+
 def weighted(docs: DataFrame, given: Mapping[str, Mapping[str, float]] | None = None, rounds: int = ROUNDS, known: DataFrame | None = None) -> DataFrame:
     """measured(docs) with mix_probability. known: measured rows that give the weights, where docs would be read twice else.
 
     Rows without tokens have probability 0. Where all tokens are missing, all have.
     """
-    rows = measured(docs)
-    sources, langs, topics, rate = rake(rows if known is None else known, given, rounds)
+    rows = measured(docs) if known is None else known
+    try:
+        sources, langs, topics, rate = rake(rows, given, rounds)
+    except TooMany:
+        keys = ["mix_source", "mix_lang", "mix_topic"]
+        whole = rows.groupBy(*keys).agg(F.count("*").alias("held"))
+        cells = raked_cells(rows, given, rounds)
+        hot = hot_keys(whole, keys, "held", rows.count())
+        found = by_key(rows, cells, keys, hot, "left")
+        return found.withColumn("mix_probability", F.when(F.col("mix_tokens") > 0, F.least(F.lit(1.0), F.coalesce("raw", F.lit(0.0)))).otherwise(0.0)).drop("raw")
     if sources.limit(BROADCAST + 1).count() <= BROADCAST:
         sources = F.broadcast(sources)
-    joined = (rows if known is None else known).join(sources, "mix_source", "left")
+    joined = rows.join(sources, "mix_source", "left")
     raw = F.lit(rate) * F.coalesce("factor", F.lit(0.0)) * _looked_up(F.col("mix_lang"), langs) * _looked_up(F.col("mix_topic"), topics)
     return joined.withColumn("mix_probability", F.when(F.col("mix_tokens") > 0, F.least(F.lit(1.0), raw)).otherwise(0.0)).drop("factor")
 
@@ -129,7 +178,9 @@ def sample(docs: DataFrame, given: Mapping[str, Mapping[str, float]] | None = No
 def mixture(docs: DataFrame, given: Mapping[str, Mapping[str, float]] | None = None, seed: int = 1) -> DataFrame:
     """doc_id, topic, n_tokens, probability (6 digits) and kept of every row of docs; repeated rows come back repeated.
 
-    Extra columns are left out. An empty table gives no rows.
+    A null or empty text has no tokens, the topic short, and probability 0, so it is not kept; null languages and sources are levels
+    of their own. Texts count whole, however long. Rows that share a doc_id, or have none, share its draw. Extra columns are left
+    out. An empty table gives no rows.
     """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "lang", "source")
     known = cut(measured(plain).select("doc_id", "mix_source", "mix_lang", "mix_topic", "mix_tokens"))

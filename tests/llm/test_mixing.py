@@ -43,6 +43,21 @@ def test_many_sources_join_by_a_shuffle(documents, monkeypatch):
     assert sorted(map(str, M.mixture(documents).collect())) == before
 
 
+def test_any_number_of_languages(spark, documents, monkeypatch):
+    """More levels than the driver keeps: the same probabilities, from tables alone."""
+    found = lambda: sorted((str(r["doc_id"]), round(r["mix_probability"], 9)) for r in M.weighted(documents, rounds=2).collect())
+    before = found()
+    monkeypatch.setattr(M, "LEVELS", 2)
+    monkeypatch.setattr("keyloom.llm.common.HOT_ROWS", 3)
+    assert found() == before
+
+
+def test_targets_that_do_not_go_together_are_said(spark):
+    df = spark.createDataFrame([(k, "a b c", "en" if k % 2 else "fr", f"s{k % 2}") for k in range(50)], "doc_id long, text string, lang string, source string")
+    with pytest.warns(UserWarning, match="misses its target"):
+        M.mixture(df, {"source": {"s0": 0.9, "s1": 0.1}, "lang": {"en": 0.9, "fr": 0.1}}).collect()
+
+
 def test_empty_tables_and_texts(spark, documents, no_documents):
     assert M.mixture(no_documents).collect() == [] and M.sample(no_documents).collect() == []
     blank = spark.createDataFrame([(1, None, None, None), (2, "", "en", "a")], "doc_id long, text string, lang string, source string")
