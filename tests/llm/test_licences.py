@@ -1,3 +1,6 @@
+import os
+import re
+
 import duckdb
 
 from keyloom.llm import licences as L
@@ -34,9 +37,83 @@ def test_matches_sql(spark):
 def test_every_template_finds_itself(spark):
     rows = [(k, f"p/{k}", text) for k, (_, text) in enumerate((n, t) for n, own in L.TEMPLATES.items() for t in own)]
     names = [n for n, own in L.TEMPLATES.items() for _ in own]
-    cued = [k for k, r in enumerate(rows) if __import__("re").search(L.CUE, r[2])]
+    assert all(re.search(L.CUE, t) for _, _, t in rows)
+    got = {r["page_id"]: r["own_licence"] for r in L.licences(frame(spark, rows)).collect()}
+    assert all(got[k] == names[k] for k in got)
+
+
+COMMON = "/usr/share/common-licenses"
+FULL = {"Apache-2.0": "Apache-2.0", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0"}
+MIT_TEXT = """MIT License
+
+Copyright (c) 2024 The Authors
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.
+"""
+HEADERS = {
+    "Apache-2.0": 'Copyright 2024 The Authors\n\nLicensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software\ndistributed under the License is distributed on an "AS IS" BASIS,\nWITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
+    "GPL-3.0": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.\n\nThis program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "GPL-2.0": "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or\n(at your option) any later version.",
+    "LGPL-2.1": "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.",
+    "LGPL-3.0": "This library is free software: you can redistribute it and/or modify\nit under the terms of the GNU Lesser General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.",
+    "AGPL-3.0": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU Affero General Public License as published\nby the Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "BSD-3-Clause": "Copyright (c) 2024, The Authors\nAll rights reserved.\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:",
+    "ISC": "Copyright (c) 2024 The Authors\n\nPermission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.",
+    "MIT": MIT_TEXT.split("\n\n")[2],
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons\nAttribution-ShareAlike 4.0 International License.",
+    "Proprietary": "Copyright 2024 The Authors. All rights reserved.",
+}
+
+
+def test_real_texts_wrapped_unwrapped_and_as_headers(spark):
+    """Full texts as they come, on one line, and without their line ends within paragraphs; headers in comments, above code."""
+    full = {n: open(f"{COMMON}/{f}", errors="replace").read() for f, n in FULL.items() if os.path.exists(f"{COMMON}/{f}")} | {"MIT": MIT_TEXT}
+    rows, want = [], []
+
+    def put(name, text):
+        rows.append((len(rows), f"p{len(rows)}/x", text))
+        want.append(name)
+
+    for name, text in full.items():
+        put(name, text)
+        put(name, " ".join(text.split()))
+        put(name, re.sub(r"(?<!\n)\n(?!\n)", " ", text))
+        put(name, text.replace("\n", "\r\n"))
+    for name, text in HEADERS.items():
+        put(name, text)
+        put(name, " ".join(text.split()))
+        put(name, "#!/bin/sh\n#\n" + "".join(f"# {line}\n" for line in text.split("\n")) + "#\n\nimport sys\nrun()\n")
+        put(name, "/*\n" + "".join(f" * {line}\n" for line in text.split("\n")) + " */\n\nint main(void) { return 0; }\n")
+    for text in ("Some prose on how the licence of a driver is renewed.", "warranty claims need a receipt", "The king gave his permission."):
+        put(None, text)
     got = {r["page_id"]: r["own_licence"] for r in L.licences(frame(spark, rows)).collect()}
-    assert len(cued) >= len(rows) - 1 and all(got[k] == names[k] for k in cued)
+    wrong = [(want[k], got[k], rows[k][2][:60]) for k in range(len(rows)) if got[k] != want[k]]
+    assert not wrong and len(want) > 50
+
+
+def test_very_long_texts(spark):
+    text = "word and more words\n" * 100_000
+    got = {r["page_id"]: r["own_licence"] for r in L.licences(frame(spark, [(1, "a/b", text + MIT_TEXT + text), (2, "a/c", text), (3, "a/d", "licence " * 300_000)])).collect()}
+    assert got == {1: "MIT", 2: None, 3: None}
+
+
+def test_many_pages_of_one_directory(spark, monkeypatch):
+    before = sorted(map(str, L.licences(frame(spark)).collect()))
+    monkeypatch.setattr("keyloom.llm.common.HOT_ROWS", 2)
+    assert sorted(map(str, L.licences(frame(spark)).collect())) == before
 
 
 def test_empty_table(spark):
