@@ -7,17 +7,19 @@ inside a stage never meets one of docs by name.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from keyloom.llm import mixing, packing, pii, simhash, toxicity
-from keyloom.llm.common import shared_folder, table
+from keyloom.llm.common import remove, scratch, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose worst window scores below one half. Null and empty texts are judged like an empty window."""
+    """Rows whose worst window scores below one half. Null and empty texts are judged like an empty window.
+
+    Very long texts are scored whole; rows that repeat fare alike; without labels of both classes all rows stay.
+    """
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
     return toxicity.clean(docs, model)
 
@@ -25,23 +27,28 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row with the smallest doc_id of each group of near copies: 0.8 or more of their five-word shingles in common.
 
-    Rows whose text has no words are left as they are: nothing in them is a copy of a text.
+    Rows whose text has no words, null or empty, are left as they are: nothing in them is a copy of a text. Of equal doc_ids, or where
+    all are null, the first row stays.
     """
     return simhash.representatives(docs, width=5, similarity=0.8)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, their texts with personal data masked by <kind>, n_chars renewed for the texts that changed."""
+    """All rows, their texts with personal data masked by <kind>, n_chars renewed for the texts that changed. Null texts stay null."""
     return pii.masked(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows sampled with the probabilities that rake token weights to the targets of sources, languages and topics."""
+    """Rows sampled with the probabilities that rake token weights to the targets of sources, languages and topics.
+
+    Rows without tokens, null and empty texts, are never drawn; null sources and languages are levels of their own; rows of one
+    doc_id, or of none, share a draw.
+    """
     return mixing.sample(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all rows and their places in sequences."""
+    """The pieces of all rows and their places in sequences; a null or empty text is one piece of one id."""
     return packing.packed(docs)
 
 
@@ -53,15 +60,21 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack),
 ]
 
-#: A trained network and byte-level tokens are not SQL; tests compare the stages with brute-force versions.
+#: A trained network and byte-level tokens are not SQL; tests compare each stage, and all in turn, with brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in turn over documents, each written as Parquet to the shared folder and read again."""
+    """The stages in turn over documents, each written as Parquet to the shared folder and read again.
+
+    A stage's rows are deleted once the next one is written, and the last ones when the application ends.
+    """
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder, before = scratch(spark, "pipeline"), None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            remove(spark, f"{folder}/{before}")
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
