@@ -133,6 +133,9 @@ COMMON = 200_000
 #: Texts whose ids are broadcast for the last comparison; beyond, the texts are shuffled.
 FEW = 200_000
 
+#: Bits of the parities by which pairs are ruled out before their sets are compared; a multiple of 64 and a power of two.
+PARITY = 256
+
 _SEEDS = np.array([(0x9E3779B97F4A7C15 * (v + 1)) & (1 << 64) - 1 for v in range(VIEWS)], np.uint64)[:, None]
 
 
@@ -176,6 +179,11 @@ def prefix(own: np.ndarray, common: np.ndarray, counts: np.ndarray, least: float
     return np.sort(keys)[:size].astype("<u4") if len(own) else own
 
 
+def parities(own: np.ndarray) -> bytes:
+    """PARITY bits: whether an odd number of tokens falls on each. Two sets differ in at least as many tokens as their bits do."""
+    return np.packbits(np.bincount(own & np.uint32(PARITY - 1), minlength=PARITY).astype(np.uint8) & 1).tobytes()
+
+
 def _sampled(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in text_batches(batches, "row"):
@@ -194,7 +202,7 @@ def common_tokens(numbered: DataFrame, width: int) -> tuple[np.ndarray, np.ndarr
     return found[order], held.column(1).to_numpy()[order]
 
 
-PRINTS = "row long, doc_id long, size int, set_a long, set_b long, fp long, views array<long>, prefix binary, held int"
+PRINTS = "row long, doc_id long, size int, set_a long, set_b long, fp long, views array<long>, prefix binary, held int, bits binary"
 
 
 def _prints(width: int, common: np.ndarray, counts: np.ndarray, least: float):
@@ -210,7 +218,7 @@ def _prints(width: int, common: np.ndarray, counts: np.ndarray, least: float):
                 own = [views(x).tolist() if len(x) else None for x in sets]
                 held = [tokens(x) for x in sets]
                 firsts = [prefix(x, common, counts, least).tobytes() for x in held]
-                columns = [part.column(0), part.column(1), pa.array([len(x) for x in sets], pa.int32()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(fingerprints(texts, width)), pa.array(own, pa.list_(pa.int64())), pa.array(firsts, pa.binary()), pa.array([len(x) for x in held], pa.int32())]
+                columns = [part.column(0), part.column(1), pa.array([len(x) for x in sets], pa.int32()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(fingerprints(texts, width)), pa.array(own, pa.list_(pa.int64())), pa.array(firsts, pa.binary()), pa.array([len(x) for x in held], pa.int32()), pa.array([parities(x) for x in held], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in PRINTS.split(", ")])
 
     return run
@@ -246,8 +254,8 @@ def _verified(least: float):
     return run
 
 
-#: key: token and cell; size: tokens held, place in the prefix and side in the cell, from the top.
-PLACES = "key long, size long, node long, root long"
+#: key: token and cell; size: tokens held, place in the prefix and side in the cell, from the top; root: as a step from the node.
+PLACES = "key long, size long, node long, root long, " + ", ".join(f"b{k} long" for k in range(PARITY // 64))
 
 
 def _places(common: np.ndarray, counts: np.ndarray):
@@ -265,6 +273,7 @@ def _places(common: np.ndarray, counts: np.ndarray):
                 row = np.repeat(np.arange(len(raw)), sizes)
                 place = np.arange(len(token)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 node, root, held = (batch.column(k).to_numpy() for k in (0, 1, 3))
+                bits = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.int64).reshape(len(raw), -1)
                 side, cell = np.zeros(len(token), np.int64), np.zeros(len(token), np.int64)
                 if len(split):
                     at = np.minimum(np.searchsorted(split, token), len(split) - 1)
@@ -275,17 +284,18 @@ def _places(common: np.ndarray, counts: np.ndarray):
                     other = np.arange(len(again)) - np.repeat(np.cumsum(number) - number, number)
                     token, row, place, part, number = token[again], row[again], place[again], part[again], number[again]
                     cell, side = np.minimum(part, other) * number + np.maximum(part, other), (part > other).astype(np.int64)
-                own = token.astype(np.int64) << 31 | cell, held[row].astype(np.int64) << 32 | place << 1 | side, node[row], root[row]
+                own = token.astype(np.int64) << 31 | cell, held[row].astype(np.int64) << 32 | place << 1 | side, node[row], (root - node)[row], *bits[row].T
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in own], names=[x.split()[0] for x in PLACES.split(", ")])
 
     return run
 
 
 def _meetings(least: float):
-    """Pairs of different roots from rows sorted by key and size; those whose sizes or places rule out `least` are left out."""
+    """Pairs of different roots from rows sorted by key and size; those whose sizes, places or parities rule out `least` are left out."""
 
     def pairs(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        key, size, node, root = columns
+        key, size, node, root, *bits = columns
+        root = node + root
         held, place, side = size >> 32, (size & 0xFFFFFFFF) >> 1, size & 1
         ends = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key))
         starts = np.append(0, ends[:-1])
@@ -300,7 +310,11 @@ def _meetings(least: float):
             i, j = live, live + step
             good = (root[i] != root[j]) & (~parted[i] | (side[i] != side[j]))
             good &= np.minimum(held[i] - place[i], held[j] - place[j]) >= least / (1 + least) * (held[i] + held[j]) - 1e-9
-            a.append(np.minimum(node[i[good]], node[j[good]])), b.append(np.maximum(node[i[good]], node[j[good]]))
+            i, j = i[good], j[good]
+            apart = sum(np.bitwise_count((x[i] ^ x[j]).view(np.uint64)).astype(np.int64) for x in bits)  # of signed ones it takes the absolute value
+            good = apart <= (1 - least) / (1 + least) * (held[i] + held[j]) + 1e-9
+            i, j = i[good], j[good]
+            a.append(np.minimum(node[i], node[j])), b.append(np.maximum(node[i], node[j]))
             waiting, step = waiting + len(a[-1]), step + 1
             if waiting > 1 << 20 or not len(live):
                 met = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
@@ -350,7 +364,7 @@ def representatives(docs: DataFrame, width: int = 5, similarity: float = SIMILAR
     99 in 100 pairs of long texts, and for fewer of short ones. Texts of equal shingles are one node. In each bucket all nodes are compared with its least and its last node,
     so a bucket of any size costs two comparisons a member; SHARE members of a hub at most meet in one task. What that leaves apart
     is then found without chance: any two texts that reach the similarity share a token of their prefixes (see prefix()), and all
-    pairs of different components that do, and whose sizes and places allow it, are compared. Tokens that are common in a sample come
+    pairs of different components that do, and whose sizes, places and parities of their tokens allow it, are compared. Tokens that are common in a sample come
     last in the order, so passages of many texts are in few prefixes; where they are, their texts are split over tasks, not cut.
     Every link is verified on the sets of shingles themselves, by 32 bits of each hash.
 
@@ -363,8 +377,8 @@ def representatives(docs: DataFrame, width: int = 5, similarity: float = SIMILAR
     common, counts = common_tokens(numbered, width)
     prints = cut(numbered.mapInArrow(_prints(width, common, counts, similarity), PRINTS))
     worded = prints.where("size > 0")
-    nodes = worded.groupBy("set_a", "set_b", "size").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"), F.first("fp").alias("fp"), F.first("views").alias("views"), F.first("prefix").alias("prefix"), F.first("held").alias("held"))
-    nodes = cut(nodes.select(F.col("first.row").alias("node"), "first", "fp", "views", "prefix", "held"))
+    nodes = worded.groupBy("set_a", "set_b", "size").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"), F.first("fp").alias("fp"), F.first("views").alias("views"), F.first("prefix").alias("prefix"), F.first("held").alias("held"), F.first("bits").alias("bits"))
+    nodes = cut(nodes.select(F.col("first.row").alias("node"), "first", "fp", "views", "prefix", "held", "bits"))
 
     # the fingerprint is one more view; fingerprints near each other join the buckets of both
     owns = nodes.select("node", F.posexplode(F.concat("views", F.array("fp"))).alias("view", "value"))
@@ -380,7 +394,7 @@ def representatives(docs: DataFrame, width: int = 5, similarity: float = SIMILAR
 
     # pairs that no bucket linked: all that share a token of their prefixes and are not in one component yet
     stars = roots.select("node", "root")
-    rooted = nodes.join(stars.withColumnRenamed("node", "own"), F.col("node") == F.col("own"), "left").select("node", F.coalesce("root", "node").alias("root"), "prefix", "held")
+    rooted = nodes.join(stars.withColumnRenamed("node", "own"), F.col("node") == F.col("own"), "left").select("node", F.coalesce("root", "node").alias("root"), "prefix", "held", "bits")
     places = rooted.mapInArrow(_places(common, counts), PLACES)
     met = places.repartition("key").sortWithinPartitions("key", "size").mapInArrow(_meetings(similarity), "hub long, node long")
     rest = cut(met.distinct())

@@ -101,6 +101,15 @@ def test_views_are_independent():
     assert missed < 0.012 * 4000
 
 
+def test_parities_never_say_more_than_the_difference():
+    draw = np.random.default_rng(6)
+    for n in (0, 1, 40, 500):
+        both, a, b = (np.unique(draw.integers(0, 1 << 32, k, dtype=np.uint64)).astype("<u4") for k in (n, n // 5, n // 7))
+        one, two = np.union1d(both, a), np.union1d(both, b)
+        bits = [np.unpackbits(np.frombuffer(simhash.parities(x), np.uint8)) for x in (one, two)]
+        assert len(bits[0]) == simhash.PARITY and (bits[0] != bits[1]).sum() <= len(np.setxor1d(one, two))
+
+
 def test_pairs_of_short_texts(spark, tmp_path):
     """Four shingles against five: 0.8, at which a tenth of the pairs share no view."""
     texts = [" ".join(f"s{k}w{j}" for j in range(8 + more)) for k in range(150) for more in (0, 1)]
