@@ -6,20 +6,24 @@ Those under EXTENSIONS render relational needs that the keyed model leaves to ha
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keyloom.functions.hashing import shard_of
 from keyloom.functions import vectors
+from keyloom.model import KeyExtractor, ModelError, TypedMessage, message_key, message_type
 from keyloom.operators import fanout, feedback, joins, keyed, lifecycle, metrics, routing, shards, shedding
 from keyloom.plans import planner, samples
 from keyloom.plans.batch import Declarative, envelope, imperative, run, sent
-from keyloom.processor import Processor
-from keyloom.sources.adaptors import TableAdaptor, from_json_messages, json_messages, stream_sink
+from keyloom.processor import Processor, message_handler, mp, passivation
+from keyloom.sources.adaptors import ADAPTORS, SINKS, DispatcherAdaptor, DummyDispatcher, TableAdaptor, from_json_messages, json_messages, stream_sink
 from keyloom.storage import scratch
 from keyloom.streaming import stateful, windows
-from keyloom.topology import Node, Topology
+from keyloom.streaming.schedules import Cron, Every
+from keyloom.topology import Cluster, Node, Topology, TopologyError
 
 #: Java's white space.
 SPACE = "[ \\t\\n\\x0B\\f\\r]+"
@@ -74,6 +78,44 @@ def json_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("message_type", "key", "seq", F.get_json_object("payload", "$.event_type").alias("event_type"))
 
 
+@registered("SELECT fmt, count(*) AS messages, count(DISTINCT user_id) AS keys, sum(event_id)::BIGINT AS ids FROM events CROSS JOIN (VALUES ('parquet'), ('orc'), ('json'), ('csv')) AS v(fmt) GROUP BY fmt")
+def formats_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows written by the registered sink and read by the registered adaptor, in four formats."""
+    at, rows = scratch(spark, "formats"), events(spark, sf_dir).select("event_id", "user_id", "event_type")
+    found = []
+    for fmt in ("parquet", "orc", "json", "csv"):
+        SINKS.get(f"table.{fmt}")(rows, f"{at}/{fmt}", fmt)
+        back = ADAPTORS.get(f"table.{fmt}", f"{at}/{fmt}", "event", "user_id", "event_id", "event_type", fmt=fmt, schema="event_id long, user_id long, event_type string").read(spark)
+        found.append(back.agg(F.lit(fmt).alias("fmt"), F.count("*").alias("messages"), F.countDistinct("key").alias("keys"), F.sum("seq").alias("ids")))
+    return planner.together(found)
+
+
+@registered("""
+SELECT message_type, key, count(*) AS n, 1::BIGINT AS late, (SELECT count(*) FROM nation) AS nowhere FROM (
+SELECT 'region' AS message_type, r_regionkey::VARCHAR AS key FROM region UNION ALL SELECT 'nation', n_regionkey::VARCHAR FROM nation
+UNION ALL SELECT 'pair(even)', CASE WHEN n_nationkey % 2 = 0 THEN 'yes' ELSE 'no' END FROM nation
+UNION ALL SELECT 'pair(odd)', CASE WHEN n_nationkey % 2 = 1 THEN 'yes' ELSE 'no' END FROM nation) GROUP BY message_type, key""")
+def dispatched_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages that the driver pushes: explicit ones, a list of them, objects by their class, one after the end; and into nothing.
+
+    The tables are the fixed ones of 5 and 25 rows: a dispatcher is no way for a corpus.
+    """
+    pushed, nowhere = DispatcherAdaptor(), DummyDispatcher()
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey").collect()
+    for r in table(spark, sf_dir, "region").select("r_regionkey").collect():
+        pushed.dispatch(TypedMessage(r.r_regionkey, {"region": r.r_regionkey}, ("region",)))
+    of_region = [TypedMessage(n.n_regionkey, {"nation": n.n_nationkey}, ("nation",)) for n in nations]
+    pushed.dispatch(of_region), nowhere.dispatch(of_region)
+    for n in nations:
+        pushed.dispatch_annotated(samples.Pair(n.n_nationkey))
+    pushed.stop()
+    pushed.dispatch(TypedMessage(0, {"region": 0}, ("region",)))
+    read = pushed.read(spark)
+    SINKS.get("null")(read)
+    late, none = F.lit(pushed.dropped).cast("long"), F.lit(nowhere.dropped).cast("long")
+    return read.groupBy("message_type", "key").agg(F.count("*").alias("n")).select("*", late.alias("late"), none.alias("nowhere"))
+
+
 @registered("SELECT event_id, t AS message_type FROM events CROSS JOIN (VALUES ('event'), ('audit'), ('billing')) AS v(t)")
 def multi_type_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fanout.by_types(events(spark, sf_dir).select("event_id"), ["event", "audit", "billing"])
@@ -99,6 +141,17 @@ def even_odd_dual_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return given.groupBy("cluster", "message_key").agg(F.count("*").alias("handled"))
 
 
+@registered("""
+SELECT 'evens' AS cluster, CASE WHEN event_id % 2 = 0 THEN 'yes' ELSE 'no' END AS key, count(*) AS handled FROM events GROUP BY ALL
+UNION ALL SELECT 'odds', CASE WHEN event_id % 2 = 1 THEN 'yes' ELSE 'no' END, count(*) FROM events GROUP BY ALL""")
+def discriminated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A message with two keys; each of two handlers selects the one that addresses it."""
+    node = Node.builder("sample").default_routing("managed").receiver().cluster("pairing").mp(samples.Pairing()).cluster("evens").mp(samples.Evens()).cluster("odds").mp(samples.Odds()).build()
+    found = run(Topology(node), event_messages(spark, sf_dir))
+    each = planner.together([found[c].where("kind = 'processed'").select(F.lit(c).alias("cluster"), "key") for c in ("evens", "odds")])
+    return each.groupBy("cluster", "key").agg(F.count("*").alias("handled"))
+
+
 @registered("""
 SELECT message_type, count(*) AS n, sum(value) AS total FROM (
 SELECT event_type AS message_type, value FROM events
@@ -261,6 +314,13 @@ def bulk_handling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.groupBy(F.col("key").alias("user_id")).agg(F.sum(F.get_json_object("payload", "$.count").cast("long")).alias("handled"), F.count("*").alias("piles"))
 
 
+@registered("SELECT user_id::VARCHAR AS user_id, count(*) AS results, count(*) - 1 AS last_count FROM events GROUP BY user_id")
+def bulk_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piles for a processor without a bulk handler: its handler gets their messages in turn."""
+    got = sent(imperative(event_messages(spark, sf_dir), samples.counter(), bulk=True))
+    return got.groupBy(F.col("key").alias("user_id")).agg(F.count("*").alias("results"), F.max(F.get_json_object("payload", "$.count").cast("long")).alias("last_count"))
+
+
 @registered("SELECT user_id::VARCHAR AS user_id, CASE WHEN event_type = 'purchase' THEN 'exact' WHEN event_type IN ('click', 'view') THEN 'parent' ELSE 'general' END AS handler, count(*) AS n FROM events GROUP BY ALL")
 def polymorphic_handlers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events come as one type; a message's class picks its handler: its own, else that of the nearest class above it."""
@@ -301,6 +361,71 @@ def activation_first_message(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed.first_message(events(spark, sf_dir), "user_id", F.struct("ts", "event_id"), "event_id", "event_type")
 
 
+@registered("SELECT user_id::VARCHAR AS user_id, 'count' AS cluster, 1::BIGINT AS starts, count(*) AS total FROM events GROUP BY user_id")
+def start_and_clone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A prototype starts once, with its cluster's name; its clones share what it learned then, and nothing after."""
+    got = sent(imperative(event_messages(spark, sf_dir), Processor.of(samples.Started()), "count"))
+    m = F.from_json(F.max_by("payload", "seq"), "cluster string, starts long, count long")
+    return got.groupBy(F.col("key").alias("user_id")).agg(m.alias("m")).select("user_id", "m.cluster", "m.starts", F.col("m.count").alias("total"))
+
+
+@registered("SELECT user_id::VARCHAR AS user_id, (user_id % 5 <> 0)::BIGINT AS created, count(*) FILTER (WHERE user_id % 5 <> 0) AS processed, count(*) FILTER (WHERE user_id % 5 = 0) AS failed FROM events GROUP BY user_id")
+def activation_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where an activation fails there is no instance, and each message of its key counts as failed."""
+    got = imperative(event_messages(spark, sf_dir), Processor.of(samples.Choosy())).where("key IS NOT NULL")
+    of = lambda k: F.count_if(F.col("kind") == k).alias(k)
+    return got.groupBy(F.col("key").alias("user_id")).agg(of("created"), of("processed"), of("failed"))
+
+
+@registered("""
+WITH e AS (SELECT max(event_id) // 1000 AS last FROM events)
+SELECT user_id::VARCHAR AS user_id, any_value(last) - min(event_id) // 1000 AS totals, any_value(last) - min(event_id) // 1000 AS again, 0::BIGINT AS unscheduled FROM events, e GROUP BY user_id""")
+def output_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two output methods, called at each pass of one cluster; in a cluster without a schedule they never are."""
+    node = Node.builder("sample").default_routing("managed").receiver().cluster("timed").mp(samples.Outspoken()).output_every(1000).cluster("silent").mp(samples.Outspoken()).build()
+    found = planner.execute(spark, node, messages=event_messages(spark, sf_dir))
+    each = planner.together([found[c].where("key IS NOT NULL").withColumn("cluster", F.lit(c)) for c in ("timed", "silent")])
+    total, n = F.col("message_type").eqNullSafe("total") & (F.col("kind") == "message"), F.get_json_object("payload", "$.count").cast("long")
+    timed = F.col("cluster") == "timed"
+    counted = F.count_if(total & timed & (n > 0)).alias("totals"), F.count_if(total & timed & (n < 0)).alias("again"), F.count_if(total & ~timed).alias("unscheduled")
+    return each.groupBy(F.col("key").alias("user_id")).agg(*counted)
+
+
+def passes(spark: SparkSession, sf_dir: str, schedule: Cron | Every) -> DataFrame:
+    """The moments at which a schedule calls, between the first and the last event, and how many events came before each.
+
+    Events are counted by hour before they meet the moments, whose number is that of the schedule's, not of the rows.
+    """
+    own = events(spark, sf_dir).where("ts IS NOT NULL")
+    low, high = own.agg(F.min("ts"), F.max("ts")).first()
+    dues, now = [], low and (low.replace(minute=0, second=0, microsecond=0) - timedelta(seconds=1) if isinstance(schedule, Cron) else low.replace(hour=0, minute=0, second=0, microsecond=0))
+    while now and (now := schedule.after(now)) and now <= high:
+        dues.append(now)
+    moments = spark.createDataFrame([(str(d),) for d in dues], "due string").select(F.col("due").cast("timestamp_ntz").alias("due"))
+    hours = own.groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(F.count("*").alias("n"))
+    both = moments.select("due", F.lit(True).alias("is_due"), F.lit(0).cast("long").alias("n")).union(hours.select(F.col("hour").alias("due"), F.lit(False), "n"))
+    upto = Window.orderBy("due", F.desc("is_due")).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # hours and moments, not events
+    return both.withColumn("handled", F.sum("n").over(upto)).where("is_due").select("due", "handled")
+
+
+@registered("""
+WITH e AS (SELECT date_trunc('day', min(ts))::TIMESTAMP AS low, min(ts) AS first, max(ts) AS high FROM events),
+d AS (SELECT unnest(generate_series(low, high, INTERVAL 1 HOUR)) AS due, first, high FROM e)
+SELECT due, (SELECT count(*) FROM events WHERE ts < due) AS handled FROM d WHERE due >= date_trunc('hour', first) AND due <= high AND hour(due) IN (6, 18) AND isodow(due) <= 5""")
+def cron_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Output passes at six and eighteen o'clock from Monday to Friday."""
+    return passes(spark, sf_dir, Cron("0 0 6,18 ? * MON-FRI"))
+
+
+@registered("""
+WITH e AS (SELECT date_trunc('day', min(ts))::TIMESTAMP AS low, max(ts) AS high FROM events),
+d AS (SELECT unnest(generate_series(low + INTERVAL 8 HOUR, high, INTERVAL 8 HOUR)) AS due FROM e)
+SELECT due, (SELECT count(*) FROM events WHERE ts < due) AS handled FROM d""")
+def relative_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Output passes every eight hours."""
+    return passes(spark, sf_dir, Every(8, "hours"))
+
+
 @registered("""
 WITH c AS (SELECT user_id, date_trunc('day', ts)::TIMESTAMP AS period, count(*) AS n FROM events GROUP BY ALL),
 g AS (SELECT user_id, unnest(generate_series(min(period), (SELECT max(date_trunc('day', ts))::TIMESTAMP FROM events), INTERVAL 1 DAY)) AS period FROM c GROUP BY user_id)
@@ -343,6 +468,22 @@ def evictable_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.groupBy(F.col("key").alias("user_id")).agg(of("evicted").alias("evictions"), of("created").alias("created"))
 
 
+@registered(SQL_EVICTIONS + "SELECT user_id::VARCHAR AS user_id, sum(gone)::BIGINT AS evictions, sum(gone)::BIGINT AS deleted, sum(gone)::BIGINT + 1 AS created FROM r GROUP BY user_id")
+def passivation_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An instance whose passivation fails goes all the same."""
+    got = imperative(event_messages(spark, sf_dir), Processor.of(samples.Clinging(5)), evict_span=500).where("key IS NOT NULL")
+    of = lambda k: F.count_if(F.col("kind") == k)
+    return got.groupBy(F.col("key").alias("user_id")).agg(of("evicted").alias("evictions"), of("deleted").alias("deleted"), of("created").alias("created"))
+
+
+@registered("SELECT p AS predicate, user_id::VARCHAR AS user_id, 0::BIGINT AS evictions, 1::BIGINT AS created FROM events CROSS JOIN (VALUES ('none'), ('fails')) AS v(p) GROUP BY p, user_id")
+def eviction_without_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checks of processors without a predicate, or with one that fails, evict nothing."""
+    of = lambda k: F.count_if(F.col("kind") == k)
+    got = [imperative(event_messages(spark, sf_dir), p, evict_span=500).where("key IS NOT NULL").withColumn("predicate", F.lit(n)) for n, p in (("none", samples.counter()), ("fails", Processor.of(samples.Undecided())))]
+    return planner.together(got).groupBy("predicate", F.col("key").alias("user_id")).agg(of("evicted").alias("evictions"), of("created").alias("created"))
+
+
 @registered("SELECT user_id::VARCHAR AS user_id, 0::BIGINT AS evictions, 1::BIGINT AS created FROM events GROUP BY user_id")
 def eviction_off(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Without a frequency nothing is evicted, whatever the predicate says."""
@@ -555,6 +696,15 @@ def shed_by_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shedding.shed(own, "batch", "event_id", 40).groupBy("batch").agg(F.count("*").alias("received"), F.count_if("discarded").alias("discarded"))
 
 
+@registered("SELECT date_trunc('day', ts)::DATE AS batch, count(*) AS received, 0::BIGINT AS discarded FROM events GROUP BY 1")
+def unlimited_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A limit of 0 is none, on a node and on a container."""
+    own = events(spark, sf_dir).select("event_id", F.to_date("ts").alias("batch"))
+    free = shedding.shed(own, "batch", "event_id", 0).withColumnRenamed("discarded", "shed")
+    gone = F.count_if(F.col("shed") | F.col("discarded"))
+    return shedding.limited(free, "batch", "event_id", -1).groupBy("batch").agg(F.count("*").alias("received"), gone.alias("discarded"))
+
+
 @registered("SELECT user_id, least(count(*), 20) AS accepted FROM events GROUP BY user_id")
 def container_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = shedding.limited(events(spark, sf_dir).select("user_id", "event_id"), "user_id", "event_id", 20)
@@ -734,3 +884,106 @@ def function_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def function_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table function in Python, joined laterally."""
     return table(spark, sf_dir, "benchmark").lateralJoin(vectors.Words(F.col("text").outer())).select("item_id", "place", "word")
+
+
+# Definitions
+
+
+def definitions() -> dict[str, Callable[[], object]]:
+    """Nodes, clusters, messages and processors, most of them with a fault that a check must find before anything runs."""
+
+    @dataclass
+    class Bare:
+        n: int = 0
+
+    @message_type("two")
+    @dataclass
+    class TwoKeys:
+        @message_key("a")
+        def a(self) -> str:
+            return "a"
+
+        @message_key
+        def b(self) -> str:
+            return "b"
+
+    @mp
+    class NoHandler:
+        def clone(self):
+            return self
+
+    class Unmarked(samples.Counter):
+        def clone(self):
+            return self
+
+    @mp
+    class NoClone(samples.Counter): ...
+
+    @mp
+    class Wordy(samples.Counter):
+        def clone(self):
+            return self
+
+        @passivation
+        def leave(self, why: str) -> None: ...
+
+    @mp
+    class TakesBare:
+        def clone(self):
+            return self
+
+        def take(self, message) -> None: ...
+
+        take.__annotations__["message"] = Bare
+        take = message_handler(take)
+
+    whole = lambda: Node.builder("app").default_routing("managed").receiver()
+    source = TableAdaptor("none", "event", "user_id", "event_id")
+    return {
+        "whole": lambda: whole().cluster("a").mp(samples.Counter()).cluster("b").adaptor(source).build(),
+        "setting": lambda: whole().conf("router.managed.total_shards", "16").cluster("a").mp(samples.Counter()).build(),
+        "unknown setting": lambda: whole().conf("router.none", 1),
+        "shards no power of two": lambda: whole().conf("router.managed.total_shards", 12).cluster("a").mp(samples.Counter()).build(),
+        "no cluster": lambda: whole().build(),
+        "no name": lambda: Node.builder("").receiver().cluster("a").adaptor(source).build(),
+        "name with a slash": lambda: Node.builder("a/b").receiver().cluster("a").adaptor(source).build(),
+        "cluster with a colon": lambda: whole().cluster("a:b").mp(samples.Counter()).build(),
+        "two clusters of a name": lambda: whole().cluster("a").mp(samples.Counter()).cluster("a").mp(samples.Evens()).build(),
+        "empty cluster": lambda: whole().cluster("a").build(),
+        "null cluster": lambda: Node("app", [None], "local", "managed").validate(),
+        "processor and adaptor": lambda: whole().cluster("a").mp(samples.Counter()).adaptor(source).build(),
+        "key source of an adaptor": lambda: whole().cluster("a").adaptor(source).key_source(lambda: ["x"]).build(),
+        "no receiver": lambda: Node.builder("app").default_routing("managed").cluster("a").mp(samples.Counter()).build(),
+        "adaptor without receiver": lambda: Node.builder("app").cluster("a").adaptor(source).build(),
+        "no routing": lambda: Node.builder("app").receiver().cluster("a").mp(samples.Counter()).build(),
+        "unknown router": lambda: whole().cluster("a").routing("nearest").mp(samples.Counter()).build(),
+        "unknown container": lambda: whole().container("wooden").cluster("a").mp(samples.Counter()).build(),
+        "container limit": lambda: whole().container("locking").cluster("a").mp(samples.Counter()).max_pending(5).build(),
+        "limit without a queue": lambda: whole().cluster("a").mp(samples.Counter()).max_pending(5).build(),
+        "builder before a cluster": lambda: whole().mp(samples.Counter()),
+        "explicit destinations": lambda: Cluster("a", Processor.of(samples.Counter())).destinations("b"),
+        "unmarked processor": lambda: Processor.of(Unmarked()),
+        "processor without clone": lambda: Processor.of(NoClone()),
+        "processor without handler": lambda: Processor.of(NoHandler()),
+        "passivation with a parameter": lambda: Processor.of(Wordy()),
+        "handler of no message": lambda: Processor.of(TakesBare()),
+        "keys without discriminators": lambda: KeyExtractor().extract(TwoKeys()),
+        "message without a key": lambda: TypedMessage(None, {}, ("event",)),
+    }
+
+
+GOOD = ("whole", "setting", "adaptor without receiver", "container limit")
+
+
+@registered(f"SELECT * FROM (VALUES {', '.join(f"('{n}', {str(n in GOOD).lower()})" for n in definitions())}) AS v(definition, accepted)")
+def checked_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the checks of nodes, clusters, processors and messages accept; no table is read."""
+
+    def accepted(make: Callable[[], object]) -> bool:
+        try:
+            make()
+        except (TopologyError, ModelError, NotImplementedError):
+            return False
+        return True
+
+    return spark.createDataFrame([(name, accepted(make)) for name, make in definitions().items()], "definition string, accepted boolean")

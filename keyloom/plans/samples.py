@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.model import KeyedMessage, TypedMessage, message_key, message_type
-from keyloom.processor import Mp, MpFactory, Processor, activation, bulk_message_handler, evictable, message_handler, mp, output, passivation
+from keyloom.processor import Mp, MpFactory, Processor, activation, bulk_message_handler, evictable, message_handler, mp, output, passivation, start
 from keyloom.sources.adaptors import TableAdaptor
 
 
@@ -402,6 +402,139 @@ class ByClass:
         return HandledBy(str(event.user_id), "exact")
 
 
+# Keys by discriminator
+
+
+@message_type("pair")
+@dataclass
+class Pair:
+    """A number under two keys; each makes a message type of its own."""
+
+    number: int
+
+    @message_key("even")
+    def even(self) -> str:
+        return "yes" if self.number % 2 == 0 else "no"
+
+    @message_key("odd")
+    def odd(self) -> str:
+        return "yes" if self.number % 2 == 1 else "no"
+
+
+@mp
+class Pairing:
+    def clone(self) -> Pairing:
+        return Pairing()
+
+    @message_handler
+    def pair(self, event: Event) -> Pair:
+        return Pair(event.event_id)
+
+
+@mp
+class Evens:
+    def clone(self) -> Evens:
+        return Evens()
+
+    @message_handler("even")
+    def take(self, pair: Pair) -> None: ...
+
+
+@mp
+class Odds:
+    def clone(self) -> Odds:
+        return Odds()
+
+    @message_handler("odd")
+    def take(self, pair: Pair) -> None: ...
+
+
+# Lifecycles
+
+
+@message_type("told")
+@dataclass
+class Told:
+    key_: str
+    cluster: str
+    starts: int
+    count: int
+
+    @message_key
+    def key(self) -> str:
+        return self.key_
+
+
+@mp
+class Started:
+    """Clones know what their prototype was told when it started, once, and count each for themselves."""
+
+    def __init__(self) -> None:
+        self.cluster, self.starts, self.n = "", 0, 0
+
+    def clone(self) -> Started:
+        return copy.copy(self)
+
+    @start
+    def begin(self, cluster: str) -> None:
+        self.cluster, self.starts = cluster, self.starts + 1
+
+    @message_handler
+    def count(self, event: Event) -> Told:
+        self.n += 1
+        return Told(str(event.user_id), self.cluster, self.starts, self.n)
+
+
+@mp
+class Choosy(Counter):
+    """Can't be activated for keys that five divides."""
+
+    def clone(self) -> Choosy:
+        return copy.copy(self)
+
+    @activation
+    def activate(self, key: str) -> None:
+        if int(key) % 5 == 0:
+            raise ValueError("a key that five divides")
+        self.key = key
+
+
+@mp
+class Outspoken(Counter):
+    """Two outputs at each pass."""
+
+    def clone(self) -> Outspoken:
+        return copy.copy(self)
+
+    @output
+    def again(self) -> list:
+        return [Total(self.key, -self.n), None]
+
+
+@mp
+class Clinging(Evicting):
+    """Fails when it is passivated; it goes all the same."""
+
+    def clone(self) -> Clinging:
+        return copy.copy(self)
+
+    @passivation
+    def leave(self) -> None:
+        raise ValueError("not yet")
+
+
+@mp
+class Undecided(Counter):
+    """Its predicate fails, so it never goes."""
+
+    def clone(self) -> Undecided:
+        return copy.copy(self)
+
+    @evictable
+    def done(self) -> bool:
+        raise ValueError("who knows")
+
+
 class FunctionalCounter(Mp):
     def __init__(self) -> None:
         self.n = 0
