@@ -9,15 +9,15 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import cut, text_batches
+from keyloom.llm.common import cut, squeeze, text_batches, unpacked
 
-#: Length of a string that may not repeat; bytes of the rolling hash; strings of SPAN bytes hold REACH such windows.
+#: Length of a string that may not repeat; bytes of the rolling hash, a power of two; strings of SPAN bytes hold REACH such windows.
 SPAN = 200
 GRAM = 16
+BASE = 0x9E3779B97F4A7C15
 REACH = SPAN - GRAM + 1
 #: Strings that start up to NEAR bytes before their trigger share the SPAN - NEAR bytes from it; others share those before it.
 NEAR = 140
@@ -29,15 +29,25 @@ PLACE = 8
 GROUP = 8192
 
 
+def rolling(data: np.ndarray) -> np.ndarray:
+    """The rolling hash of the GRAM bytes from each place on, past the end zeros: a polynomial in BASE, modulo 2 ** 64.
+
+    A window of 2k bytes is two of k, so all windows take as many passes as GRAM has doublings.
+    """
+    h, base, step = np.append(data, np.zeros(GRAM, np.uint8)).astype(np.uint64), BASE, 1
+    while step < GRAM:
+        h = h[:-step] * np.uint64(base) + h[step:]
+        base, step = base * base % (1 << 64), 2 * step
+    return h[: len(data)]
+
+
 def triggers(data: np.ndarray) -> np.ndarray:
-    """For each start of a string of SPAN bytes, the place of its trigger: its window with the least hash, the first of equals.
+    """For each start of a string of SPAN bytes, the place of its trigger: its window with the least mixed hash, the first of equals.
 
     A trigger depends on the string alone, so equal strings have theirs at the same place. 32 bits of the hash decide.
     """
     n = len(data)
-    wide = np.append(data, np.zeros(GRAM, np.uint8))
-    eight = np.lib.stride_tricks.as_strided(wide, (n + 8, 8), (1, 1)).copy().view("<u8").ravel()
-    h = eight[:n] * np.uint64(0x9E3779B97F4A7C15) ^ eight[8:][:n] * np.uint64(0xC2B2AE3D27D4EB4F)
+    h = rolling(data)
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     least = h & np.uint64(0xFFFFFFFF00000000) | np.arange(n, dtype=np.uint64)
@@ -101,21 +111,6 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([ids.take(pa.array(text)), pa.array(low << PLACE | n), pa.array(core), pa.array(whole)], names=["row", "place", "core", "phrase"])
 
 
-def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    pack = zstandard.ZstdCompressor(level=3).compress
-    for batch in batches:
-        rows = batch.select(["row", "doc_id"])
-        done = 0
-        for ids, texts in text_batches(iter([batch]), "row"):
-            part = rows.slice(done, len(ids))
-            done += len(ids)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([pack(t) for t in texts], pa.binary())], names=["row", "doc_id", "text"])
-
-
-def unpacked(raw: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(raw) if raw else b""
-
-
 def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes that the strings of wanted phrases cover."""
     for batch in batches:
@@ -240,7 +235,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     wanted = dictionary.join(sizes, "core")
     # a row's list is bounded by its own text
     asked = wanted.groupBy("at.row").agg(F.collect_list(F.struct("core", "phrase", "many", F.col("at.place").alias("place"))).alias("wanted"))
-    squeezed = rows.mapInArrow(_squeezed, "row long, doc_id long, text binary")
+    squeezed = rows.mapInArrow(squeeze, "row long, doc_id long, text binary")
     contents = cut(squeezed.join(asked, "row").select("text", "wanted").mapInArrow(_contents, "core long, phrase long, many boolean, content binary"))
 
     few = contents.join(sizes.where(F.col("size") <= GROUP).select("core"), "core").select("core", "phrase", "many", "content")

@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from keyloom.llm import repeats
@@ -54,3 +55,15 @@ def test_long_texts_are_cut_without_loss(monkeypatch):
     monkeypatch.setattr(repeats, "SEGMENT", 700)
     parts = [int(s) + k for s, n in zip(*repeats.parse([text])[1:3]) for k in range(n)]
     assert sorted(parts) == sorted(whole) == list(range(4801))
+
+
+def test_hash_rolls():
+    """Byte by byte, what leaves the window is taken out and what enters added; the window at the end runs into zeros."""
+    draw = random.Random(6)
+    data = bytes(draw.randrange(256) for _ in range(300))
+    h, want, top = 0, [], pow(repeats.BASE, repeats.GRAM, 1 << 64)
+    for k, b in enumerate(data + bytes(repeats.GRAM - 1)):
+        h = (h * repeats.BASE + b - (data[k - repeats.GRAM] * top if k >= repeats.GRAM else 0)) % (1 << 64)
+        if k >= repeats.GRAM - 1:
+            want.append(h)
+    assert repeats.rolling(np.frombuffer(data, np.uint8)).tolist() == want
