@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from keyloom.llm import mixing, packing, pii, simhash, toxicity
-from keyloom.llm.common import remove, scratch, table
+from keyloom.llm.common import bounded, remove, scratch, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,6 +20,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Very long texts are scored whole; rows that repeat fare alike; without labels of both classes all rows stay.
     """
+    bounded(spark)
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
     return toxicity.clean(docs, model)
 
@@ -30,6 +31,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Rows whose text has no words, null or empty, are left as they are: nothing in them is a copy of a text. Of equal doc_ids, or where
     all are null, the first row stays.
     """
+    bounded(spark)
     return simhash.representatives(docs, width=5, similarity=0.8)
 
 
@@ -49,6 +51,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all rows and their places in sequences; a null or empty text is one piece of one id."""
+    bounded(spark)
     return packing.packed(docs)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from keyloom.storage import cut, remove, scratch, shared_folder
 
-__all__ = ["BATCH_BYTES", "by_key", "components", "cut", "forest", "free_name", "hot_keys", "remove", "scratch", "shared_folder", "squeeze", "table", "text_batches", "unpacked"]
+__all__ = ["BATCH_BYTES", "bounded", "by_key", "components", "cut", "forest", "free_name", "hot_keys", "remove", "scratch", "shared_folder", "squeeze", "table", "text_batches", "unpacked"]
 
 #: Bytes of text that a Python worker handles at once.
 BATCH_BYTES = 2 << 20
@@ -25,6 +25,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded(spark: SparkSession) -> None:
+    """From now on Spark hands a Python worker BATCH_BYTES at once in this session, or one longer row.
+
+    Its own bounds are 10,000 rows and 64 MB, which tasks hold in the worker, as vectors, and again as a message to the worker; the last
+    two lie beside the JVM's heap. No result depends on where batches end.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, lengthened until df has no such column, whatever its case."""
     taken = {c.lower() for c in df.columns}

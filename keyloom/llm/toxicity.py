@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,6 +36,8 @@ TABLES = 0.1
 #: Share of a batch's words that are seen by their characters alone.
 UNSEEN = 0.3
 FOLDS = 5
+#: Windows or words that are spread out into rows of floats at once.
+CHUNK = 4096
 
 #: ASCII letters in lower case; ASCII marks become spaces.
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -84,8 +85,13 @@ class Model:
         sizes = np.diff(ends, prepend=0) - 2
         grams, firsts = grams[inside], np.cumsum(sizes) - sizes
         rows = np.fromiter((self.vocabulary.get(w, 0) for w in distinct), np.int64, len(distinct))
-        mean = np.add.reduceat(self.p["gram"][grams], firsts, axis=0) / sizes[:, None].astype(np.float32)
-        return self.p["word"][rows] + mean, rows, grams, firsts
+        x = np.empty((len(distinct), INPUT), np.float32)
+        for k in range(0, len(distinct), CHUNK):
+            own = np.append(firsts, len(grams))[k : k + CHUNK + 1]
+            x[k : k + CHUNK] = np.add.reduceat(self.p["gram"][grams[own[0] : own[-1]]], own[:-1] - own[0], axis=0)
+        x /= sizes[:, None].astype(np.float32)
+        x += self.p["word"][rows]
+        return x, rows, grams, firsts
 
     def forward(self, x: np.ndarray, at: np.ndarray, keep: bool = False):
         """Logits of windows: at is (windows, WINDOW) into x, -1 where a window has no word."""
@@ -176,6 +182,16 @@ def split(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return flat, sizes
 
 
+def coded(texts: list[bytes]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """(codes, distinct words, words of each text): a code is a word's place among the distinct ones, in the order of coming.
+
+    The texts of a training sample hold millions of words, which are never objects all at once.
+    """
+    places: dict[bytes, int] = {}
+    codes = [np.fromiter((places.setdefault(w, len(places)) for w in words(t)), np.int32) for t in texts]
+    return np.concatenate(codes), list(places), np.fromiter(map(len, codes), np.int64, len(codes))
+
+
 def train(texts: list[bytes], toxic: list[int], steps: int = STEPS, seed: int = 7) -> Model:
     """A model from texts and their labels 0 and 1. Without both labels it has no arrays, and its scores are 0.
 
@@ -186,32 +202,34 @@ def train(texts: list[bytes], toxic: list[int], steps: int = STEPS, seed: int =
     label = np.array(toxic, np.float32)
     if not len(label) or label.min() == label.max():
         return Model({}, {})
-    flat, sizes = split(texts)
-    seen = Counter(flat.tolist())
-    common = sorted((w for w, n in seen.items() if n >= 3), key=lambda w: (-seen[w], w))[:VOCABULARY]
-    model = Model.fresh({w: i + 1 for i, w in enumerate(common)}, seed)
-    codes, distinct = pd.factorize(flat)
-    distinct = list(distinct)
+    codes, distinct, sizes = coded(texts)
+    seen = np.bincount(codes, minlength=len(distinct)).tolist()
+    common = sorted((-n, w) for w, n in zip(distinct, seen) if n >= 3)[:VOCABULARY]
+    model = Model.fresh({w: i + 1 for i, (_, w) in enumerate(common)}, seed)
     # a third of the texts sets the scale of the scores only
     fits = np.ones(len(label), bool)
     for k in (0, 1):
         if (label == k).sum() >= 6:
             fits[np.flatnonzero(label == k)[::3]] = False
-    lean(model, distinct, codes, np.repeat(np.arange(len(label)), sizes), label, fits)
-    codes = np.append(codes, -1)
+    lean(model, distinct, codes, np.repeat(np.arange(len(label), dtype=np.int32), sizes), label, fits)
+    codes = np.append(codes, np.int32(-1))
     starts, own = windows(sizes)
-    place = starts[:, None] + np.arange(WINDOW)
-    at = codes[np.where(place < np.cumsum(sizes)[own][:, None], place, len(flat))]
+    ends = np.cumsum(sizes)[own]
+    at = np.empty((len(starts), WINDOW), np.int32)
+    for k in range(0, len(starts), CHUNK):
+        place = starts[k : k + CHUNK, None] + np.arange(WINDOW)
+        at[k : k + CHUNK] = codes[np.where(place < ends[k : k + CHUNK, None], place, len(codes) - 1)]
     draw = np.random.default_rng(seed)
     clean, toxic_at = np.flatnonzero(fits[own] & (label[own] == 0)), np.flatnonzero(fits[own] & (label[own] == 1))
     lead = np.append(model.inputs(distinct)[0][:, 0] if len(distinct) else [], -9).astype(np.float32)
-    good, bad = clean, peaks(np.sort(lead[at], axis=1)[:, -3:].sum(1), own, toxic_at)
+    first = np.concatenate([np.sort(lead[at[k : k + CHUNK]], axis=1)[:, -3:].sum(1) for k in range(0, len(at), CHUNK)])
+    good, bad = clean, peaks(first, own, toxic_at)
     mean = {k: np.zeros_like(v) for k, v in model.p.items()}
     square = {k: np.zeros_like(v) for k, v in model.p.items()}
     for step in range(steps):
         if step >= steps // 3 and (step - steps // 3) % max(1, steps // 6) == 0:
             x = model.inputs(distinct)[0]
-            logit = np.concatenate([model.forward(x, at[k : k + 4096]) for k in range(0, len(at), 4096)])
+            logit = np.concatenate([model.forward(x, at[k : k + CHUNK]) for k in range(0, len(at), CHUNK)])
             bad = np.concatenate([peaks(logit, own, toxic_at), toxic_at[logit[toxic_at] > 1]])
             hard = clean[logit[clean] > -3]
             good = np.concatenate([clean, np.repeat(hard, 1 + len(clean) // (2 * len(hard) + 1))])  # a third or more of the draws
@@ -242,7 +260,7 @@ def train(texts: list[bytes], toxic: list[int], steps: int = STEPS, seed: int =
             if k in ("word", "gram"):
                 model.p[k][:, 1:] *= np.float32(1 - rate * DECAY)
     x = model.inputs(distinct)[0]
-    logit = np.concatenate([model.forward(x, at[k : k + 4096]) for k in range(0, len(at), 4096)])
+    logit = np.concatenate([model.forward(x, at[k : k + CHUNK]) for k in range(0, len(at), CHUNK)])
     worst = np.full(len(label), -np.inf)
     np.maximum.at(worst, own, logit)
     apart = ~fits if (label[~fits] == 1).any() and (label[~fits] == 0).any() else fits
@@ -285,7 +303,7 @@ def lean(model: Model, distinct: list[bytes], codes: np.ndarray, text: np.ndarra
     if not len(distinct):
         return
     _, rows, grams, firsts = model.inputs(distinct)
-    model.p["word"][:, 0] = odds(rows[codes], text, len(model.vocabulary) + 1)
+    model.p["word"][:, 0] = odds(rows.astype(np.int32)[codes], text, len(model.vocabulary) + 1)
     model.p["word"][0, 0] = 0
     model.p["gram"][:, 0] = odds(codes, text, GRAMS, np.diff(np.append(firsts, len(grams))), grams, firsts)
 

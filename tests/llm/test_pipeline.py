@@ -2,10 +2,12 @@ import glob
 
 import duckdb
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
 from keyloom.llm import licences, mixing, pii, registry, secrets, spans, toxicity
+from keyloom.llm.common import BATCH_BYTES
 from keyloom.llm.packing import packed
 from keyloom.storage import cut
 
@@ -48,6 +50,18 @@ def test_odd_rows_pass_all_stages(spark, documents, texts):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, DATA).count() >= docs.count()
 
 
+@pytest.mark.parametrize("name", ["toxicity", "simhash_near_dedup", "packing"])
+def test_workers_get_little_text_at_once(spark, no_documents, name):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    dict(corpus_pipeline.STAGES)[name](spark, no_documents, DATA)
+
+    def sizes(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([max(b.nbytes for b in batches)])], names=["n"])
+
+    wide = spark.range(0, 5000, 1, 1).selectExpr("id", "repeat('x', 2000) AS text")
+    assert wide.mapInArrow(sizes, "n long").first()[0] < 1.1 * BATCH_BYTES
+
+
 def masked(text, listed):
     """A text with its spans, kind:start:end, replaced one after the other, those that overlap as one under the first one's kind."""
     spans = sorted((int(a), int(b), k) for k, a, b in (x.split(":") for x in listed.split(",") if x))

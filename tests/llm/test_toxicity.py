@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -163,3 +164,15 @@ def test_pipeline_stage(spark, documents, texts, model):
     assert got.schema == documents.schema
     score = model.scores([(t or "").encode() for _, t in texts])
     assert sorted(str((r["doc_id"], r["text"])) for r in got.collect()) == sorted(str(t) for t, s in zip(texts, score) if s < 0.5)
+
+
+def test_training_on_long_texts_holds_little_memory():
+    """The words of a sample are never objects all at once: of 640,000 here, 131 bytes each before."""
+    draw = random.Random(3)
+    pool = ["".join(draw.choice("aeinrst") for _ in range(draw.randrange(2, 9))) for _ in range(20_000)]
+    texts = [" ".join(draw.choices(pool, k=T.MOST_WORDS)).encode() for _ in range(200)]
+    tracemalloc.start()
+    T.train(texts, [k % 5 == 0 for k in range(200)], steps=2)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 70 * 200 * T.MOST_WORDS
