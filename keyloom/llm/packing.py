@@ -23,8 +23,6 @@ END = 0
 RANKED = 2_000
 #: Most rows of the plan of bins that are broadcast; more are joined by a shuffle.
 BROADCAST = 100_000
-#: Pieces over whose lengths one search goes.
-SEARCHED = 2_000_000
 #: Split of pre-tokens of the byte-level vocabulary: a fixed value of that vocabulary.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Ids of the vocabulary's special tokens, as its JSON form reads them in a text: fixed values of that vocabulary.
@@ -239,15 +237,15 @@ def local_search(bins: Counter[Bin], limit: int = LIMIT) -> Counter[Bin]:
     return bins
 
 
-def plan(counts: Counter[int] | dict[int, int], limit: int = LIMIT, most: int = SEARCHED) -> Counter[Bin]:
-    """Bins for a histogram of lengths: best fit, then local search.
+def plan(counts: Counter[int] | dict[int, int], limit: int = LIMIT, most: int | None = None) -> Counter[Bin]:
+    """Bins for a histogram of lengths: best fit, then local search over all of it, however many pieces there are.
 
-    Of more than `most` pieces a q-th of each length is packed, that packing is taken q times, and what the division leaves is
-    planned in the same way; so the work follows `most` and the logarithm of the number of pieces. Where best fit over all of them
-    needs fewer sequences, that is the plan.
+    Only a caller that gives `most` gets less: of more than `most` pieces a q-th of each length is packed, that packing is taken q
+    times, and what the division leaves is planned in the same way; so the work follows `most` and the logarithm of the number of
+    pieces. Where best fit over all of them needs fewer sequences, that is the plan.
     """
     many = sum(counts.values())
-    if many <= most:
+    if most is None or many <= most:
         return local_search(best_fit(counts, limit), limit)
     q = -(-many // most)
     part = {k: n // q for k, n in counts.items() if n >= q}

@@ -119,3 +119,14 @@ def test_large_histograms_are_packed_in_parts():
     assert held == Counter({k: n for k, n in counts.items() if n})
     small = P.plan(Counter({k: n // 10**5 for k, n in counts.items()}), 100)
     assert sum(bins.values()) < 1.005 * 10**5 * (sum(small.values()) + 1)
+
+
+def test_one_search_goes_over_all_lengths_whatever_their_number():
+    counts = {k: 20_000 + k % 7 for k in range(600, 1101)}
+    bins = P.plan(counts)
+    assert sum(counts.values()) > 10**7 and bins == P.local_search(P.best_fit(counts))
+    held = Counter()
+    for own, m in bins.items():
+        for x, k in own:
+            held[x] += k * m
+    assert held == counts
