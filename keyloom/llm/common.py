@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from keyloom.storage import cut, remove, scratch, shared_folder
 
-__all__ = ["BATCH_BYTES", "bounded", "by_key", "components", "cut", "forest", "free_name", "hot_keys", "remove", "scratch", "shared_folder", "squeeze", "table", "text_batches", "unpacked"]
+__all__ = ["BATCH_BYTES", "bounded", "by_key", "components", "cut", "forest", "free_name", "hot_keys", "remove", "scratch", "shared_folder", "shuffled", "squeeze", "table", "text_batches", "unpacked"]
 
 #: Bytes of text that a Python worker handles at once.
 BATCH_BYTES = 2 << 20
@@ -47,6 +47,15 @@ def hot_keys(counts: DataFrame, key: str | list[str], n: str, whole: int) -> Dat
     return counts.where(F.col(n) > max(HOT_ROWS, whole // HOT)).select(key)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df for a join whose sides grow with the input: both are dealt by key, and none is broadcast, whatever Spark takes its size for.
+
+    Spark reckons that an explode and a Python function give one row for each they get, so it broadcasts what it takes for a few MB
+    and is a hundred times that.
+    """
+    return df.hint("merge")
+
+
 def by_key(rows: DataFrame, classes: DataFrame, key: str | list[str], hot: DataFrame, how: str = "inner") -> DataFrame:
     """rows joined with classes, which have one row a key, so that no key's rows meet in one task.
 
@@ -55,7 +64,7 @@ def by_key(rows: DataFrame, classes: DataFrame, key: str | list[str], hot: DataF
     """
     many = F.broadcast(hot.select(key))  # HOT rows at most
     here = rows.join(many, key, "left_semi").join(F.broadcast(classes.join(many, key, "left_semi")), key, how)  # HOT rows at most
-    return here.union(rows.join(many, key, "left_anti").join(classes, key, how).select(here.columns))
+    return here.union(rows.join(many, key, "left_anti").join(shuffled(classes), key, how).select(here.columns))
 
 
 def text_batches(batches: Iterator[pa.RecordBatch], key: str = "doc_id", text: str = "text") -> Iterator[tuple[pa.Array, list[bytes]]]:
@@ -130,9 +139,9 @@ def components(links: DataFrame) -> DataFrame:
         # u > v from here on; a fixed point is a set of stars around the smallest nodes
         both = edges.union(edges.select("v", "u")).toDF("u", "v").distinct()
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(shuffled(least), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        small = large.join(shuffled(least), "u")
         small = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         edges = cut(small.mapInArrow(_forests, "u long, v long") if seen is None else small)
         state = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import by_key, components, cut, free_name, hot_keys, squeeze, text_batches, unpacked
+from keyloom.llm.common import by_key, components, cut, free_name, hot_keys, shuffled, squeeze, text_batches, unpacked
 
 SEED = 42
 BITS = 64
@@ -97,7 +97,7 @@ def links(distinct: DataFrame, distance: int = 3) -> DataFrame:
     apart = F.col("rest").bitwiseXOR(F.col("other"))
     for j in range(3):
         once &= (F.col("part") <= j) | (F.shiftright(apart, 8 * j).bitwiseAND(F.lit(255)) != 0)
-    met = probes.join(held, ["segment", "value", "part", "byte"]).where(near & once)
+    met = probes.join(shuffled(held), ["segment", "value", "part", "byte"]).where(near & once)
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
@@ -112,7 +112,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 3) -> DataF
     prints = cut(fingerprint(docs, width))
     nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")))
     roots = components(links(nodes.select("fp"), distance))
-    placed = cut(nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
+    placed = cut(nodes.join(shuffled(roots), F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("held"))
     n, whole = nodes.agg(F.count("*"), F.coalesce(F.sum("copies"), F.lit(0))).first()
     classes = by_key(placed, least.drop("held"), "root", hot_keys(least, "root", "held", n)).select("fp", "component_id")
@@ -343,11 +343,11 @@ def _linked(numbered: DataFrame, pairs: DataFrame, width: int, similarity: float
     """(a, b) of the pairs (hub, node) of rows whose sets reach the similarity."""
     # each node's text once, with the hubs it is compared with; a hub leads each share of its members
     shares = pairs.groupBy("hub").agg(F.count("*").alias("members")).select("hub", F.ceil(F.col("members") / SHARE).cast("int").alias("shares"))
-    asked = pairs.join(shares, "hub").select("node", F.struct("hub", F.pmod(F.xxhash64("node"), F.col("shares")).cast("int").alias("part"), F.lit(False).alias("leads")).alias("h"))
+    asked = pairs.join(shuffled(shares), "hub").select("node", F.struct("hub", F.pmod(F.xxhash64("node"), F.col("shares")).cast("int").alias("part"), F.lit(False).alias("leads")).alias("h"))
     leads = shares.select(F.col("hub").alias("node"), F.explode(F.transform(F.sequence(F.lit(0), F.col("shares") - 1), lambda k: F.struct(F.col("hub"), k.alias("part"), F.lit(True).alias("leads")))).alias("h"))
     wanted = asked.union(leads).groupBy("node").agg(F.collect_list("h").alias("hubs"))
     squeezed = numbered.select("row", "text").mapInArrow(squeeze, "row long, text binary")
-    texts = squeezed.join(wanted, squeezed.row == wanted.node).select("node", "text", "hubs")
+    texts = squeezed.join(shuffled(wanted), F.col("row") == F.col("node")).select("node", "text", "hubs")
     sets = texts.mapInArrow(_sets(width), "node long, shingles binary, hubs array<struct<hub:long,part:int,leads:boolean>>")
     each = sets.select("node", "shingles", F.explode("hubs").alias("h")).select("h.hub", "h.part", "h.leads", "node", "shingles")
     # written before the links are joined, so that a task has one Python worker at a time
@@ -383,10 +383,10 @@ def representatives(docs: DataFrame, width: int = 5, similarity: float = SIMILAR
     # the fingerprint is one more view; fingerprints near each other join the buckets of both
     owns = nodes.select("node", F.posexplode(F.concat("views", F.array("fp"))).alias("view", "value"))
     least = owns.groupBy("view", "value").agg(F.min("node").alias("hub"), F.max("node").alias("other"), F.count("*").alias("held"))
-    inside = owns.join(least.where("held > 1"), ["view", "value"]).select(F.explode(F.array("hub", "other")).alias("hub"), "node")
+    inside = owns.join(shuffled(least.where("held > 1")), ["view", "value"]).select(F.explode(F.array("hub", "other")).alias("hub"), "node")
     heads = least.where(F.col("view") == VIEWS).select(F.col("value").alias("fp"), "hub")
     near = links(heads.select("fp"), distance)
-    across = near.join(heads.select(F.col("fp").alias("a"), F.col("hub").alias("p")), "a").join(heads.select(F.col("fp").alias("b"), F.col("hub").alias("q")), "b")
+    across = near.join(shuffled(heads.select(F.col("fp").alias("a"), F.col("hub").alias("p"))), "a").join(shuffled(heads.select(F.col("fp").alias("b"), F.col("hub").alias("q"))), "b")
     across = across.select(F.least("p", "q").alias("hub"), F.greatest("p", "q").alias("node"))
     pairs = cut(inside.union(across).where("hub <> node").distinct())
 
@@ -394,7 +394,7 @@ def representatives(docs: DataFrame, width: int = 5, similarity: float = SIMILAR
 
     # pairs that no bucket linked: all that share a token of their prefixes and are not in one component yet
     stars = roots.select("node", "root")
-    rooted = nodes.join(stars.withColumnRenamed("node", "own"), F.col("node") == F.col("own"), "left").select("node", F.coalesce("root", "node").alias("root"), "prefix", "held", "bits")
+    rooted = nodes.join(shuffled(stars.withColumnRenamed("node", "own")), F.col("node") == F.col("own"), "left").select("node", F.coalesce("root", "node").alias("root"), "prefix", "held", "bits")
     places = rooted.mapInArrow(_places(common, counts), PLACES)
     met = places.repartition("key").sortWithinPartitions("key", "size").mapInArrow(_meetings(similarity), "hub long, node long")
     rest = cut(met.distinct())
@@ -402,7 +402,7 @@ def representatives(docs: DataFrame, width: int = 5, similarity: float = SIMILAR
     few = ends.limit(FEW + 1).count() <= FEW
     asked = numbered.join(F.broadcast(ends), F.col("row") == F.col("end"), "left_semi") if few else numbered
     roots = components(stars.toDF("a", "b").union(_linked(asked, rest, width, similarity)))
-    placed = nodes.select("node", "first").join(roots.withColumnRenamed("node", "own"), F.col("node") == F.col("own"), "left").select("first", F.coalesce("root", "node").alias("root"))
+    placed = nodes.select("node", "first").join(shuffled(roots.withColumnRenamed("node", "own")), F.col("node") == F.col("own"), "left").select("first", F.coalesce("root", "node").alias("root"))
     kept = placed.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
     kept = kept.union(prints.where("size = 0").select("row")).withColumnRenamed("row", name)
     return rows.join(kept, name, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

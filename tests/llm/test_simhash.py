@@ -6,6 +6,8 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from keyloom.llm import common, simhash
 
 
@@ -142,3 +144,17 @@ def test_components_of_long_chains(spark):
     got = {r["node"]: r["root"] for r in common.components(links).collect()}
     assert got == {k: 0 for k in range(201)} | {300: 300, 400: 300, 500: 300}
     assert common.components(links.limit(0)).collect() == []
+
+
+def test_what_an_explode_makes_is_never_broadcast(spark):
+    """Probes are 33 times their fingerprints, which Spark doesn't reckon with; only hot values, which are asked for, may be broadcast."""
+    prints = spark.createDataFrame([(k * k * 7919,) for k in range(50)], "fp long")
+    found = simhash.links(prints)
+    found.collect()
+    joins = re.findall(r"(BroadcastHashJoin|SortMergeJoin) (\[.*?\])", found._jdf.queryExecution().executedPlan().toString())
+    assert any("byte" in keys for _, keys in joins)
+    assert all(kind == "SortMergeJoin" for kind, keys in joins if "byte" in keys)
+    edges = spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")
+    kept = common.by_key(edges, edges.groupBy("a").agg(F.max("b").alias("most")), "a", edges.select("a").where("a > 1"))
+    assert sorted(map(tuple, kept.collect())) == [(1, 2, 2), (2, 3, 3)]
+    assert "SortMergeJoin" in kept._jdf.queryExecution().executedPlan().toString()
