@@ -9,11 +9,11 @@ from __future__ import annotations
 
 import json
 import time
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,6 +29,7 @@ ENVELOPE = "message_type string, key string, payload string, seq long"
 #: What a stage returns: messages it sent, and one row for each event that the counters count.
 RESULT = "kind string, message_type string, key string, payload string, seq long, place binary, state binary"
 NAMES = [c.split()[0] for c in RESULT.split(", ")]
+TYPES = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.binary()]
 KINDS = ("message", "created", "dispatched", "processed", "failed", "unkeyed", "unsent", "output_failed", "evicted", "deleted", "timing", "state")
 #: Most messages that a bulk handler gets at once, over tables and over streams.
 PILE = 1000
@@ -80,6 +81,7 @@ class Options:
     output_span, evict_span: output passes and eviction checks fall due whenever seq passes a multiple of them; null is never.
     end: where the input ends, for the output passes after an instance's last message. final_output: one more pass at the end.
     stop: passivate what is left. keep: return instances as `state` rows, null ones for those that are gone.
+    kinds: the kinds of rows that are returned, all without it. fold: what output passes repeat is one row, with their number.
     """
 
     cluster: str = ""
@@ -90,6 +92,8 @@ class Options:
     output_span: int | None = None
     evict_span: int | None = None
     end: int | None = None
+    kinds: frozenset[str] | None = None
+    fold: bool = False
 
 
 class Runner:
@@ -195,22 +199,47 @@ class Runner:
         return out
 
     def passed(self, own: Any, key: str, last: int | None, now: int, out: list[tuple]) -> Any:
-        """What falls due for an instance from its last seq to `now`: passes in order, the check that ends a span after its pass."""
+        """What falls due for an instance from its last seq to `now`: passes in order, the check that ends a span after its pass.
+
+        Two passes in a row that leave the instance as it was and give the same tell what the passes up to `now` give: they are
+        repeated and not called, unless a check lets the instance go.
+        """
         o = self.o
         if own is None or last is None or now <= last:
             return own
-        puts = _dues(last, now, o.output_span) if self.processor.outputs else ()
-        checks = _dues(last, now, o.evict_span)
-        if not puts:
-            checks = checks[:1]  # without a message or an output an instance stays as it is, so later checks would find the same
-        dues = sorted({*puts, *checks})
-        for due in dues:
-            if own is not None and due in puts:
-                self.put_out(own, key, due, out)
-            if due in checks:
-                own = self.check(own, key, due, out)
+        every, at = o.output_span if self.processor.outputs else None, last
+        before, given, asked = None, None, True
+        while own is not None:
+            put, check = _next(at, now, every), _next(at, now, o.evict_span)
+            at = min(put, check)
+            if at > now:
+                break
+            if at == put:
+                first = len(out)
+                self.put_out(own, key, at, out)
+                left = (now - at) // every
+                if left > 1 or left and before is not None:
+                    state, rows = _frozen(own), [(*r[:4], *r[5:]) for r in out[first:]]
+                    same = state is not None and state == before and rows == given
+                    before, given, asked = state, rows, same and asked or check > now
+                    if same and asked:
+                        self.repeat(out[first:], left, out)
+                        break
+            if at == check:
+                own, asked = self.check(own, key, at, out), True
+                if not every:
+                    break  # without a message or an output an instance stays as it is, so later checks would find the same
         return own
 
+    def repeat(self, rows: list[tuple], times: int, out: list[tuple]) -> None:
+        """The rows of a pass once more for each of the passes after it, or with their number where passes are folded."""
+        self.spent["output"][0] += times
+        step = self.o.output_span
+        if self.o.fold:
+            out += [(*r[:4], r[4] + step, r[5], times) for r in rows]
+        else:
+            out += [(*r[:4], r[4] + k * step, *r[5:]) for k in range(1, times + 1) for r in rows]
+
     def close(self, own: Any, key: str, seq: int, out: list[tuple]) -> None:
         own = self.passed(own, key, seq, self.o.end, out) if self.o.end is not None else own
         if own is not None and self.o.final_output:
@@ -224,10 +253,21 @@ class Runner:
     def _due(self, last: int | None, now: int) -> bool:
         return last is not None and any(s and now // s > last // s for s in (self.o.output_span, self.o.evict_span))
 
-    def __call__(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def batch(self, out: list[tuple]) -> pa.RecordBatch:
+        """Rows as Arrow, without those of kinds that are not asked for."""
+        if self.o.kinds is not None:
+            out = [r for r in out if r[0] in self.o.kinds]
+        columns = list(zip(*out)) or [()] * len(NAMES)
+        if not self.o.fold:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, TYPES)], names=NAMES)
+        # of a folded row the last field is its number
+        times, state = [x if type(x) is int else 1 for x in columns[-1]], [None if type(x) is int else x for x in columns[-1]]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*columns[:-1], state, times], [*TYPES, pa.int64()])], names=[*NAMES, "times"])
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, own, last, pile, out = None, None, None, [], []
         for batch in batches:
-            for kind, k, body, at, where, state in zip(batch["message_type"], batch["key"], batch["payload"], batch["seq"], batch["place"], batch["state"]):
+            for kind, k, body, at, where, state in zip(*(c.to_pylist() for c in batch.columns)):
                 if k != key:
                     if key is not None:
                         self.close(self.handle(own, key, pile, out), key, last or 0, out)
@@ -238,14 +278,14 @@ class Runner:
                 if kind == "":  # a key that is to have an instance before its first message
                     own = self.get(own, key, [], out)
                     continue
-                m = self.read(kind, body, int(at), bytes(where or b""))
+                m = self.read(kind, body, at, where or b"")
                 own, pile, last = self.next(own, key, pile, last, m, out)
                 if len(out) > 20_000:
-                    yield pd.DataFrame(out, columns=NAMES)
+                    yield self.batch(out)
                     out = []
         if key is not None:
             self.close(self.handle(own, key, pile, out), key, last or 0, out)
-        yield pd.DataFrame(out + self.timings(), columns=NAMES)
+        yield self.batch(out + self.timings())
 
     def next(self, own: Any, key: str, pile: list[Message], last: int | None, m: Message, out: list[tuple]) -> tuple[Any, list[Message], int]:
         """One more message: due passes come first, and full piles are handled."""
@@ -258,15 +298,32 @@ class Runner:
         return own, pile, m.seq
 
 
-def _dues(last: int, now: int, span: int | None) -> range:
-    return range((last // span + 1) * span, now + 1, span) if span else range(0)
+def _next(last: int, now: int, span: int | None) -> int:
+    return (last // span + 1) * span if span else now + 1
+
+
+def _frozen(own: Any) -> bytes | None:
+    """An instance as bytes, by which two states compare; null if it has none."""
+    try:
+        return cloudpickle.dumps(own)
+    except Exception:
+        return None
+
+
+def unfolded(results: DataFrame, span: int | None) -> DataFrame:
+    """Results of RESULT's columns; what passes at intervals of span repeat, as a row for each of them."""
+    if "times" not in results.columns:
+        return results
+    each = F.explode(F.when(F.col("times") > 1, F.sequence(F.col("seq"), F.col("seq") + (F.col("times") - 1) * span, F.lit(span).cast("long"))).otherwise(F.array("seq")))
+    return results.select("*", each.alias("at")).select(*[F.col("at").alias("seq") if c == "seq" else F.col(c) for c in NAMES])
 
 
 def imperative(
     messages: DataFrame, processor: Processor, cluster: str = "", bulk: bool = False, final_output: bool = False, stop: bool = False, keep: bool = False,
     state: DataFrame | None = None, keys: DataFrame | None = None, output_span: int | None = None, evict_span: int | None = None, end: int | None = None,
+    kinds: Iterable[str] | None = None, fold: bool = False,
 ) -> DataFrame:
-    """Results of a processor over envelope rows; see RESULT and Options.
+    """Results of a processor over envelope rows; see RESULT and Options. With fold they have a column `times`, see unfolded().
 
     keep returns each instance as a `state` row; state takes such rows (key, seq, state), so a later run goes on from them. keys:
     a table with a column `key`, each of which gets an instance before its first message. Messages with null keys are left out.
@@ -278,12 +335,12 @@ def imperative(
         rows = rows.union(state.where("state IS NOT NULL").select(F.lit("").alias("message_type"), "key", last.alias("payload"), first(0), F.lit(b"").alias("place"), "state"))
     if keys is not None:
         rows = rows.union(keys.where("key IS NOT NULL").select(F.lit("").alias("message_type"), F.col("key").cast("string"), F.lit("").alias("payload"), first(1), F.lit(b"").alias("place"), F.lit(None).cast("binary").alias("state")).distinct())
-    options = Options(cluster, bulk, final_output, stop, keep, output_span, evict_span, end)
+    options = Options(cluster, bulk, final_output, stop, keep, output_span, evict_span, end, None if kinds is None else frozenset(kinds), fold)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from Runner(processor, options)(batches)
 
-    return rows.repartition("key").sortWithinPartitions("key", "seq", "place", "message_type", "payload").mapInPandas(run, RESULT)
+    return rows.repartition("key").sortWithinPartitions("key", "seq", "place", "message_type", "payload").mapInArrow(run, f"{RESULT}, times long" if fold else RESULT)
 
 
 def sent(results: DataFrame) -> DataFrame:
@@ -376,7 +433,7 @@ def span(every: Any, per_second: float) -> int | None:
     return max(1, round(seconds * per_second))
 
 
-def run(topology: Topology, messages: DataFrame, rounds: int | None = None, states: dict[str, DataFrame] | None = None, per_second: float = 1.0) -> dict[str, DataFrame]:
+def run(topology: Topology, messages: DataFrame, rounds: int | None = None, states: dict[str, DataFrame] | None = None, per_second: float = 1.0, kinds: Iterable[str] | None = None, fold: bool = False) -> dict[str, DataFrame]:
     """All clusters over messages until none is left to handle: {cluster: results}.
 
     Each round gives every cluster what the last one sent to it, its instances going on from the round before; so topologies
@@ -386,8 +443,11 @@ def run(topology: Topology, messages: DataFrame, rounds: int | None = None, stat
     Over tables seq is the clock, per_second of its units a second: a cluster's output passes and eviction checks fall due
     whenever seq passes a multiple of their interval, without one never. Passes between a key's last message and the end of the
     input run when nothing is pending; what they send is then handled too. A key source makes its instances in the first round.
+
+    kinds: the kinds of rows that are wanted of the results, all without it; messages may be among them or not. fold: results have a
+    column `times`, above 1 for what so many output passes in a row gave, the first of them at seq; without it each has its row.
     """
-    pending = cut(placed(messages))
+    pending, kinds = cut(placed(messages)), None if kinds is None else tuple(kinds)
     spark = pending.sparkSession
     live = [c for c in topology.clusters if c.processor is not None]
     state = {c.name: States((states or {}).get(c.name)) for c in live}
@@ -398,25 +458,28 @@ def run(topology: Topology, messages: DataFrame, rounds: int | None = None, stat
 
     def turn(c: Any, own: DataFrame, keys: DataFrame | None = None, among: DataFrame | None = None, end: int | None = None) -> DataFrame:
         output_span, evict_span = spans[c.name]
-        done = cut(imperative(own, c.processor, c.name, c.bulk, keep=True, state=state[c.name].all(among), keys=keys, output_span=output_span, evict_span=evict_span, end=end))
+        folds = bool(output_span and c.processor.outputs)
+        given = None if kinds is None else {"message", "state", *kinds}
+        done = cut(imperative(own, c.processor, c.name, c.bulk, keep=True, state=state[c.name].all(among), keys=keys, output_span=output_span, evict_span=evict_span, end=end, kinds=given, fold=folds))
         state[c.name].add(done.where("kind = 'state'").select("key", "seq", "state"))
         rest = done.where("kind <> 'state'")
-        found[c.name].add(rest)
-        return rest
+        wanted = rest if kinds is None else rest.where(F.col("kind").isin(*kinds))
+        found[c.name].add((wanted if folds else wanted.withColumn("times", F.lit(1).cast("long"))) if fold else unfolded(wanted, output_span))
+        return unfolded(rest.where("kind = 'message'"), output_span)
 
     def all_sent(results: list[DataFrame]) -> DataFrame | None:
         out = None
         for own in results:
             out = sent(own) if out is None else out.union(sent(own))
-        return cut(out) if out is not None else None
+        return out
 
     handled = frozenset().union(*(c.handled() for c in live))
     none = placed(messages).limit(0)
     done, closed = 0, not timed or end is None
     while True:
         # types of messages, which the topology bounds
-        kinds = {r[0] for r in pending.select("message_type").distinct().collect()} & handled if pending is not None else set()
-        if not kinds and done:
+        types = {r[0] for r in pending.where(F.col("message_type").isin(*sorted(handled))).select("message_type").distinct().collect()} if pending is not None else set()
+        if not types and done:
             if closed:
                 break
             closed, pending = True, all_sent([turn(c, none, end=end) for c in timed])
@@ -426,7 +489,7 @@ def run(topology: Topology, messages: DataFrame, rounds: int | None = None, stat
         results = []
         for c in live:
             keys = spark.createDataFrame([(str(k),) for k in c.key_source()], "key string") if c.key_source and not done else None
-            if not kinds & c.handled() and keys is None and done:
+            if not types & c.handled() and keys is None and done:
                 continue
             own = pending.where(F.col("message_type").isin(*sorted(c.handled())))
             results.append(turn(c, own, keys, own.select("key").distinct() if keys is None else None))

@@ -383,11 +383,12 @@ SELECT user_id::VARCHAR AS user_id, any_value(last) - min(event_id) // 1000 AS t
 def output_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two output methods, called at each pass of one cluster; in a cluster without a schedule they never are."""
     node = Node.builder("sample").default_routing("managed").receiver().cluster("timed").mp(samples.Outspoken()).output_every(1000).cluster("silent").mp(samples.Outspoken()).build()
-    found = planner.execute(spark, node, messages=event_messages(spark, sf_dir))
+    found = planner.execute(spark, node, messages=event_messages(spark, sf_dir), kinds=("created", "message"), fold=True)
     each = planner.together([found[c].where("key IS NOT NULL").withColumn("cluster", F.lit(c)) for c in ("timed", "silent")])
     total, n = F.col("message_type").eqNullSafe("total") & (F.col("kind") == "message"), F.get_json_object("payload", "$.count").cast("long")
     timed = F.col("cluster") == "timed"
-    counted = F.count_if(total & timed & (n > 0)).alias("totals"), F.count_if(total & timed & (n < 0)).alias("again"), F.count_if(total & ~timed).alias("unscheduled")
+    passes_of = lambda rows: F.coalesce(F.sum(F.when(rows, F.col("times"))), F.lit(0)).cast("long")
+    counted = passes_of(total & timed & (n > 0)).alias("totals"), passes_of(total & timed & (n < 0)).alias("again"), passes_of(total & ~timed).alias("unscheduled")
     return each.groupBy(F.col("key").alias("user_id")).agg(*counted)
 
 

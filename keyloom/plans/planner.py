@@ -8,7 +8,7 @@ nothing here.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,11 +37,11 @@ def read(spark: SparkSession, topology: Topology) -> list[DataFrame]:
     return [placed(c.adaptor.read(spark)).select(*MESSAGE) for c in topology.clusters if c.adaptor is not None]
 
 
-def execute(spark: SparkSession, *nodes: Node, messages: DataFrame | None = None, per_second: float = 1.0, rounds: int | None = None, states: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+def execute(spark: SparkSession, *nodes: Node, messages: DataFrame | None = None, per_second: float = 1.0, rounds: int | None = None, states: dict[str, DataFrame] | None = None, kinds: Iterable[str] | None = None, fold: bool = False) -> dict[str, DataFrame]:
     """All clusters of the nodes over what their adaptors read, and over `messages`: {cluster: results}. See run()."""
     topology = Topology(*[n.validate() for n in nodes])
     given = [placed(messages).select(*MESSAGE)] if messages is not None else []
-    return run(topology, together(read(spark, topology) + given), rounds, states, per_second)
+    return run(topology, together(read(spark, topology) + given), rounds, states, per_second, kinds, fold)
 
 
 def _keys(spark: SparkSession, c: Cluster) -> DataFrame | None:

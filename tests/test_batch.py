@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from keyloom.model import TypedMessage, to_json
 from keyloom.operators import fanout, feedback, joins, lifecycle, metrics, routing, shedding
 from keyloom.plans import planner, samples
-from keyloom.plans.batch import ENVELOPE, Declarative, States, Unfinished, imperative, place, run, sent
+from keyloom.plans.batch import ENVELOPE, NAMES, Declarative, States, Unfinished, imperative, place, run, sent, unfolded
 from keyloom.processor import Mp, MpFactory, Processor
 from keyloom.sources.adaptors import ADAPTORS, DispatcherAdaptor, DummyDispatcher, Registry, from_json_messages, json_messages, null_sink
 from keyloom.topology import Node, Topology, TopologyError
@@ -266,3 +266,35 @@ def test_node_counters(spark):
     df = spark.createDataFrame([(["a"], False), (["a", "b"], False), (["c"], False), (["b"], True), (None, False)], "types array<string>, gone boolean")
     got = metrics.node_counts(routing.receiving(df, {"a": ["x", "y"], "b": ["x"]}, F.col("types")), discarded="gone").first()
     assert got.asDict() == {"received": 5, "discarded": 1, "sent": 5, "not_sent": 2}
+
+
+def test_passes_that_repeat_are_folded_and_their_methods_not_called(spark):
+    class Outs(Mp):
+        def __init__(self):
+            self.n, self.calls = 0, 0
+
+        def handle(self, message):
+            self.n += 1
+            self.fresh = 3
+
+        def output(self):
+            if self.fresh:
+                self.fresh -= 1
+            return TypedMessage("k", {"n": self.n, "fresh": self.fresh}, ("out",))
+
+    node = Node.builder("a").default_routing("managed").receiver().cluster("c").mp(MpFactory.make(Outs, "event", outputs=True)).output_every(10).build()
+    rows = messages(spark, [(1, 1), (2001, 1), (10_000, 2)])
+    want = [(k, s, n, f) for k, begin, end, n in ((1, 0, 200, 1), (1, 200, 1000, 2), (2, 1000, 1000, 1)) for s, f in ((10 * (begin + i + 1), max(2 - i, 0)) for i in range(end - begin))]
+    read = lambda r: (r["seq"], json.loads(r["payload"])["n"], json.loads(r["payload"])["fresh"])
+    got = planner.execute(spark, node, messages=rows)["c"]
+    assert sorted(map(read, got.where("message_type = 'out'").collect())) == [w[1:] for w in want] and got.columns == NAMES
+    assert metrics.timers(got).where("timer = 'output'").first()["passes"] == len(want)
+    folded = planner.execute(spark, node, messages=rows, kinds=("message",), fold=True)["c"]
+    assert folded.count() < 20 and {r["kind"] for r in folded.collect()} == {"message"}
+    assert sorted(map(read, unfolded(folded, 10).collect())) == [w[1:] for w in want]
+
+
+def test_checks_between_passes_that_repeat(spark):
+    got = kinds(imperative(messages(spark, [(0, 1), (1, 1), (2, 2), (3000, 1), (3000, 2)]), samples.evicting(2), output_span=10, evict_span=500, end=6000))
+    # key 1 goes at 500 after 50 passes, comes back at 3000 and stays; key 2 goes at 3500
+    assert got["evicted"] == 1 + 1 and got["message"] == 5 + 50 + 300 + 300 + 50
