@@ -19,6 +19,8 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import asdict, dataclass, fields, is_dataclass
+from functools import lru_cache
+from json.encoder import c_make_encoder, encode_basestring_ascii
 from typing import Any
 
 
@@ -137,6 +139,17 @@ def unwind(value: Any) -> Iterator[Any]:
         yield value
 
 
+def unwound(value: Any) -> list[Any]:
+    """unwind() as a list, soon done for the results that are usual."""
+    if value is None:
+        return []
+    if hasattr(type(value), "__dataclass_fields__"):
+        return [value]
+    if type(value) is list:
+        return [y for x in value for y in unwound(x)]
+    return list(unwind(value))
+
+
 class KeyExtractor:
     """Objects to keyed messages; what a class is addressed by is looked up once."""
 
@@ -151,15 +164,18 @@ class KeyExtractor:
             if isinstance(one, TypedMessage):
                 out.append(one)
                 continue
-            cls = type(one)
-            if cls not in self._known:
-                pairs = addressed(cls)
-                if not pairs:
-                    raise ModelError(f"{cls.__name__} has no message type")
-                self._known[cls] = pairs
-            out += [TypedMessage(getattr(one, method)(), one, (t,)) for t, method in self._known[cls]]
+            out += [TypedMessage(getattr(one, method)(), one, (t,)) for t, method in self.pairs(type(one))]
         return out
 
+    def pairs(self, cls: type) -> list[tuple[str, str]]:
+        """(type id, key method) pairs of a class; see addressed()."""
+        if cls not in self._known:
+            pairs = addressed(cls)
+            if not pairs:
+                raise ModelError(f"{cls.__name__} has no message type")
+            self._known[cls] = pairs
+        return self._known[cls]
+
     def has_key(self, cls: type) -> bool:
         """Whether results of cls can be sent on; others are dropped and counted."""
         return cls is TypedMessage or bool(addressed(cls))
@@ -171,11 +187,39 @@ class KeyExtractor:
 CLASS = "__class__"
 
 
+_encoder, _scan = json.JSONEncoder(default=str, sort_keys=True), json.JSONDecoder().scan_once
+_encode = _encoder.encode
+#: Values that asdict() gives as they are.
+FLAT = {str, int, float, bool, type(None)}
+_FIXED = c_make_encoder(None, str, encode_basestring_ascii, None, ": ", ", ", True, False, True) if c_make_encoder else None
+
+
+def _flat(body: dict[str, Any]) -> str:
+    """A dictionary of texts to FLAT values as JSON, by an encoder that is made once and not for each."""
+    return "".join(_FIXED(body, 0)) if _FIXED else _encode(body)
+
+
+@lru_cache(1024)
+def _shape(cls: type) -> tuple[tuple[str, ...], str | None]:
+    """A dataclass's fields, and the name of the class if it goes by types of a class above its own."""
+    return tuple(f.name for f in fields(cls)), type_id(cls) if any(own_types(level) for level in cls.__mro__[1:]) else None
+
+
+@lru_cache(1024)
+def _names(cls: type) -> frozenset[str]:
+    return frozenset(_shape(cls)[0])
+
+
 def to_json(message: Any) -> str:
-    body = asdict(message) if is_dataclass(message) else message if isinstance(message, dict) else {"value": message}
-    if is_dataclass(message) and any(own_types(level) for level in type(message).__mro__[1:]):
-        body = body | {CLASS: type_id(type(message))}
-    return json.dumps(body, default=str, sort_keys=True)
+    if not is_dataclass(message) or isinstance(message, type):
+        return _encode(message if isinstance(message, dict) else {"value": message})
+    names, named = _shape(type(message))
+    body = {n: getattr(message, n) for n in names}
+    if named is not None:
+        body[CLASS] = named
+    if FLAT.issuperset(map(type, body.values())):
+        return _flat(body)
+    return _encode(asdict(message) | ({} if named is None else {CLASS: named}))
 
 
 def _below(cls: type) -> Iterator[type]:
@@ -186,11 +230,17 @@ def _below(cls: type) -> Iterator[type]:
 
 def from_json(cls: type | None, body: str) -> Any:
     """The message of a body: of cls, or of the class below it that the body names, where that is known here."""
-    found = json.loads(body)
+    try:
+        found, end = _scan(body, 0)
+        if end != len(body):
+            found = json.loads(body)
+    except (StopIteration, TypeError, ValueError):
+        found = json.loads(body)  # white space before it, bytes, or an error that says where
     if cls is None:
         return found.get("value", found) if isinstance(found, dict) else found
     named = found.pop(CLASS, None)
     if named is not None:
         cls = next((c for c in _below(cls) if type_id(c) == named), cls)
-    names = {f.name for f in fields(cls)} if is_dataclass(cls) else set(found)
-    return cls(**{k: v for k, v in found.items() if k in names})
+    if is_dataclass(cls) and not found.keys() <= (names := _names(cls)):
+        found = {k: v for k, v in found.items() if k in names}
+    return cls(**found)

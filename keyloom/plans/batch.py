@@ -18,9 +18,9 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyloom.model import KeyedMessage, KeyExtractor, ModelError, from_json, to_json
+from keyloom.model import KeyedMessage, KeyExtractor, ModelError, TypedMessage, from_json, to_json
 from keyloom.processor import Processor
-from keyloom.storage import cut
+from keyloom.storage import cut, written
 from keyloom.topology import Topology, TopologyError
 
 #: Messages travel so: a type id, the key as text, the body as JSON, and their place in the order of arrival. A column `place`
@@ -106,6 +106,7 @@ class Runner:
         self.processor, self.o = processor, options
         self.keys = KeyExtractor()
         self.spent = {"output": [0, 0.0], "evict": [0, 0.0]}
+        self.tells_dispatched, self.tells_processed = (options.kinds is None or k in options.kinds for k in ("dispatched", "processed"))
         processor.begin(options.cluster)
 
     def read(self, kind: str, body: str, seq: int, at: bytes) -> Message:
@@ -118,7 +119,7 @@ class Runner:
         """Results as messages, from the nth of their cause on; unkeyed: of a class without a key; unsent: its key failed."""
         for r in results:
             try:
-                sent = [(t, str(m.key), to_json(m.message)) for m in self.keys.extract(r) for t in m.types]
+                sent = self.sent(r)
             except ModelError:
                 out.append(("unkeyed", type(r).__name__, None, None, seq, parent, None))
                 continue
@@ -130,6 +131,17 @@ class Runner:
                 nth += 1
         return nth
 
+    def sent(self, r: Any) -> list[tuple[str, str, str]]:
+        """(type, key, body) of each message that a result is."""
+        if hasattr(type(r), "__dataclass_fields__") and not isinstance(r, TypedMessage):
+            found = [(t, getattr(r, method)()) for t, method in self.keys.pairs(type(r))]
+            for _, k in found:
+                if k is None:
+                    raise ModelError("a key may not be null")
+            body = to_json(r)
+            return [(t, str(k), body) for t, k in found]
+        return [(t, str(m.key), to_json(m.message)) for m in self.keys.extract(r) for t in m.types]
+
     def get(self, own: Any, key: str, group: list[Message], out: list[tuple], state: bytes | None = None) -> Any:
         """The instance, made and activated if there is none; null if that fails, and then its messages are lost and counted."""
         if own is not None:
@@ -145,9 +157,10 @@ class Runner:
 
     def handle(self, own: Any, key: str, pile: list[Message], out: list[tuple]) -> Any:
         """Handle messages that are at hand, all at once if in bulk; the instance then, or null if it was never made."""
-        out += [("failed", m.kind, key, m.wrong, m.seq, m.place, None) for m in pile if m.wrong]
-        out += [("dispatched", m.kind, key, None, m.seq, m.place, None) for m in pile if m.wrong]
         good = [m for m in pile if not m.wrong]
+        if len(good) < len(pile):
+            out += [("failed", m.kind, key, m.wrong, m.seq, m.place, None) for m in pile if m.wrong]
+            out += [("dispatched", m.kind, key, None, m.seq, m.place, None) for m in pile if m.wrong]
         for group in ([good] if self.o.bulk else [[m] for m in good]) if good else []:
             own = self.get(own, key, group, out)
             if own is None:
@@ -163,6 +176,23 @@ class Runner:
             self.send(results, group[-1].seq, group[-1].place, out)
         return own
 
+    def handle_one(self, own: Any, key: str, m: Message, out: list[tuple]) -> Any:
+        """handle() of one message that is not for a bulk handler."""
+        if own is None or m.wrong:
+            return self.handle(own, key, [m], out)
+        if self.tells_dispatched:
+            out.append(("dispatched", m.kind, key, None, m.seq, m.place, None))
+        try:
+            results = self.processor.invoke(own, KeyedMessage(key, m.body))
+        except Exception as wrong:  # what the handler changed before it failed stays
+            out.append(("failed", m.kind, key, repr(wrong), m.seq, m.place, None))
+            return own
+        if self.tells_processed:
+            out.append(("processed", m.kind, key, None, m.seq, m.place, None))
+        if results:
+            self.send(results, m.seq, m.place, out)
+        return own
+
     def put_out(self, own: Any, key: str, seq: int, out: list[tuple]) -> None:
         """One output pass over an instance; its messages come after all others of that seq."""
         began = time.perf_counter()
@@ -251,7 +281,10 @@ class Runner:
             out.append(("state", None, key, None, seq, b"", cloudpickle.dumps(own) if own is not None and not self.o.stop else None))
 
     def _due(self, last: int | None, now: int) -> bool:
-        return last is not None and any(s and now // s > last // s for s in (self.o.output_span, self.o.evict_span))
+        if last is None:
+            return False
+        a, b = self.o.output_span, self.o.evict_span
+        return bool(a and now // a > last // a or b and now // b > last // b)
 
     def batch(self, out: list[tuple]) -> pa.RecordBatch:
         """Rows as Arrow, without those of kinds that are not asked for."""
@@ -259,7 +292,7 @@ class Runner:
             out = [r for r in out if r[0] in self.o.kinds]
         columns = list(zip(*out)) or [()] * len(NAMES)
         if not self.o.fold:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, TYPES)], names=NAMES)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) if any(c) else _bare(c, t) for c, t in zip(columns, TYPES)], names=NAMES)
         # of a folded row the last field is its number
         times, state = [x if type(x) is int else 1 for x in columns[-1]], [None if type(x) is int else x for x in columns[-1]]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*columns[:-1], state, times], [*TYPES, pa.int64()])], names=[*NAMES, "times"])
@@ -292,12 +325,19 @@ class Runner:
         if self._due(last, m.seq):
             own, pile = self.handle(own, key, pile, out), []
             own = self.passed(own, key, last, m.seq, out)
+        if not self.o.bulk:
+            return self.handle_one(own, key, m, out), pile, m.seq
         pile.append(m)
-        if len(pile) >= (PILE if self.o.bulk else 1):
+        if len(pile) >= PILE:
             own, pile = self.handle(own, key, pile, out), []
         return own, pile, m.seq
 
 
+def _bare(column: tuple, kind: pa.DataType) -> pa.Array:
+    """A column without a value that counts as true; mostly all of it is null, which is soon made."""
+    return pa.nulls(len(column), kind) if column.count(None) == len(column) else pa.array(column, kind)
+
+
 def _next(last: int, now: int, span: int | None) -> int:
     return (last // span + 1) * span if span else now + 1
 
@@ -447,7 +487,7 @@ def run(topology: Topology, messages: DataFrame, rounds: int | None = None, stat
     kinds: the kinds of rows that are wanted of the results, all without it; messages may be among them or not. fold: results have a
     column `times`, above 1 for what so many output passes in a row gave, the first of them at seq; without it each has its row.
     """
-    pending, kinds = cut(placed(messages)), None if kinds is None else tuple(kinds)
+    pending, kinds = written(placed(messages)), None if kinds is None else tuple(kinds)
     spark = pending.sparkSession
     live = [c for c in topology.clusters if c.processor is not None]
     state = {c.name: States((states or {}).get(c.name)) for c in live}
@@ -460,7 +500,7 @@ def run(topology: Topology, messages: DataFrame, rounds: int | None = None, stat
         output_span, evict_span = spans[c.name]
         folds = bool(output_span and c.processor.outputs)
         given = None if kinds is None else {"message", "state", *kinds}
-        done = cut(imperative(own, c.processor, c.name, c.bulk, keep=True, state=state[c.name].all(among), keys=keys, output_span=output_span, evict_span=evict_span, end=end, kinds=given, fold=folds))
+        done = written(imperative(own, c.processor, c.name, c.bulk, keep=True, state=state[c.name].all(among), keys=keys, output_span=output_span, evict_span=evict_span, end=end, kinds=given, fold=folds))
         state[c.name].add(done.where("kind = 'state'").select("key", "seq", "state"))
         rest = done.where("kind <> 'state'")
         wanted = rest if kinds is None else rest.where(F.col("kind").isin(*kinds))

@@ -226,7 +226,7 @@ def feedback_fixpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ordered_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twelve results of each message come to the next cluster in their order."""
     node = Node.builder("sample").default_routing("managed").receiver().cluster("burst").mp(samples.Burst()).cluster("in_order").mp(samples.InOrder()).build()
-    found = sent(run(Topology(node), event_messages(spark, sf_dir))["in_order"])
+    found = sent(run(Topology(node), event_messages(spark, sf_dir), kinds=("message",))["in_order"])
     last = found.groupBy(F.col("key").alias("user_id")).agg(F.max_by("payload", F.struct("seq", "place")).alias("payload"))
     return last.select("user_id", F.get_json_object("payload", "$.parts").cast("long").alias("parts"), F.get_json_object("payload", "$.md5").alias("md5"))
 
@@ -349,7 +349,7 @@ def handler_errors_declarative(spark: SparkSession, sf_dir: str) -> DataFrame:
 def functional_processors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The functional form of a processor, in a topology of two stages."""
     node = Node.builder("sample").default_routing("managed").receiver().cluster("count").mp(samples.functional_counter()).cluster("put").mp(samples.putter()).build()
-    found = run(Topology(node), event_messages(spark, sf_dir))["put"]
+    found = run(Topology(node), event_messages(spark, sf_dir), kinds=("processed",))["put"]
     return found.where("kind = 'processed'").groupBy(F.col("key").alias("user_id")).agg(F.count("*").alias("calls"))
 
 
@@ -501,7 +501,7 @@ def output_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A node with an adaptor and an output each day, as a plan over tables: every instance puts out its count at each midnight."""
     adaptor = TableAdaptor(f"{sf_dir}/events.parquet", "event", "user_id", F.unix_micros(F.col("ts").cast("timestamp")), "event_id", "user_id")
     node = Node.builder("sample").default_routing("managed").receiver().cluster("read").adaptor(adaptor).cluster("count").mp(samples.Counter()).output_every(86_400).build()
-    got = planner.execute(spark, node, per_second=1e6)["count"].where("kind = 'message' AND message_type = 'total'")
+    got = planner.execute(spark, node, per_second=1e6, kinds=("message",))["count"].where("kind = 'message' AND message_type = 'total'")
     day = F.to_date(F.timestamp_micros(F.col("seq") - 86_400_000_000))
     return got.select(F.col("key").alias("user_id"), day.alias("period"), F.get_json_object("payload", "$.count").cast("long").alias("total"))
 

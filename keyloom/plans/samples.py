@@ -292,18 +292,27 @@ class Burst:
 
 @mp
 class InOrder:
-    """A digest of the numbers of all parts as they came."""
+    """A digest of the numbers of all parts as they came. It goes on with each part; only where state is kept it is made anew from its text."""
 
     def __init__(self) -> None:
-        self.n, self.text = 0, ""
+        self.n, self.text, self.md5 = 0, bytearray(), hashlib.md5()
 
     def clone(self) -> InOrder:
         return InOrder()
 
+    def __getstate__(self) -> tuple[int, bytes]:
+        return self.n, bytes(self.text)
+
+    def __setstate__(self, state: tuple[int, bytes]) -> None:
+        self.n, self.text, self.md5 = state[0], bytearray(state[1]), hashlib.md5(state[1])
+
     @message_handler
     def take(self, part: Part) -> Digest:
-        self.n, self.text = self.n + 1, f"{self.text}{part.nth},"
-        return Digest(part.key_, self.n, hashlib.md5(self.text.encode()).hexdigest())
+        own = f"{part.nth},".encode()
+        self.n += 1
+        self.text += own
+        self.md5.update(own)
+        return Digest(part.key_, self.n, self.md5.hexdigest())
 
 
 # Feedback

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any, get_type_hints
 
-from keyloom.model import KeyedMessage, ModelError, TypedMessage, handled_types, own_types, unwind
+from keyloom.model import KeyedMessage, ModelError, TypedMessage, handled_types, own_types, unwind, unwound
 
 
 def mp(cls: type) -> type:
@@ -108,6 +108,8 @@ class Processor:
 
     def handler(self, message: Any) -> str | None:
         """By exact class, then the classes above it, then the interfaces it declares."""
+        if (own := self.handlers.get(type(message))) is not None:
+            return own
         for level in type(message).__mro__:
             if level in self.handlers:
                 return self.handlers[level]
@@ -142,7 +144,7 @@ class Processor:
         name = self.handler(message.message)
         if name is None:
             raise ModelError(f"no handler for {type(message.message).__name__}")
-        return list(unwind(getattr(own, name)(message.message)))
+        return unwound(getattr(own, name)(message.message))
 
     def invoke_bulk(self, own: Any, messages: list[KeyedMessage]) -> list[Any]:
         """The bulk handler where there is one, else each message in turn."""
@@ -218,7 +220,7 @@ class FunctionProcessor(Processor):
         own.activate(key, message, state)
 
     def invoke(self, own: Mp, message: KeyedMessage) -> list[Any]:
-        return list(unwind(own.handle(message)))
+        return unwound(own.handle(message))
 
     def invoke_bulk(self, own: Mp, messages: list[KeyedMessage]) -> list[Any]:
         return list(unwind(own.handle_bulk(messages)))

@@ -45,6 +45,16 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as Parquet in a scratch folder, and read from there: unlike cut(), a later reader takes the columns it needs alone.
+
+    Rows keep no partitions, and the folder stays until the application ends.
+    """
+    spark, path = df.sparkSession, scratch(df.sparkSession, "written") + "/rows"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     files, at = _on_disk(spark, path)
     files.delete(at, True)

@@ -1,6 +1,7 @@
 import hashlib
 import json
 
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from keyloom.model import TypedMessage, to_json
@@ -298,3 +299,37 @@ def test_checks_between_passes_that_repeat(spark):
     got = kinds(imperative(messages(spark, [(0, 1), (1, 1), (2, 2), (3000, 1), (3000, 2)]), samples.evicting(2), output_span=10, evict_span=500, end=6000))
     # key 1 goes at 500 after 50 passes, comes back at 3000 and stays; key 2 goes at 3500
     assert got["evicted"] == 1 + 1 and got["message"] == 5 + 50 + 300 + 300 + 50
+
+
+def test_a_digest_in_order_costs_what_its_parts_do(monkeypatch):
+    fed, own = [], hashlib.md5
+
+    class Counted:
+        def __init__(self, raw=b""):
+            self.md5 = own()
+            self.update(raw)
+
+        def update(self, raw):
+            fed.append(len(raw))
+            self.md5.update(raw)
+
+        def hexdigest(self):
+            return self.md5.hexdigest()
+
+    monkeypatch.setattr(samples.hashlib, "md5", Counted)
+    made, text = samples.InOrder(), "".join(f"{k % 12}," for k in range(3000)).encode()
+    for k in range(1500):
+        made.take(samples.Part("a", k % 12))
+    made = cloudpickle.loads(cloudpickle.dumps(made))  # as state between rounds and micro-batches
+    for k in range(1500, 3000):
+        last = made.take(samples.Part("a", k % 12))
+    assert (last.parts, last.md5) == (3000, own(text).hexdigest()) and sum(fed) <= 2 * len(text)
+
+
+def test_only_the_kinds_asked_for_return(spark):
+    node = Node.builder("a").default_routing("managed").receiver().cluster("burst").mp(samples.Burst()).cluster("in_order").mp(samples.InOrder()).build()
+    rows = messages(spark, [(i, i % 2) for i in range(6)])
+    whole, some = run(Topology(node), rows), run(Topology(node), rows, kinds=("processed",))
+    for c in ("burst", "in_order"):
+        assert sorted(map(str, some[c].collect())) == sorted(map(str, whole[c].where("kind = 'processed'").collect()))
+    assert kinds(imperative(rows, samples.counter(), kinds=("created", "message"))) == {"created": 2, "message": 6}

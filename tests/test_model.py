@@ -1,4 +1,5 @@
-from dataclasses import dataclass
+import json
+from dataclasses import asdict, dataclass
 
 import pytest
 
@@ -119,3 +120,22 @@ def test_explicit_messages_pass():
 def test_json_round_trip():
     assert from_json(Two, to_json(Two(5))) == Two(5)
     assert from_json(None, to_json("text")) == "text"
+
+
+def test_flat_bodies_are_the_same_json():
+    @message_type("m")
+    @dataclass
+    class M:
+        b: object
+        a: object = None
+
+        @message_key
+        def key(self):
+            return "k"
+
+    for x in (1, True, 1.5, float("nan"), None, 'é"\\\n😀', [1, {"z": 1, "y": None}], {1, 2}, 10**30):
+        assert to_json(M(x)) == json.dumps(asdict(M(x)), default=str, sort_keys=True)
+    assert from_json(M, ' {"b": 1, "c": 2} ') == M(1) == from_json(M, '{"b": 1}') == from_json(M, b'{"b": 1}')
+    for wrong in ("", "{no json", '{"b": 1} 2'):
+        with pytest.raises(ValueError):
+            from_json(M, wrong)
