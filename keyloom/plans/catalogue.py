@@ -210,7 +210,7 @@ def feedback_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A cluster that sends to itself until a message has no hops left, run by the library's loop until nothing is pending."""
     node = Node.builder("sample").default_routing("managed").receiver().cluster("hop").mp(samples.Hopper()).build()
     first = envelope(events(spark, sf_dir).withColumn("hops", F.col("event_id") % 7), "hop", "user_id", "event_id", "user_id", "hops")
-    seen = run(Topology(node), first)["hop"].where("kind = 'message' AND message_type = 'seen'")
+    seen = run(Topology(node), first, kinds=("message",))["hop"].where("kind = 'message' AND message_type = 'seen'")
     return seen.groupBy(F.get_json_object("payload", "$.hops").cast("long").alias("hops")).agg(F.count("*").alias("handled"))
 
 
