@@ -147,7 +147,7 @@ UNION ALL SELECT 'odds', CASE WHEN event_id % 2 = 1 THEN 'yes' ELSE 'no' END, co
 def discriminated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A message with two keys; each of two handlers selects the one that addresses it."""
     node = Node.builder("sample").default_routing("managed").receiver().cluster("pairing").mp(samples.Pairing()).cluster("evens").mp(samples.Evens()).cluster("odds").mp(samples.Odds()).build()
-    found = run(Topology(node), event_messages(spark, sf_dir))
+    found = run(Topology(node), event_messages(spark, sf_dir), kinds=("processed",))
     each = planner.together([found[c].where("kind = 'processed'").select(F.lit(c).alias("cluster"), "key") for c in ("evens", "odds")])
     return each.groupBy("cluster", "key").agg(F.count("*").alias("handled"))
 
