@@ -567,7 +567,7 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("SELECT user_id::VARCHAR AS user_id, count(*) - 1 AS last_count FROM events GROUP BY user_id")
 def stream_running_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counter over a stream, its state in the state store."""
-    got = streamed(stateful.keyed(event_stream(spark, sf_dir), samples.counter()).where("kind = 'message'"))
+    got = streamed(stateful.keyed(event_stream(spark, sf_dir), samples.counter(), kinds=("message",)))
     return got.groupBy(F.col("key").alias("user_id")).agg(F.max(F.get_json_object("payload", "$.count").cast("long")).alias("last_count"))
 
 

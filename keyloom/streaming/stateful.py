@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from datetime import datetime, timezone
 from typing import Any
 
@@ -56,11 +56,17 @@ class Keyed(StatefulProcessor):
         self.held = handle.getValueState("instance", "instance binary, last long, output_at long, evict_at long")
 
     def _load(self) -> tuple[Any, int | None, dict[str, int]]:
-        if not self.held.exists():
+        held = self.held.get()  # null without a state: one question to the store, not two
+        if held is None:
             return None, None, {"output": 0, "evict": 0}
-        raw, last, output_at, evict_at = self.held.get()
+        raw, last, output_at, evict_at = held
         return cloudpickle.loads(raw), last, {"output": output_at, "evict": evict_at}
 
+    def _rows(self, out: list[tuple]) -> pd.DataFrame:
+        """Rows as a frame, without those of kinds that are not asked for."""
+        kinds = self.runner.o.kinds
+        return pd.DataFrame(out if kinds is None else [r for r in out if r[0] in kinds], columns=NAMES)
+
     def _keep(self, own: Any, last: int | None, due: dict[str, int]) -> None:
         if own is None:
             self.held.clear()
@@ -81,17 +87,18 @@ class Keyed(StatefulProcessor):
         seq, where = found["seq"].to_numpy(), found["place"].map(lambda x: bytes(x or b"")).to_numpy(object)
         order = np.argsort(seq, kind="stable") if not any(where) else np.array(sorted(range(len(seq)), key=lambda i: (seq[i], where[i])))
         pile: list = []
-        for i in order:
-            m = self.runner.read(found["message_type"].iat[i], found["payload"].iat[i], int(seq[i]), where[i])
+        kinds, bodies = found["message_type"].tolist(), found["payload"].tolist()
+        for i in order.tolist():
+            m = self.runner.read(kinds[i], bodies[i], int(seq[i]), where[i])
             own, pile, last = self.runner.next(own, key[0], pile, last, m, out)
             if len(out) > 20_000:
-                yield pd.DataFrame(out, columns=NAMES)
+                yield self._rows(out)
                 out = []
         own = self.runner.handle(own, key[0], pile, out)
         if own is not None:
             self._arm(timerValues.getCurrentProcessingTimeInMs(), due)
         self._keep(own, last, due)
-        yield pd.DataFrame(out + self.runner.timings(), columns=NAMES)
+        yield self._rows(out + self.runner.timings())
 
     def handleInitialState(self, key: Any, initialState: pd.DataFrame, timerValues: Any) -> None:
         """An instance for a key of a key source, before its first message; one whose activation fails is made by that message."""
@@ -113,23 +120,23 @@ class Keyed(StatefulProcessor):
             if own is not None:
                 self._arm(now, due)
             self._keep(own, last, due)
-        yield pd.DataFrame(out + self.runner.timings(), columns=NAMES)
+        yield self._rows(out + self.runner.timings())
 
     def close(self) -> None: ...
 
 
 def keyed(
     messages: DataFrame, processor: Processor, cluster: str = "", bulk: bool = False, output_every: Schedule | str | None = None, evict_every: Schedule | str | None = None,
-    output_span: int | None = None, evict_span: int | None = None, keys: DataFrame | None = None,
+    output_span: int | None = None, evict_span: int | None = None, keys: DataFrame | None = None, kinds: Iterable[str] | None = None,
 ) -> DataFrame:
     """Results of a processor over a stream of envelope rows; stages may follow one another in a query.
 
     output_every, evict_every: processing time. output_span, evict_span: units of seq, as over tables. keys: a table with a column
-    `key`, each of which has an instance from the start.
+    `key`, each of which has an instance from the start. kinds: the kinds of rows that are returned, all without it.
     """
     timed = schedule(output_every) or schedule(evict_every)
     own = placed(messages).where(F.col("message_type").isin(*sorted(processor.types)) & F.col("key").isNotNull()).select("message_type", "key", "payload", "seq", "place")
-    stage = Keyed(processor, Options(cluster, bulk, output_span=output_span, evict_span=evict_span), schedule(output_every), schedule(evict_every))
+    stage = Keyed(processor, Options(cluster, bulk, output_span=output_span, evict_span=evict_span, kinds=None if kinds is None else frozenset(kinds)), schedule(output_every), schedule(evict_every))
     first = keys.select(F.col("key").cast("string").alias("key")).where("key IS NOT NULL").distinct().groupBy("key") if keys is not None else None
     return own.groupBy("key").transformWithStateInPandas(stage, RESULT, "Update", "ProcessingTime" if timed else "None", first)
 

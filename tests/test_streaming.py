@@ -1,9 +1,11 @@
+import json
 import time
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from keyloom.plans import planner, samples
-from keyloom.plans.batch import ENVELOPE, imperative, sent
+from keyloom.plans.batch import ENVELOPE, Options, imperative, sent
 from keyloom.processor import Mp, MpFactory
 from keyloom.sources.adaptors import Adaptor, stream_sink
 from keyloom.streaming import stateful, windows
@@ -116,3 +118,36 @@ def test_windows_of_a_stream_match_those_of_a_table(spark, tmp_path):
     key = lambda r: (r["window_start"], r["k"], r["n"])
     for name, make in {"tumbling": lambda d: windows.tumbling(d, "ts", "1 hour", ["k"], aggs, "1 hour"), "sliding": lambda d: windows.sliding(d, "ts", "2 hours", "1 hour", ["k"], aggs, "1 hour")}.items():
         assert {key(r) for r in stateful.collected(make(stream), name)} == {key(r) for r in make(df).collect()}
+
+
+def test_a_key_asks_the_state_store_once_and_returns_what_is_wanted():
+    class Held:
+        asked, value = 0, None
+
+        def get(self):
+            self.asked += 1
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+        def exists(self):
+            raise AssertionError("a second question")
+
+    class Timer:
+        def getCurrentProcessingTimeInMs(self):
+            return 0
+
+    class Handle:
+        held = Held()
+
+        def getValueState(self, name, schema):
+            return self.held
+
+    own = stateful.Keyed(samples.counter(), Options(kinds=frozenset({"message"})))
+    own.init(Handle())
+    for first in (0, 3):
+        rows = pd.DataFrame([("event", f'{{"event_id": {i}, "user_id": 1}}', i, b"") for i in (first + 2, first, first + 1)], columns=["message_type", "payload", "seq", "place"])
+        got = pd.concat(own.handleInputRows(("1",), iter([rows]), Timer()))
+        assert got["kind"].tolist() == ["message"] * 3 and [json.loads(x)["count"] for x in got["payload"]] == [first, first + 1, first + 2]
+    assert Handle.held.asked == 2
