@@ -574,7 +574,7 @@ def stream_running_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered(SQL_EVICTIONS + ", h AS (SELECT user_id, count(*) AS handled FROM events GROUP BY 1) SELECT user_id::VARCHAR AS user_id, any_value(handled) AS handled, sum(gone)::BIGINT AS evictions FROM r JOIN h USING (user_id) GROUP BY user_id")
 def stream_eviction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eviction checks every 500 events over a stream."""
-    got = streamed(stateful.keyed(event_stream(spark, sf_dir), samples.evicting(5), evict_span=500).where("kind IN ('processed', 'evicted')"))
+    got = streamed(stateful.keyed(event_stream(spark, sf_dir), samples.evicting(5), evict_span=500, kinds=("processed", "evicted")))
     of = lambda k: F.count_if(F.col("kind") == k)
     return got.groupBy(F.col("key").alias("user_id")).agg(of("processed").alias("handled"), of("evicted").alias("evictions"))
 
