@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from keyloom.storage import cut, remove, scratch, shared_folder
 
-__all__ = ["BATCH_BYTES", "bounded", "by_key", "components", "cut", "forest", "free_name", "hot_keys", "remove", "scratch", "shared_folder", "shuffled", "squeeze", "table", "text_batches", "unpacked"]
+__all__ = ["BATCH_BYTES", "bounded", "by_key", "components", "cut", "forest", "free_name", "hot_keys", "marked", "remove", "scratch", "shared_folder", "shuffled", "squeeze", "table", "text_batches", "unpacked"]
 
 #: Bytes of text that a Python worker handles at once.
 BATCH_BYTES = 2 << 20
@@ -67,6 +67,21 @@ def by_key(rows: DataFrame, classes: DataFrame, key: str | list[str], hot: DataF
     return here.union(rows.join(many, key, "left_anti").join(shuffled(classes), key, how).select(here.columns))
 
 
+def marked(rows: DataFrame, name: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose number, in the column `name`, is one of wanted's, a table of one column of numbers, repeated or not.
+
+    rows stay where they are: which of them are wanted is told by bits, in broadcast blocks of 4096 numbers that take 800 bytes at most,
+    0.2 bytes a row where row numbers follow each other, as those of monotonically_increasing_id() do within a partition.
+    """
+    own, n, block, words = F.col(wanted.columns[0]), F.col(name), free_name(rows, "block"), free_name(rows, "words")
+    bit = lambda n: n.bitwiseAND(63).cast("int")
+    word = lambda n: F.shiftright(n, 6).bitwiseAND(63).cast("int")
+    each = wanted.groupBy(F.shiftright(own, 12).alias(block), word(own).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit(own))).alias("bits"))
+    blocks = each.groupBy(block).agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias(words))
+    found = rows.join(F.broadcast(blocks), F.shiftright(n, 12) == F.col(block))  # 0.2 bytes a row
+    return found.where(F.getbit(F.try_element_at(words, word(n)), bit(n)) == 1).select(*[F.col(f"`{c}`") for c in rows.columns])
+
+
 def text_batches(batches: Iterator[pa.RecordBatch], key: str = "doc_id", text: str = "text") -> Iterator[tuple[pa.Array, list[bytes]]]:
     """(ids, texts as UTF-8 bytes) of at most BATCH_BYTES, or one longer text; null texts become empty ones."""
     for batch in batches:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import by_key, components, cut, free_name, hot_keys, shuffled, squeeze, text_batches, unpacked
+from keyloom.llm.common import by_key, components, cut, free_name, hot_keys, marked, shuffled, squeeze, text_batches, unpacked
 
 SEED = 42
 BITS = 64
@@ -130,10 +130,7 @@ SHARE = 2000
 SAMPLED = 16
 #: Common shingles that are told apart; the rest count as rare.
 COMMON = 200_000
-#: Texts whose ids are broadcast for the last comparison; beyond, the texts are shuffled.
-FEW = 200_000
-
-#: Bits of the parities by which pairs are ruled out before their sets are compared; a multiple of 64 and a power of two.
+#: Least bits of the parities by which pairs are ruled out before their sets are compared; a power of two, 16 at least.
 PARITY = 256
 
 _SEEDS = np.array([(0x9E3779B97F4A7C15 * (v + 1)) & (1 << 64) - 1 for v in range(VIEWS)], np.uint64)[:, None]
@@ -179,9 +176,24 @@ def prefix(own: np.ndarray, common: np.ndarray, counts: np.ndarray, least: float
     return np.sort(keys)[:size].astype("<u4") if len(own) else own
 
 
-def parities(own: np.ndarray) -> bytes:
-    """PARITY bits: whether an odd number of tokens falls on each. Two sets differ in at least as many tokens as their bits do."""
-    return np.packbits(np.bincount(own & np.uint32(PARITY - 1), minlength=PARITY).astype(np.uint8) & 1).tobytes()
+def parities(own: np.ndarray, bits: int = PARITY) -> bytes:
+    """bits, a power of two: whether an odd number of tokens falls on each. Two sets differ in at least as many tokens as their bits do."""
+    return np.packbits((np.bincount(own & np.uint32(bits - 1), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def sketch(own: np.ndarray) -> bytes:
+    """Parities on at least as many bits as there are tokens: of half as many or less, about half would differ between any two large sets."""
+    return parities(own, max(PARITY, 1 << max(len(own) - 1, 0).bit_length()))
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """In how many parities two sketches differ: at most the number of tokens that one of the two sets has alone."""
+    if len(a) < len(b):
+        a, b = b, a
+    x = int.from_bytes(a, "little")
+    for half in (len(b) << 3 + k for k in reversed(range((len(a) // len(b)).bit_length() - 1))):
+        x = x >> half ^ x & (1 << half) - 1  # the parities of half as many bits
+    return (x ^ int.from_bytes(b, "little")).bit_count()
 
 
 def _sampled(width: int):
@@ -218,29 +230,40 @@ def _prints(width: int, common: np.ndarray, counts: np.ndarray, least: float):
                 own = [views(x).tolist() if len(x) else None for x in sets]
                 held = [tokens(x) for x in sets]
                 firsts = [prefix(x, common, counts, least).tobytes() for x in held]
-                columns = [part.column(0), part.column(1), pa.array([len(x) for x in sets], pa.int32()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(fingerprints(texts, width)), pa.array(own, pa.list_(pa.int64())), pa.array(firsts, pa.binary()), pa.array([len(x) for x in held], pa.int32()), pa.array([parities(x) for x in held], pa.binary())]
+                columns = [part.column(0), part.column(1), pa.array([len(x) for x in sets], pa.int32()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(fingerprints(texts, width)), pa.array(own, pa.list_(pa.int64())), pa.array(firsts, pa.binary()), pa.array([len(x) for x in held], pa.int32()), pa.array([sketch(x) for x in held], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in PRINTS.split(", ")])
 
     return run
 
 
-def _sets(width: int):
+def _possible(least: float):
+    """Of pairs with sizes and sketches of both ends, those that these do not rule out."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = pa.array([tokens(shingle_set(unpacked(t.as_py()), width)).tobytes() for t in batch.column(1)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), own, batch.column(2)], names=["node", "shingles", "hubs"])
+            own = [c.to_pylist() for c in batch.columns[2:]]
+            good = [min(m, n) >= least * max(m, n) - 1e-9 and apart(x, y) <= (1 - least) / (1 + least) * (m + n) + 1e-9 for m, x, n, y in zip(*own)]
+            yield batch.select(["hub", "node"]).filter(pa.array(good, pa.bool_()))
 
     return run
 
 
-def _verified(least: float):
+def _likely(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """Of the pairs (hub, node), which should be cheap to read twice, those whose sets may reach `least`; none that does is lost."""
+    own = marked(nodes.select("node", "held", "bits"), "node", pairs.select(F.explode(F.array("hub", "node"))))
+    leads = own.select(F.col("node").alias("hub"), F.col("held").alias("hub_held"), F.col("bits").alias("hub_bits"))
+    both = pairs.join(shuffled(leads), "hub").join(shuffled(own), "node").select("hub", "node", "hub_held", "hub_bits", "held", "bits")
+    return cut(both.mapInArrow(_possible(least), "hub long, node long"))
+
+
+def _verified(width: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, hub = None, None
         for batch in batches:
             a, b = [], []
             rows = (row for k in range(0, len(batch), 500) for row in zip(*(c.to_pylist() for c in batch.slice(k, 500).columns)))
             for h, part, leads, node, raw in rows:
-                own = np.frombuffer(raw, "<u4")
+                own = tokens(shingle_set(unpacked(raw), width))
                 if (h, part) != at:
                     at, hub = (h, part), own if leads else None
                     if leads:
@@ -255,7 +278,7 @@ def _verified(least: float):
 
 
 #: key: token and cell; size: tokens held, place in the prefix and side in the cell, from the top; root: as a step from the node.
-PLACES = "key long, size long, node long, root long, " + ", ".join(f"b{k} long" for k in range(PARITY // 64))
+PLACES = "key long, size long, node long, root long"
 
 
 def _places(common: np.ndarray, counts: np.ndarray):
@@ -273,7 +296,6 @@ def _places(common: np.ndarray, counts: np.ndarray):
                 row = np.repeat(np.arange(len(raw)), sizes)
                 place = np.arange(len(token)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 node, root, held = (batch.column(k).to_numpy() for k in (0, 1, 3))
-                bits = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.int64).reshape(len(raw), -1)
                 side, cell = np.zeros(len(token), np.int64), np.zeros(len(token), np.int64)
                 if len(split):
                     at = np.minimum(np.searchsorted(split, token), len(split) - 1)
@@ -284,17 +306,17 @@ def _places(common: np.ndarray, counts: np.ndarray):
                     other = np.arange(len(again)) - np.repeat(np.cumsum(number) - number, number)
                     token, row, place, part, number = token[again], row[again], place[again], part[again], number[again]
                     cell, side = np.minimum(part, other) * number + np.maximum(part, other), (part > other).astype(np.int64)
-                own = token.astype(np.int64) << 31 | cell, held[row].astype(np.int64) << 32 | place << 1 | side, node[row], (root - node)[row], *bits[row].T
+                own = token.astype(np.int64) << 31 | cell, held[row].astype(np.int64) << 32 | place << 1 | side, node[row], (root - node)[row]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in own], names=[x.split()[0] for x in PLACES.split(", ")])
 
     return run
 
 
 def _meetings(least: float):
-    """Pairs of different roots from rows sorted by key and size; those whose sizes, places or parities rule out `least` are left out."""
+    """Pairs of different roots from rows sorted by key and size; those whose sizes or places rule out `least` are left out."""
 
     def pairs(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        key, size, node, root, *bits = columns
+        key, size, node, root = columns
         root = node + root
         held, place, side = size >> 32, (size & 0xFFFFFFFF) >> 1, size & 1
         ends = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key))
@@ -311,9 +333,6 @@ def _meetings(least: float):
             good = (root[i] != root[j]) & (~parted[i] | (side[i] != side[j]))
             good &= np.minimum(held[i] - place[i], held[j] - place[j]) >= least / (1 + least) * (held[i] + held[j]) - 1e-9
             i, j = i[good], j[good]
-            apart = sum(np.bitwise_count((x[i] ^ x[j]).view(np.uint64)).astype(np.int64) for x in bits)  # of signed ones it takes the absolute value
-            good = apart <= (1 - least) / (1 + least) * (held[i] + held[j]) + 1e-9
-            i, j = i[good], j[good]
             a.append(np.minimum(node[i], node[j])), b.append(np.maximum(node[i], node[j]))
             waiting, step = waiting + len(a[-1]), step + 1
             if waiting > 1 << 20 or not len(live):
@@ -346,12 +365,13 @@ def _linked(numbered: DataFrame, pairs: DataFrame, width: int, similarity: float
     asked = pairs.join(shuffled(shares), "hub").select("node", F.struct("hub", F.pmod(F.xxhash64("node"), F.col("shares")).cast("int").alias("part"), F.lit(False).alias("leads")).alias("h"))
     leads = shares.select(F.col("hub").alias("node"), F.explode(F.transform(F.sequence(F.lit(0), F.col("shares") - 1), lambda k: F.struct(F.col("hub"), k.alias("part"), F.lit(True).alias("leads")))).alias("h"))
     wanted = asked.union(leads).groupBy("node").agg(F.collect_list("h").alias("hubs"))
-    squeezed = numbered.select("row", "text").mapInArrow(squeeze, "row long, text binary")
+    # only texts that are compared move, and as compressed text: a set of their shingles is three times as long
+    compared = marked(numbered.select("row", "text"), "row", pairs.select(F.explode(F.array("hub", "node"))))
+    squeezed = compared.mapInArrow(squeeze, "row long, text binary")
     texts = squeezed.join(shuffled(wanted), F.col("row") == F.col("node")).select("node", "text", "hubs")
-    sets = texts.mapInArrow(_sets(width), "node long, shingles binary, hubs array<struct<hub:long,part:int,leads:boolean>>")
-    each = sets.select("node", "shingles", F.explode("hubs").alias("h")).select("h.hub", "h.part", "h.leads", "node", "shingles")
+    each = texts.select("node", "text", F.explode("hubs").alias("h")).select("h.hub", "h.part", "h.leads", "node", "text")
     # written before the links are joined, so that a task has one Python worker at a time
-    return cut(each.repartition("hub", "part").sortWithinPartitions("hub", "part", F.desc("leads")).mapInArrow(_verified(similarity), "a long, b long"))
+    return cut(each.repartition("hub", "part").sortWithinPartitions("hub", "part", F.desc("leads")).mapInArrow(_verified(width, similarity), "a long, b long"))
 
 
 def representatives(docs: DataFrame, width: int = 5, similarity: float = SIMILAR, distance: int = 3) -> DataFrame:
@@ -364,9 +384,10 @@ def representatives(docs: DataFrame, width: int = 5, similarity: float = SIMILAR
     99 in 100 pairs of long texts, and for fewer of short ones. Texts of equal shingles are one node. In each bucket all nodes are compared with its least and its last node,
     so a bucket of any size costs two comparisons a member; SHARE members of a hub at most meet in one task. What that leaves apart
     is then found without chance: any two texts that reach the similarity share a token of their prefixes (see prefix()), and all
-    pairs of different components that do, and whose sizes, places and parities of their tokens allow it, are compared. Tokens that are common in a sample come
+    pairs of different components that do, and whose sizes, places and sketches allow it, are compared. Tokens that are common in a sample come
     last in the order, so passages of many texts are in few prefixes; where they are, their texts are split over tasks, not cut.
-    Every link is verified on the sets of shingles themselves, by 32 bits of each hash.
+    Every link is verified on the sets of shingles themselves, by 32 bits of each hash. Rows of docs that are kept, and texts that are
+    compared, are found by bits of their numbers where they lie.
 
     Texts without words, null or empty, are not copies of each other, and all stay. In a group whose rows all have a null doc_id
     the first row stays. docs must keep its partitions between reads, as tables do.
@@ -390,19 +411,16 @@ def representatives(docs: DataFrame, width: int = 5, similarity: float = SIMILAR
     across = across.select(F.least("p", "q").alias("hub"), F.greatest("p", "q").alias("node"))
     pairs = cut(inside.union(across).where("hub <> node").distinct())
 
-    roots = components(_linked(numbered, pairs, width, similarity))
+    roots = components(_linked(numbered, _likely(pairs, nodes, similarity), width, similarity))
 
     # pairs that no bucket linked: all that share a token of their prefixes and are not in one component yet
     stars = roots.select("node", "root")
-    rooted = nodes.join(shuffled(stars.withColumnRenamed("node", "own")), F.col("node") == F.col("own"), "left").select("node", F.coalesce("root", "node").alias("root"), "prefix", "held", "bits")
+    rooted = nodes.join(shuffled(stars.withColumnRenamed("node", "own")), F.col("node") == F.col("own"), "left").select("node", F.coalesce("root", "node").alias("root"), "prefix", "held")
     places = rooted.mapInArrow(_places(common, counts), PLACES)
     met = places.repartition("key").sortWithinPartitions("key", "size").mapInArrow(_meetings(similarity), "hub long, node long")
-    rest = cut(met.distinct())
-    ends = rest.select(F.explode(F.array("hub", "node")).alias("end")).distinct()
-    few = ends.limit(FEW + 1).count() <= FEW
-    asked = numbered.join(F.broadcast(ends), F.col("row") == F.col("end"), "left_semi") if few else numbered
-    roots = components(stars.toDF("a", "b").union(_linked(asked, rest, width, similarity)))
+    rest = _likely(cut(met.distinct()), nodes, similarity)
+    roots = components(stars.toDF("a", "b").union(_linked(numbered, rest, width, similarity)))
     placed = nodes.select("node", "first").join(shuffled(roots.withColumnRenamed("node", "own")), F.col("node") == F.col("own"), "left").select("first", F.coalesce("root", "node").alias("root"))
     kept = placed.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
-    kept = kept.union(prints.where("size = 0").select("row")).withColumnRenamed("row", name)
-    return rows.join(kept, name, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = cut(kept.union(prints.where("size = 0").select("row")))
+    return marked(rows, name, kept).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -112,6 +112,55 @@ def test_parities_never_say_more_than_the_difference():
         assert len(bits[0]) == simhash.PARITY and (bits[0] != bits[1]).sum() <= len(np.setxor1d(one, two))
 
 
+def test_sketches_never_say_more_than_the_difference_and_tell_large_sets_apart():
+    draw = np.random.default_rng(8)
+    for n, more, less in [(0, 0, 0), (3, 1, 0), (200, 80, 10), (1000, 100, 3), (2040, 20, 2), (900, 4000, 1)]:
+        both, a, b = (np.unique(draw.integers(0, 1 << 32, k, dtype=np.uint64)).astype("<u4") for k in (n, more, less))
+        one, two = np.union1d(both, a), np.union1d(both, b)
+        assert simhash.apart(simhash.sketch(one), simhash.sketch(two)) == simhash.apart(simhash.sketch(two), simhash.sketch(one)) <= len(np.setxor1d(one, two))
+    assert simhash.apart(simhash.parities(one, 4096), simhash.parities(one, 256)) == 0
+    both, a, b = (draw.integers(0, 1 << 32, k).astype("<u4") for k in (2000, 1000, 1000))  # half of the union is shared
+    allowed = (1 - 0.8) / 1.8 * 6000
+    assert simhash.apart(simhash.sketch(np.append(both, a)), simhash.sketch(np.append(both, b))) > allowed > simhash.PARITY
+
+
+def test_marked_rows_are_those_of_the_numbers(spark):
+    draw = np.random.default_rng(9)
+    numbers = [int(x) for x in draw.integers(0, 9000, 3000)] + [(5 << 33) + int(x) for x in draw.integers(0, 9000, 100)]
+    wanted = [int(x) for x in draw.choice(numbers, 700)] + [63, 64, 4095, 4096, (5 << 33) + 8999, 7 << 33]
+    rows = spark.createDataFrame([(x, "b", "w") for x in numbers], "n long, Block string, words string")
+    got = common.marked(rows, "n", spark.createDataFrame([(x,) for x in wanted], "n long"))
+    assert got.columns == rows.columns and sorted(r["n"] for r in got.collect()) == sorted(x for x in numbers if x in set(wanted))
+    assert common.marked(rows, "n", spark.createDataFrame([], "n long")).count() == 0
+
+
+def test_kept_rows_are_not_shuffled(spark, documents):
+    """Whole documents in a join by key were more bytes than the input holds compressed."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = simhash.representatives(documents)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_texts_that_are_not_compared_do_not_move(spark, tmp_path, monkeypatch):
+    """Of 120 texts, four pairs are alike; no other text is compressed for a shuffle."""
+    seen, squeeze = str(tmp_path / "seen"), simhash.squeeze
+
+    def counted(batches):
+        for batch in squeeze(batches):
+            with open(seen, "a") as out:
+                out.write("x" * len(batch))
+            yield batch
+
+    monkeypatch.setattr(simhash, "squeeze", counted)
+    own = [" ".join(f"t{k}w{j}" for j in range(60)) for k in range(116)]
+    assert kept(spark, tmp_path, list(enumerate(own + [t + " end" for t in own[:4]]))) == set(range(116))
+    with open(seen) as found:
+        assert len(found.read()) == 8
+
+
 def test_pairs_of_short_texts(spark, tmp_path):
     """Four shingles against five: 0.8, at which a tenth of the pairs share no view."""
     texts = [" ".join(f"s{k}w{j}" for j in range(8 + more)) for k in range(150) for more in (0, 1)]
