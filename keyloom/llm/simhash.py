@@ -130,8 +130,12 @@ SHARE = 2000
 SAMPLED = 16
 #: Common shingles that are told apart; the rest count as rare.
 COMMON = 200_000
+#: Partners on either side that a text meets under one shingle, by rounds. The last one leaves out none.
+FEW = (2, 32, 1 << 62)
 #: Least bits of the parities by which pairs are ruled out before their sets are compared; a power of two, 16 at least.
 PARITY = 256
+#: Most bits of a sketch that go with each token of a prefix; more would grow with the square of a text.
+SCREEN = 1024
 
 _SEEDS = np.array([(0x9E3779B97F4A7C15 * (v + 1)) & (1 << 64) - 1 for v in range(VIEWS)], np.uint64)[:, None]
 
@@ -196,6 +200,40 @@ def apart(a: bytes, b: bytes) -> int:
     return (x ^ int.from_bytes(b, "little")).bit_count()
 
 
+def screen(bits: bytes) -> bytes:
+    """A sketch on SCREEN bits at most, with zeros up to as many; screen_bits() tells how many count."""
+    while len(bits) > SCREEN // 8:
+        half = len(bits) // 2
+        bits = (int.from_bytes(bits[:half], "little") ^ int.from_bytes(bits[half:], "little")).to_bytes(half, "little")
+    return bits.ljust(SCREEN // 8, b"\0")
+
+
+def screen_bits(held: np.ndarray) -> np.ndarray:
+    """Of screens of sets of so many tokens, how many bits count."""
+    return np.clip(1 << np.ceil(np.log2(np.maximum(held, 1))).astype(np.int64), PARITY, SCREEN)
+
+
+def folds(bits: np.ndarray, held: np.ndarray) -> dict[int, np.ndarray]:
+    """The screens, rows of bits, of sets of so many tokens, by the number of bits they are folded to."""
+    size, n, found = screen_bits(held), SCREEN, {}
+    while n >= PARITY:
+        found[n] = np.ascontiguousarray(bits).view(np.uint64)
+        n //= 2
+        # of as few bits lie at the front already
+        bits = np.where((size > n)[:, None], bits[:, : n // 8] ^ bits[:, n // 8 :], bits[:, : n // 8])
+    return found
+
+
+def screened(folded: dict[int, np.ndarray], held: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """apart() of the screens of each pair of i and j, on as many bits as count in both."""
+    count, found = screen_bits(np.minimum(held[i], held[j])), np.zeros(len(i), np.int64)
+    for n, own in folded.items():
+        here = np.flatnonzero(count == n)
+        if len(here):
+            found[here] = np.bitwise_count(own[i[here]] ^ own[j[here]]).sum(axis=1, dtype=np.int64)
+    return found
+
+
 def _sampled(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in text_batches(batches, "row"):
@@ -277,8 +315,9 @@ def _verified(width: int, least: float):
     return run
 
 
-#: key: token and cell; size: tokens held, place in the prefix and side in the cell, from the top; root: as a step from the node.
-PLACES = "key long, size long, node long, root long"
+#: key: token and cell; size: tokens held, place in the prefix and side in the cell, from the top; root: as a step from the node;
+#: bits: the screen, or nothing.
+PLACES = "key long, size long, node long, root long, bits binary"
 
 
 def _places(common: np.ndarray, counts: np.ndarray):
@@ -288,8 +327,8 @@ def _places(common: np.ndarray, counts: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for first in range(0, len(whole), 1000):
-                batch = whole.slice(first, 1000)
+            for first in range(0, len(whole), 200):
+                batch = whole.slice(first, 200)
                 raw = batch.column(2).to_pylist()
                 sizes = np.array([len(x) // 4 for x in raw], np.int64)
                 token = np.frombuffer(b"".join(raw), "<u4")
@@ -307,16 +346,22 @@ def _places(common: np.ndarray, counts: np.ndarray):
                     token, row, place, part, number = token[again], row[again], place[again], part[again], number[again]
                     cell, side = np.minimum(part, other) * number + np.maximum(part, other), (part > other).astype(np.int64)
                 own = token.astype(np.int64) << 31 | cell, held[row].astype(np.int64) << 32 | place << 1 | side, node[row], (root - node)[row]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in own], names=[x.split()[0] for x in PLACES.split(", ")])
+                bits = pa.array([screen(x) if x else b"" for x in batch.column(4).to_pylist()], pa.binary()).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in own), bits], names=[x.split()[0] for x in PLACES.split(", ")])
 
     return run
 
 
-def _meetings(least: float):
-    """Pairs of different roots from rows sorted by key and size; those whose sizes or places rule out `least` are left out."""
+def _meetings(least: float, few: int):
+    """Pairs of different roots from rows sorted by key and size; those whose sizes, places or screens rule out `least` are left out.
+
+    Under a key the first `few` partners above a node and below it are told, of those whose component has as many members there or more:
+    so many members of one do not each ask for the same few others. A pair that neither of its ends asks for waits: both of its nodes
+    are told as pairs with themselves.
+    """
 
     def pairs(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        key, size, node, root = columns
+        key, size, node, root, bits = columns
         root = node + root
         held, place, side = size >> 32, (size & 0xFFFFFFFF) >> 1, size & 1
         ends = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key))
@@ -325,6 +370,14 @@ def _meetings(least: float):
         end = np.repeat(ends, ends - starts)
         live = np.flatnonzero(np.repeat(mixed, ends - starts))
         parted = (np.minimum.reduceat(side, starts) != np.maximum.reduceat(side, starts)).repeat(ends - starts)
+        # members of the row's component under its key
+        held_by = np.ones(len(key), np.int64)
+        if len(live):
+            _, flat = np.unique(root[live], return_inverse=True)
+            _, flat, count = np.unique(end[live] * (flat.max() + 1) + flat, return_inverse=True, return_counts=True)
+            held_by[live] = count[flat]
+        folded = folds(bits, held) if bits.shape[1] and len(live) else {}
+        above, below, left = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64), np.zeros(len(key), bool)
         a, b, waiting, step = [], [], 0, 1
         while len(live):
             live = live[live + step < end[live]]
@@ -333,19 +386,32 @@ def _meetings(least: float):
             good = (root[i] != root[j]) & (~parted[i] | (side[i] != side[j]))
             good &= np.minimum(held[i] - place[i], held[j] - place[j]) >= least / (1 + least) * (held[i] + held[j]) - 1e-9
             i, j = i[good], j[good]
+            if folded:
+                good = screened(folded, held, i, j) <= (1 - least) / (1 + least) * (held[i] + held[j]) + 1e-9
+                i, j = i[good], j[good]
+            told = (held_by[i] <= held_by[j]) & (above[i] < few) | (held_by[j] <= held_by[i]) & (below[j] < few)
+            above[i] += 1
+            below[j] += 1
+            left[i[~told]] = left[j[~told]] = True
+            i, j = i[told], j[told]
             a.append(np.minimum(node[i], node[j])), b.append(np.maximum(node[i], node[j]))
             waiting, step = waiting + len(a[-1]), step + 1
             if waiting > 1 << 20 or not len(live):
                 met = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(met[0]), pa.array(met[1])], names=["hub", "node"])
                 a, b, waiting = [], [], 0
+        if left.any():
+            own = pa.array(np.unique(node[left]))
+            yield pa.RecordBatch.from_arrays([own, own], names=["hub", "node"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[list[np.ndarray]] = []
         for batch in batches:
-            own = [c.to_numpy() for c in batch.columns]
             if not len(batch):
                 continue
+            own = [c.to_numpy() for c in batch.columns[:4]]
+            bits = b"".join(batch.column(4).to_pylist()) if batch.column(4)[0].as_py() else b""
+            own.append(np.frombuffer(bits, np.uint8).reshape(len(batch), len(bits) // len(batch)))
             # the last group may go on in the next batch
             first = int(np.searchsorted(own[0], own[0][-1]))
             if first or (kept and kept[-1][0][-1] != own[0][0]):
@@ -384,7 +450,9 @@ def representatives(docs: DataFrame, width: int = 5, similarity: float = SIMILAR
     99 in 100 pairs of long texts, and for fewer of short ones. Texts of equal shingles are one node. In each bucket all nodes are compared with its least and its last node,
     so a bucket of any size costs two comparisons a member; SHARE members of a hub at most meet in one task. What that leaves apart
     is then found without chance: any two texts that reach the similarity share a token of their prefixes (see prefix()), and all
-    pairs of different components that do, and whose sizes, places and sketches allow it, are compared. Tokens that are common in a sample come
+    pairs of different components that do, and whose sizes, places and sketches allow it, are compared. They are so in rounds: a text
+    first meets a few partners under each token, and what these links join meets no more; texts with partners left meet more of
+    them, now with sketches at hand, until none are left. So texts of a large group meet in few of its pairs, while the last round leaves out none. Tokens that are common in a sample come
     last in the order, so passages of many texts are in few prefixes; where they are, their texts are split over tasks, not cut.
     Every link is verified on the sets of shingles themselves, by 32 bits of each hash. Rows of docs that are kept, and texts that are
     compared, are found by bits of their numbers where they lie.
@@ -414,12 +482,19 @@ def representatives(docs: DataFrame, width: int = 5, similarity: float = SIMILAR
     roots = components(_linked(numbered, _likely(pairs, nodes, similarity), width, similarity))
 
     # pairs that no bucket linked: all that share a token of their prefixes and are not in one component yet
-    stars = roots.select("node", "root")
-    rooted = nodes.join(shuffled(stars.withColumnRenamed("node", "own")), F.col("node") == F.col("own"), "left").select("node", F.coalesce("root", "node").alias("root"), "prefix", "held")
-    places = rooted.mapInArrow(_places(common, counts), PLACES)
-    met = places.repartition("key").sortWithinPartitions("key", "size").mapInArrow(_meetings(similarity), "hub long, node long")
-    rest = _likely(cut(met.distinct()), nodes, similarity)
-    roots = components(stars.toDF("a", "b").union(_linked(numbered, rest, width, similarity)))
+    own = nodes.select("node", "prefix", "held", F.lit(b"").alias("bits"))
+    for few in FEW:
+        stars = roots.select("node", "root")
+        rooted = own.join(shuffled(stars.withColumnRenamed("node", "own")), F.col("node") == F.col("own"), "left").select("node", F.coalesce("root", "node").alias("root"), "prefix", "held", "bits")
+        places = rooted.mapInArrow(_places(common, counts), PLACES)
+        met = cut(places.repartition("key").sortWithinPartitions("key", "size").mapInArrow(_meetings(similarity, few), "hub long, node long").distinct())
+        rest = _likely(met.where("hub <> node"), nodes, similarity)
+        roots = components(stars.toDF("a", "b").union(_linked(numbered, rest, width, similarity)))
+        left = met.where("hub = node").select("node")
+        if left.isEmpty():
+            break
+        # these are fewer texts, so their screens go along with each token
+        own = marked(nodes.select("node", "prefix", "held", "bits"), "node", left)
     placed = nodes.select("node", "first").join(shuffled(roots.withColumnRenamed("node", "own")), F.col("node") == F.col("own"), "left").select("first", F.coalesce("root", "node").alias("root"))
     kept = placed.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
     kept = cut(kept.union(prints.where("size = 0").select("row")))

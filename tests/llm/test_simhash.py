@@ -178,6 +178,39 @@ def test_pairs_beside_a_shared_passage(spark, tmp_path, monkeypatch):
     assert kept(spark, tmp_path, list(enumerate(texts))) == set(range(0, 200, 2))
 
 
+def test_screens_never_say_more_than_the_difference():
+    draw = np.random.default_rng(11)
+    sets = [np.unique(draw.integers(0, 1 << 32, n, dtype=np.uint64)).astype("<u4") for n in (0, 1, 40, 256, 257, 513, 1024, 1025, 3000)]
+    sets += [np.union1d(x, sets[2]) for x in sets]
+    held = np.array([len(x) for x in sets])
+    bits = np.frombuffer(b"".join(simhash.screen(simhash.sketch(x)) for x in sets), np.uint8).reshape(len(sets), -1)
+    i, j = (x.ravel() for x in np.indices((len(sets),) * 2))
+    for a, b, far in zip(i, j, simhash.screened(simhash.folds(bits, held), held, i, j).tolist()):
+        assert far <= len(np.setxor1d(sets[a], sets[b]))
+        if max(held[a], held[b]) <= simhash.SCREEN:
+            assert far == simhash.apart(simhash.sketch(sets[a]), simhash.sketch(sets[b]))
+
+
+def test_texts_beside_a_large_group_meet_few_of_its_pairs(spark, tmp_path, monkeypatch):
+    """300 texts of one edited word and 60 of 14 edited ones, which link with some one in twenty of the others: all are one group or few."""
+    draw, asked, likely = np.random.default_rng(12), [], simhash._likely
+
+    def counted(pairs, *rest):
+        asked.append(pairs.count())
+        return likely(pairs, *rest)
+
+    monkeypatch.setattr(simhash, "_likely", counted)
+    base = [f"w{k}" for k in range(170)]
+    rows = []
+    for k, n in enumerate([1] * 300 + [14] * 60):
+        at = int(draw.integers(0, 170 - n))
+        rows.append((k, " ".join([*base[:at], *[f"e{k}x{j}" for j in range(n)], *base[at + n :]])))
+    sets = [set(shingles(t, 5)) for _, t in rows]
+    parent = closed(len(rows), [(a, b) for a in range(len(rows)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
+    assert kept(spark, tmp_path, rows) == set(parent)
+    assert sum(asked[1:]) < 60 * 300 / 4, asked
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 15), st.integers(0, 15)), max_size=25))
 def test_forests_keep_components(pairs):
